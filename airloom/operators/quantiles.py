@@ -22,15 +22,18 @@ def quartiles(long: DataFrame, group: str = "series", value: str = "value") -> D
     for p in QUARTILES.values():
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
     sketch = F.percentile_approx("_v", edges, SKETCH_ACCURACY)
-    bounds = data.groupBy(group).agg(sketch.alias("_edges"), F.count("_v").alias("_n"))
+    bounds = data.groupBy(group).agg(
+        sketch.alias("_edges"), F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+    )
+    few = F.col("_n") < 2 * SKETCH_ACCURACY  # a bracket would be narrower than two ranks
     brackets = bounds.select(
         group, "_n",
         F.explode(F.array(*[
             F.struct(
                 F.lit(name).alias("_q"),
                 (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                F.col("_edges")[2 * i].alias("_lo"),
-                F.col("_edges")[2 * i + 1].alias("_hi"),
+                F.when(few, F.col("_min")).otherwise(F.col("_edges")[2 * i]).alias("_lo"),
+                F.when(few, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("_hi"),
             )
             for i, (name, p) in enumerate(QUARTILES.items())
         ])).alias("_b"),

@@ -24,7 +24,7 @@ def _register_sub_index(pollutant: str) -> None:
         f"SELECT reading_id, {pollutant}, {sub_index_sql(pollutant)} AS sub_index FROM readings"))
     def run(spark, sf_dir):
         return V.readings(spark, sf_dir).select(
-            "reading_id", pollutant, A.sub_index(pollutant, F.col(pollutant)).alias("sub_index"))
+            "reading_id", pollutant, A.sub_index(pollutant, pollutant).alias("sub_index"))
 
 
 for _p in POLLUTANTS:

@@ -20,41 +20,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings_of(ev: DataFrame, stations: int = STATIONS) -> DataFrame:
     """One reading per event; ``reading_id`` is the arrival order."""
-    k = F.get_json_object("props", "$.k").cast("double")
-    value, eid = F.col("value"), F.col("event_id")
-    lost = eid % 397 == 0
-    base = ev.select(
-        eid.alias("reading_id"),
-        (F.col("user_id") % stations).alias(STATION),
-        F.col("ts").cast("timestamp").alias(TIME),
-        "event_type", "value", k.alias("k"), lost.alias("_lost"),
-    )
-    rid = F.col("reading_id")
-
-    def air(c):
-        return F.when(~F.col("_lost"), c)
-
-    temperature = 20.0 + F.col("k") / 5.0
-    humidity = 30.0 + (rid % 60)
-    return base.select(
+    base = ev.selectExpr(
+        "event_id AS reading_id", f"user_id % {stations} AS {STATION}", f"CAST(ts AS TIMESTAMP) AS {TIME}",
+        "event_type", "value", "CAST(get_json_object(props, '$.k') AS DOUBLE) AS k",
+        "event_id % 397 <> 0 AS sensed", "30D + event_id % 60 AS humidity", "1000D + event_id % 30 AS pressure",
+    ).withColumn("temperature", F.expr("20D + k / 5D"))
+    return base.selectExpr(
         "reading_id", STATION, TIME, "event_type", "k",
-        temperature.alias("temperature"),
-        humidity.alias("humidity"),
-        (temperature - (100.0 - humidity) / 5.0).alias("dew_point"),
-        (temperature + F.col("value") / 100.0).alias("feels_like"),
-        (1000.0 + (rid % 30)).alias("pressure"),
-        (1000.0 + (rid % 30) - 25.0).alias("surface_pressure"),
-        F.col("k").alias("clouds"),
-        (F.col("value") / 20.0).alias("wind_speed"),
-        ((rid * 37) % 360).cast("double").alias("wind_direction"),
-        (F.col("value") / 20.0 * 1.5).alias("wind_gust"),
-        F.when(F.col("event_type") == "error", F.col("value") / 50.0).otherwise(0.0).alias("precipitation"),
-        air(F.col("value") * 1.5 + F.col("k")).alias("pm10"),
-        F.when(~F.col("_lost") & (rid % 97 != 0), F.col("value")).alias("pm2_5"),
-        air(F.col("value") * 40.0 + F.col("k") * 30.0).alias("co"),
-        air(F.col("value") * 2.0 + F.col("k")).alias("no2"),
-        air(F.col("value") * 0.5 + F.col("k")).alias("so2"),
-        air(F.col("value") + F.col("k")).alias("o3"),
+        "temperature",
+        "humidity",
+        "temperature - (100D - humidity) / 5D AS dew_point",
+        "temperature + value / 100D AS feels_like",
+        "pressure",
+        "pressure - 25D AS surface_pressure",
+        "k AS clouds",
+        "value / 20D AS wind_speed",
+        "CAST(reading_id * 37 % 360 AS DOUBLE) AS wind_direction",
+        "value / 20D * 1.5D AS wind_gust",
+        "IF(event_type = 'error', value / 50D, 0D) AS precipitation",
+        "IF(sensed, value * 1.5D + k, NULL) AS pm10",
+        "IF(sensed AND reading_id % 97 <> 0, value, NULL) AS pm2_5",
+        "IF(sensed, value * 40D + k * 30D, NULL) AS co",
+        "IF(sensed, value * 2D + k, NULL) AS no2",
+        "IF(sensed, value * 0.5D + k, NULL) AS so2",
+        "IF(sensed, value + k, NULL) AS o3",
     )
 
 

@@ -75,27 +75,27 @@ def ppb(c: Column, weight: float) -> Column:
     return c * F.lit(MOLAR_VOLUME) / F.lit(weight)
 
 
-def in_band_units(pollutant: str, c: Column) -> Column:
-    if pollutant in PPM_WEIGHTS:
-        return ppm(c, PPM_WEIGHTS[pollutant])
-    if pollutant in PPB_WEIGHTS:
-        return ppb(c, PPB_WEIGHTS[pollutant])
-    return c
+def _double(x: float) -> str:
+    return f"{float(x)!r}D"
 
 
-def interpolate(c: Column, bands: list[tuple]) -> Column:
-    """Half-even rounded position of ``c`` in its band; NULL when it is in none."""
-    out = None
-    for low, high, index_low, index_high in bands:
-        slope = F.lit((index_high - index_low) / (high - low))
-        value = F.rint(slope * (c - F.lit(low)) + F.lit(float(index_low)))
-        hit = c.between(F.lit(low), F.lit(high))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+def _in_band_units(pollutant: str, column: str) -> str:
+    if pollutant in PPM_WEIGHTS:
+        return f"({column} * {_double(MOLAR_VOLUME)} / ({_double(PPM_WEIGHTS[pollutant])} * 1000D))"
+    if pollutant in PPB_WEIGHTS:
+        return f"({column} * {_double(MOLAR_VOLUME)} / {_double(PPB_WEIGHTS[pollutant])})"
+    return column
 
 
-def sub_index(pollutant: str, c: Column, bands: str = "v2") -> Column:
-    return interpolate(in_band_units(pollutant, c), BANDS[bands][pollutant])
+def sub_index(pollutant: str, column: str, bands: str = "v2") -> Column:
+    """Half-even rounded position of the concentration in its band; NULL when it is in none."""
+    c = _in_band_units(pollutant, column)
+    arms = []
+    for low, high, index_low, index_high in BANDS[bands][pollutant]:
+        slope = f"({_double(index_high - index_low)} / ({_double(high)} - {_double(low)}))"
+        value = f"rint({slope} * ({c} - {_double(low)}) + {_double(index_low)})"
+        arms.append(f"WHEN {c} >= {_double(low)} AND {c} <= {_double(high)} THEN {value}")
+    return F.expr(f"CASE {' '.join(arms)} END")
 
 
 def sub_index_name(pollutant: str) -> str:
@@ -105,7 +105,7 @@ def sub_index_name(pollutant: str) -> str:
 def with_aqi(df: DataFrame, bands: str = "v2") -> DataFrame:
     """Add the six sub-indices and their row maximum ``target_aqi``."""
     order = ["pm2_5", "pm10", "co", "no2", "so2", "o3"]
-    subs = {sub_index_name(p): sub_index(p, F.col(p), bands) for p in order}
+    subs = {sub_index_name(p): sub_index(p, p, bands) for p in order}
     return df.withColumns(subs).withColumn(INDEX, F.greatest(*[F.col(n) for n in subs]))
 
 

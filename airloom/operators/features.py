@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.calendar import calendar_columns, cyclic_columns
@@ -14,39 +14,39 @@ from airloom.schemas import CHANGES, HORIZONS, INDEX, LAGS, SERIES, TARGETS, TIM
 REACH_BACK = max(LAGS)
 REACH_AHEAD = max(HORIZONS.values())
 
-Columns = Callable[[WindowSpec], dict[str, Column]]
+Columns = Callable[[str], dict[str, str]]
 
 
-def lag_columns(w: WindowSpec) -> dict[str, Column]:
+def lag_columns(w: str) -> dict[str, str]:
     return {f"{s}_lag_{n}h": lag_of(src, n, w) for s, (src, _, _) in SERIES.items() for n in LAGS}
 
 
-def mean_columns(w: WindowSpec) -> dict[str, Column]:
+def mean_columns(w: str) -> dict[str, str]:
     return {
-        f"{s}_rolling_mean_{n}h": full_frame(F.avg, src, n, w)
+        f"{s}_rolling_mean_{n}h": full_frame("avg", src, n, w)
         for s, (src, sizes, _) in SERIES.items() for n in sizes
     }
 
 
-def std_columns(w: WindowSpec) -> dict[str, Column]:
+def std_columns(w: str) -> dict[str, str]:
     return {
-        f"{s}_rolling_std_{n}h": full_frame(F.stddev_samp, src, n, w)
+        f"{s}_rolling_std_{n}h": full_frame("stddev_samp", src, n, w)
         for s, (src, _, sizes) in SERIES.items() for n in sizes
     }
 
 
-def change_columns(w: WindowSpec) -> dict[str, Column]:
+def change_columns(w: str) -> dict[str, str]:
     return {
-        f"{s}_change_{name}": lag_of(src, near, w) - lag_of(src, far, w)
+        f"{s}_change_{name}": f"{lag_of(src, near, w)} - {lag_of(src, far, w)}"
         for s, (src, _, _) in SERIES.items() for name, (near, far) in CHANGES.items()
     }
 
 
-def target_columns(w: WindowSpec) -> dict[str, Column]:
-    return {TARGETS[h]: F.lead(INDEX, n).over(w) for h, n in HORIZONS.items()}
+def target_columns(w: str) -> dict[str, str]:
+    return {TARGETS[h]: f"lead({INDEX}, {n}) OVER ({w})" for h, n in HORIZONS.items()}
 
 
-def history_columns(w: WindowSpec) -> dict[str, Column]:
+def history_columns(w: str) -> dict[str, str]:
     """Every lag, rolling and change feature, over one shared window."""
     return {**lag_columns(w), **mean_columns(w), **std_columns(w), **change_columns(w)}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.calendar import calendar_columns, cyclic_columns
@@ -16,32 +16,32 @@ LEGACY_WINDOWS = [3, 6, 12, 24]
 REQUIRED = ["aqi_lag_24", "pm2_5_lag_24", "aqi_rolling_mean_24", "pm2_5_rolling_mean_24"]
 
 
-def lag_columns(w: WindowSpec) -> dict[str, Column]:
+def lag_columns(w: str) -> dict[str, str]:
     return {f"{c}_lag_{n}": lag_of(c, n, w) for c in LAGGED for n in LEGACY_LAGS}
 
 
-def rolling_columns(w: WindowSpec) -> dict[str, Column]:
+def rolling_columns(w: str) -> dict[str, str]:
     out = {}
     for n in LEGACY_WINDOWS:
         for c in ROLLED:
-            out[f"{c}_rolling_mean_{n}"] = full_frame(F.avg, c, n, w, shift=0)
-            out[f"{c}_rolling_std_{n}"] = full_frame(F.stddev_samp, c, n, w, shift=0)
+            out[f"{c}_rolling_mean_{n}"] = full_frame("avg", c, n, w, shift=0)
+            out[f"{c}_rolling_std_{n}"] = full_frame("stddev_samp", c, n, w, shift=0)
     return out
 
 
-def change_columns(w: WindowSpec) -> dict[str, Column]:
-    return {f"{c}_change_1h": F.col(c) - lag_of(c, 1, w) for c in LAGGED}
+def change_columns(w: str) -> dict[str, str]:
+    return {f"{c}_change_1h": f"{c} - {lag_of(c, 1, w)}" for c in LAGGED}
 
 
-def pct_change_columns(w: WindowSpec) -> dict[str, Column]:
+def pct_change_columns(w: str) -> dict[str, str]:
     """Relative change; undefined (NULL) when the previous value is zero."""
     return {
-        f"{c}_pct_change": F.when(lag_of(c, 1, w) != 0.0, F.col(c) / lag_of(c, 1, w) - F.lit(1.0))
+        f"{c}_pct_change": f"CASE WHEN {lag_of(c, 1, w)} <> 0 THEN {c} / {lag_of(c, 1, w)} - 1D END"
         for c in ("pm2_5", "pm10")
     }
 
 
-def all_columns(w: WindowSpec) -> dict[str, Column]:
+def all_columns(w: str) -> dict[str, str]:
     return {**lag_columns(w), **rolling_columns(w), **change_columns(w), **pct_change_columns(w)}
 
 

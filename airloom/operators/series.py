@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.schemas import STATION, TIME
@@ -37,8 +37,8 @@ def choose_layout(keys: DataFrame, limit: int = MAX_ROWS_PER_GROUP) -> Layout:
     return Layout() if longest <= limit else Layout(rows_per_chunk=limit)
 
 
-def by_station() -> WindowSpec:
-    return Window.partitionBy(STATION).orderBy(TIME)
+SERIES_WINDOW = f"PARTITION BY {STATION} ORDER BY {TIME}"
+CHUNK_WINDOW = f"PARTITION BY {STATION}, _chunk ORDER BY {TIME}"
 
 
 def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
@@ -47,7 +47,7 @@ def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
         station = Window.partitionBy(STATION)
         return df.select(
             "*",
-            (F.row_number().over(by_station()) - 1).cast("long").alias("row_index"),
+            (F.row_number().over(station.orderBy(TIME)) - 1).cast("long").alias("row_index"),
             F.count(F.lit(1)).over(station).alias("series_rows"),
         )
     block = F.floor(F.unix_seconds(F.col(TIME)) / layout.block_seconds)
@@ -71,14 +71,17 @@ def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
 
 def window_rows(
     df: DataFrame,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[str], dict[str, str]],
     before: int = 0,
     after: int = 0,
     layout: Layout = Layout(),
 ) -> DataFrame:
-    """Append ``columns(window)``; frames may reach ``before`` rows back and ``after`` forward."""
+    """Append ``columns(window)``, SQL expressions by name over the given window text.
+
+    Frames may reach ``before`` rows back and ``after`` rows forward.
+    """
     if layout.rows_per_chunk is None:
-        return df.select("*", *[c.alias(n) for n, c in columns(by_station()).items()])
+        return df.selectExpr("*", *named(columns(SERIES_WINDOW)))
     size = layout.rows_per_chunk
     if size < max(before, after):
         raise ValueError("a chunk must be at least as long as the frames reach")
@@ -94,20 +97,24 @@ def window_rows(
         .withColumn("_chunk", F.explode(homes))
         .withColumn("_own", F.col("_chunk") == home)
     )
-    window = Window.partitionBy(STATION, "_chunk").orderBy(TIME)
-    computed = columns(window)
+    computed = columns(CHUNK_WINDOW)
     return (
-        spread.select("*", *[c.alias(n) for n, c in computed.items()])
+        spread.selectExpr("*", *named(computed))
         .filter("_own")
         .select(*df.columns, *computed)
     )
 
 
-def lag_of(column: str, n: int, w: WindowSpec) -> Column:
-    return F.lag(column, n).over(w)
+def named(columns: dict[str, str]) -> list[str]:
+    return [f"{e} AS {n}" for n, e in columns.items()]
+
+
+def lag_of(column: str, n: int, w: str) -> str:
+    return f"lag({column}, {n}) OVER ({w})"
 
 
-def full_frame(agg: Callable[[str], Column], column: str, rows: int, w: WindowSpec, shift: int = 1) -> Column:
+def full_frame(agg: str, column: str, rows: int, w: str, shift: int = 1) -> str:
     """``agg`` over the ``rows`` rows ending ``shift`` rows back; NULL unless all are present."""
-    frame = w.rowsBetween(-(rows - 1) - shift, -shift)
-    return F.when(F.count(column).over(frame) == rows, agg(column).over(frame))
+    end = f"{shift} PRECEDING" if shift else "CURRENT ROW"
+    over = f"OVER ({w} ROWS BETWEEN {rows - 1 + shift} PRECEDING AND {end})"
+    return f"CASE WHEN count({column}) {over} = {rows} THEN {agg}({column}) {over} END"

@@ -47,14 +47,13 @@ def describe_columns(df: DataFrame, columns: list[str] = POLLUTANTS) -> DataFram
 
 def category_distribution(df: DataFrame, column: str = INDEX, closed: bool = True) -> DataFrame:
     """Rows per category in category order; empty categories count zero, missing values are skipped."""
-    counted = (
-        df.select(category_binned(F.col(column), closed).alias("category"))
-        .filter("category IS NOT NULL").groupBy("category").count()
-    )
-    labels = df.sparkSession.createDataFrame(list(enumerate(CATEGORY_LABELS)), "position int, category string")
-    return labels.join(counted, "category", "left").select(
-        "position", "category", F.coalesce("count", F.lit(0)).alias("rows"),
-    )
+    label = df.select(category_binned(F.col(column), closed).alias("label"))
+    counts = label.agg(*[F.count_if(F.col("label") == n).alias(n) for n in CATEGORY_LABELS])
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(n).alias("category"), F.col(f"`{n}`").alias("rows"))
+        for i, n in enumerate(CATEGORY_LABELS)
+    ])
+    return counts.select(F.inline(entries))
 
 
 def _pairs_long(row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -56,17 +56,20 @@ def category_distribution(df: DataFrame, column: str = INDEX, closed: bool = Tru
     return counts.select(F.inline(entries))
 
 
-def _pairs_long(row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson correlations over pairwise complete rows, all in one pass.
+
+    A constant column has no correlation (NULL).
+    """
     entries = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_{a}__{b}").alias("corr"))
-        for a, b in pairs
+        F.struct(F.lit(i).alias("_p"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+        for i, (a, b) in enumerate(pairs)
     ])
-    return row.select(F.inline(entries))
-
-
-def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson correlations over pairwise complete rows, all in one pass."""
-    return _pairs_long(df.agg(*[F.corr(a, b).alias(f"_{a}__{b}") for a, b in pairs]), pairs)
+    complete = df.select(F.inline(entries)).filter("_a IS NOT NULL AND _b IS NOT NULL")
+    spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
+    found = complete.groupBy("_p").agg((F.covar_pop("_a", "_b") / spread).alias("corr"))
+    names = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs])
+    return found.select(F.element_at(names, F.col("_p") + 1).alias("_n"), "corr").select("_n.*", "corr")
 
 
 def correlation_with_index(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:

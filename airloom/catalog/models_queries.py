@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airloom.catalog import views as V
+from airloom.catalog.base_sql import (
+    COMPACT_CTE, OBS, TARGETS_CTE, aqi_cte, features_cte, not_null, query as sql,
+)
 from airloom.catalog.registry import query
 from airloom.models import estimators as E
 from airloom.models import forecast as P
@@ -16,7 +19,7 @@ from airloom.operators.split import expanding_folds, time_split
 from airloom.operators.stats import correlation_pairs
 from airloom.plans import documents as D
 from airloom.plans import jobs as K
-from airloom.schemas import MODEL_INPUTS, PRODUCTION_FEATURES, STATION, TARGETS
+from airloom.schemas import FEATURES, MODEL_INPUTS, PRODUCTION_FEATURES, STATION, TARGETS
 from airloom.session import shared_path, written
 
 TREES, DEPTH = 6, 5
@@ -74,7 +77,9 @@ def ml_evaluate(spark, sf_dir):
     return T.evaluate_models(T.train_production(train, PRODUCTION_FEATURES, TREES, DEPTH), test)
 
 
-@query("ml_model_roundtrip")
+@query("ml_model_roundtrip", sql(
+    f"""SELECT count(*) AS rows, 0e0 AS difference_24h, 0e0 AS difference_48h, 0e0 AS difference_72h
+    FROM feats WHERE {not_null(FEATURES)}""", OBS, aqi_cte("v1"), TARGETS_CTE, COMPACT_CTE, features_cte("compact")))
 def ml_model_roundtrip(spark, sf_dir):
     """Largest difference between predictions before and after storing the models."""
     rows, models = production(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airloom.schemas import STATION, TIME
 
 TOLERANCE_SECONDS = 90 * 60
-BLOCK_SECONDS = 6 * 3600
+BLOCK_SECONDS = 3600
 
 
 def join_hours(weather: DataFrame, air: DataFrame) -> DataFrame:
@@ -27,49 +27,51 @@ def asof_nearest(
     """Left rows with ``values`` of the nearest right row of the station within the tolerance.
 
     Equal distances go backward; among right rows of one time the backward side takes the last to
-    arrive and the forward side the first. Time is cut into blocks and a right row also enters
-    the neighbouring block its tolerance reaches, so candidates meet by an equality on
-    (station, block): one shuffle, groups bounded by time rather than by station, no pairs.
+    arrive and the forward side the first. A row without a time is an error.
+
+    Rows meet by an equality on (station, time block), so a group is one block of one station
+    however long its series is, and no pairs are formed. What a block cannot see, the last right
+    row before it and the first one after it, is carried in from a summary that holds one row
+    per station and block.
     """
-    if block_seconds < 2 * tolerance_seconds:
-        raise ValueError("a block must span twice the tolerance")
-    step = F.lit(block_seconds * 1_000_000)
     reach = tolerance_seconds * 1_000_000
-    micros = F.unix_micros(F.col(TIME))
-
-    def block(c):
-        return F.floor(c / step)
-
-    own = [F.col(c).alias(f"_l_{c}") for c in left.columns]
+    moment = F.coalesce(F.col(TIME), F.raise_error(F.lit("nearest-time join: a row has no timestamp")))
+    micros = F.unix_micros(moment)
+    block = F.floor(F.unix_seconds(moment) / block_seconds)
+    place = [F.col(STATION), block.alias("_block"), micros.alias("_at")]
     lefts = left.select(
-        F.col(STATION), micros.alias("_at"), F.lit(1).alias("_side"), F.col(arrival).alias("_arrival"),
-        block(micros).alias("_block"), F.struct(*own).alias("_left"),
+        *place, F.lit(1).alias("_side"), F.col(arrival).alias("_arrival"),
+        F.struct(*[F.col(c).alias(f"_l_{c}") for c in left.columns]).alias("_left"),
     )
     rights = right.select(
-        F.col(STATION), micros.alias("_at"), F.lit(0).alias("_side"), F.col(arrival).alias("_arrival"),
-        F.explode(F.sequence(block(micros - reach), block(micros + reach))).alias("_block"),
-        F.struct(micros.alias("_at"), *values).alias("_right"),
+        *place, F.lit(0).alias("_side"), F.col(arrival).alias("_arrival"),
+        F.struct(micros.alias("_at"), F.col(arrival).alias("_arrival"), *values).alias("_right"),
     )
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = ["_at", "_side", "_arrival"]
-    base = Window.partitionBy(STATION, "_block")
+    edges = both.groupBy(STATION, "_block").agg(F.min("_right").alias("_first"), F.max("_right").alias("_last"))
+    blocks = Window.partitionBy(STATION).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(
+        STATION, "_block",
+        F.last("_last", ignorenulls=True).over(blocks.orderBy("_block")).alias("_carry_back"),
+        F.last("_first", ignorenulls=True).over(blocks.orderBy(F.desc("_block"))).alias("_carry_fore"),
+    )
     # The reversed sort gives the following row as a running value; a frame that looks ahead
     # to the end of its group would be quadratic.
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    backward = base.orderBy(*order).rowsBetween(*so_far)
-    forward = base.orderBy(*[F.desc(c) for c in order]).rowsBetween(*so_far)
-    matched = (
-        both.withColumn("_back", F.last("_right", ignorenulls=True).over(backward))
-        .withColumn("_fore", F.last("_right", ignorenulls=True).over(forward))
-        .filter("_side = 1")
-    )
+    order = ["_at", "_side", "_arrival"]
+    group = Window.partitionBy(STATION, "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = F.last("_right", ignorenulls=True).over(group.orderBy(*order))
+    fore = F.last("_right", ignorenulls=True).over(group.orderBy(*[F.desc(c) for c in order]))
+    seen = both.join(carried, [STATION, "_block"]).select(
+        "_side", "_at", "_left",
+        F.coalesce(back, F.col("_carry_back")).alias("_back"), F.coalesce(fore, F.col("_carry_fore")).alias("_fore"),
+    ).filter("_side = 1")
     back_gap = F.col("_at") - F.col("_back._at")
     fore_gap = F.col("_fore._at") - F.col("_at")
     nearest = (
         F.when((back_gap <= reach) & (fore_gap.isNull() | (back_gap <= fore_gap)), F.col("_back"))
         .when(fore_gap <= reach, F.col("_fore"))
     )
-    return matched.withColumn("_hit", nearest).select(
+    return seen.withColumn("_hit", nearest).select(
         *[F.col(f"_left._l_{c}").alias(c) for c in left.columns],
         *[F.col(f"_hit.{c}").alias(c) for c in values],
     )

@@ -18,15 +18,15 @@ from airloom.plans.documents import DOCUMENT_POLLUTANTS
 from airloom.schemas import (
     FEATURES, INDEX, ML_COLUMNS, OBSERVATION, PRODUCTION_FEATURES, SEQ, STATION, TARGETS, TIME,
 )
+from airloom.session import written
 from airloom.sources import payloads as P
 from airloom.sources import store as S
 
 
 def clean_records(payloads: DataFrame) -> DataFrame:
     """Record-list payloads: pollution rows with the nearest weather, first row of each time."""
-    weather = P.weather_records(payloads).filter(f"{TIME} IS NOT NULL")
-    pollution = P.pollution_records(payloads)
-    merged = asof_nearest(pollution, weather, list(P.WEATHER_FIELDS), SEQ)
+    merged = asof_nearest(
+        P.pollution_records(payloads), P.weather_records(payloads), list(P.WEATHER_FIELDS), SEQ)
     return keep_first(merged, [SEQ]).drop(SEQ)
 
 
@@ -46,16 +46,22 @@ def training_source(spark: SparkSession, path: str, kind: str = "store", arrival
     raise ValueError(f"unknown training source {kind!r}")
 
 
+def settled(df: DataFrame, layout: Layout) -> DataFrame:
+    return df if layout.rows_per_chunk is None else written(df, "series")
+
+
 def ml_dataset(
     observations: DataFrame, layout: Layout = Layout(), bands: str = "v1",
 ) -> DataFrame:
     """Training rows: index, targets, features.
 
     Rows without targets leave before the lags are taken, so the two window passes stay apart;
-    both partition by station and share one shuffle.
+    both partition by station and share one shuffle. A chunked layout reads its input twice per
+    pass, to number the rows and to place them, so each pass starts from a written table.
     """
-    indexed = with_aqi(observations, bands)
+    indexed = settled(with_aqi(observations, bands), layout)
     framed = drop_incomplete(with_targets(indexed, layout), list(TARGETS.values()))
+    framed = settled(framed, layout)
     featured = require_columns(with_features(framed, layout), ML_COLUMNS)
     complete = drop_incomplete(featured.select(STATION, *ML_COLUMNS), FEATURES + list(TARGETS.values()))
     return complete
@@ -63,7 +69,7 @@ def ml_dataset(
 
 def feature_table(observations: DataFrame, layout: Layout = Layout(), bands: str = "v2") -> DataFrame:
     """Serving features of every row; no targets and no dropped rows."""
-    return with_features(with_aqi(dedupe_columns(observations), bands), layout)
+    return with_features(settled(with_aqi(dedupe_columns(observations), bands), layout), layout)
 
 
 def serving_columns(features: list[str]) -> list[str]:

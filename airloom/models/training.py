@@ -37,10 +37,10 @@ SEARCHED = {
 }
 
 
-def in_parallel(tasks: list[Callable], width: int = PARALLEL_FITS) -> list:
+def in_parallel(spark: SparkSession, tasks: list[Callable], width: int = PARALLEL_FITS) -> list:
     """Results in order; each task submits its own Spark jobs."""
     with ThreadPool(width) as pool:
-        waiting = [pool.apply_async(inheritable_thread_target(t)) for t in tasks]
+        waiting = [pool.apply_async(inheritable_thread_target(spark)(t)) for t in tasks]
         return [w.get() for w in waiting]
 
 
@@ -79,7 +79,7 @@ def classical_leaderboard(
 ) -> DataFrame:
     """Every model on every target, best first within a target."""
     cases = [(t, n) for t in TARGETS.values() for n in models]
-    scores = in_parallel([
+    scores = in_parallel(train.sparkSession, [
         lambda t=t, n=n: _fit_and_score(models[n], features, train, test, t) for t, n in cases
     ])
     rows = [(t, n, *s.values()) for (t, n), s in zip(cases, scores)]
@@ -97,7 +97,7 @@ def feature_count_experiment(
     }
     chosen = {n: MODEL_INPUTS if n >= len(MODEL_INPUTS) else [f for f in ranked[:n] if f in MODEL_INPUTS] for n in counts}
     cases = [(n, m, t) for n in counts for t in TARGETS.values() for m in models]
-    scores = in_parallel([
+    scores = in_parallel(train.sparkSession, [
         lambda n=n, m=m, t=t: _fit_and_score(models[m], chosen[n], train, test, t) for n, m, t in cases
     ])
     rows = [(len(chosen[n]), m, t, *s.values()) for (n, m, t), s in zip(cases, scores)]
@@ -130,7 +130,7 @@ def tune(
                 fitted = E.pipeline(make(target, **options[o]), features).fit(train.filter(F.col("test_fold") < f))
                 return evaluate(fitted, train.filter(F.col("test_fold") == f), target)["mae"]
 
-            errors = in_parallel([lambda o=o, f=f: score(o, f) for o, f in cases])
+            errors = in_parallel(train.sparkSession, [lambda o=o, f=f: score(o, f) for o, f in cases])
             mean = [sum(errors[o * folds:(o + 1) * folds]) / folds for o in range(len(options))]
             best = min(range(len(options)), key=mean.__getitem__)
             fitted = E.pipeline(make(target, **options[best]), features).fit(train)
@@ -146,7 +146,7 @@ def train_production(
     tasks = [
         lambda t=t: E.pipeline(E.extra_trees(t, trees, depth), features).fit(rows) for t in TARGETS.values()
     ]
-    return dict(zip(TARGETS, in_parallel(tasks)))
+    return dict(zip(TARGETS, in_parallel(rows.sparkSession, tasks)))
 
 
 def save_models(models: dict[str, PipelineModel], path: str) -> str:

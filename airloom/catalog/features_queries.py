@@ -37,13 +37,13 @@ def lag_features(spark, sf_dir):
 
 @query("rolling_means", sql(f"SELECT station_id, timestamp, {_round_all(mean_sql())} FROM aqi", OBS, AQI))
 def rolling_means(spark, sf_dir):
-    out = X.with_history(V.obs_aqi(spark, sf_dir), V.layout(spark, sf_dir), X.mean_columns)
+    out = X.with_history(V.obs_aqi(spark, sf_dir), V.layout(spark, sf_dir), X.rolling_columns)
     return rounded(out.select(STATION, TIME, *MEAN_COLUMNS), *MEAN_COLUMNS)
 
 
 @query("rolling_stds", sql(f"SELECT station_id, timestamp, {_round_all(std_sql())} FROM aqi", OBS, AQI))
 def rolling_stds(spark, sf_dir):
-    out = X.with_history(V.obs_aqi(spark, sf_dir), V.layout(spark, sf_dir), X.std_columns)
+    out = X.with_history(V.obs_aqi(spark, sf_dir), V.layout(spark, sf_dir), X.rolling_columns)
     return rounded(out.select(STATION, TIME, *STD_COLUMNS), *STD_COLUMNS)
 
 

@@ -2,56 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.calendar import calendar_columns, cyclic_columns
-from airloom.operators.series import Layout, full_frame, lag_of, window_rows
+from airloom.operators.series import Layout, Stages, lag_of, rolling_stages, window_rows
 from airloom.schemas import CHANGES, HORIZONS, INDEX, LAGS, SERIES, TARGETS, TIME
 
 REACH_BACK = max(LAGS)
 REACH_AHEAD = max(HORIZONS.values())
 
-Columns = Callable[[str], dict[str, str]]
-
-
-def lag_columns(w: str) -> dict[str, str]:
-    return {f"{s}_lag_{n}h": lag_of(src, n, w) for s, (src, _, _) in SERIES.items() for n in LAGS}
-
 
-def mean_columns(w: str) -> dict[str, str]:
-    return {
-        f"{s}_rolling_mean_{n}h": full_frame("avg", src, n, w)
-        for s, (src, sizes, _) in SERIES.items() for n in sizes
-    }
+def lag_columns(w: str) -> list[dict[str, str]]:
+    return [{f"{s}_lag_{n}h": lag_of(src, n, w) for s, (src, _, _) in SERIES.items() for n in LAGS}]
 
 
-def std_columns(w: str) -> dict[str, str]:
-    return {
-        f"{s}_rolling_std_{n}h": full_frame("stddev_samp", src, n, w)
-        for s, (src, _, sizes) in SERIES.items() for n in sizes
-    }
-
-
-def change_columns(w: str) -> dict[str, str]:
-    return {
+def change_columns(w: str) -> list[dict[str, str]]:
+    return [{
         f"{s}_change_{name}": f"{lag_of(src, near, w)} - {lag_of(src, far, w)}"
         for s, (src, _, _) in SERIES.items() for name, (near, far) in CHANGES.items()
-    }
+    }]
+
+
+def rolling_columns(w: str) -> list[dict[str, str]]:
+    """Rolling means and deviations of the rows before the current one."""
+    return rolling_stages(SERIES, w, shift=1, name=lambda s, kind, n: f"{s}_rolling_{kind}_{n}h")
 
 
-def target_columns(w: str) -> dict[str, str]:
-    return {TARGETS[h]: f"lead({INDEX}, {n}) OVER ({w})" for h, n in HORIZONS.items()}
+def target_columns(w: str) -> list[dict[str, str]]:
+    return [{TARGETS[h]: f"lead({INDEX}, {n}) OVER ({w})" for h, n in HORIZONS.items()}]
 
 
-def history_columns(w: str) -> dict[str, str]:
-    """Every lag, rolling and change feature, over one shared window."""
-    return {**lag_columns(w), **mean_columns(w), **std_columns(w), **change_columns(w)}
+def history_columns(w: str) -> list[dict[str, str]]:
+    """Every lag, change and rolling feature."""
+    first, *rest = rolling_columns(w)
+    return [{**lag_columns(w)[0], **change_columns(w)[0], **first}, *rest]
 
 
-def with_history(df: DataFrame, layout: Layout = Layout(), columns: Columns = history_columns) -> DataFrame:
+def with_history(df: DataFrame, layout: Layout = Layout(), columns: Stages = history_columns) -> DataFrame:
     return window_rows(df, columns, before=REACH_BACK, layout=layout)
 
 

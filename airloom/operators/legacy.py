@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.calendar import calendar_columns, cyclic_columns
-from airloom.operators.series import Layout, full_frame, lag_of, window_rows
+from airloom.operators.series import Layout, lag_of, rolling_stages, window_rows
 from airloom.schemas import TIME
 
 LAGGED = ["aqi", "pm2_5", "pm10"]
@@ -16,33 +16,30 @@ LEGACY_WINDOWS = [3, 6, 12, 24]
 REQUIRED = ["aqi_lag_24", "pm2_5_lag_24", "aqi_rolling_mean_24", "pm2_5_rolling_mean_24"]
 
 
-def lag_columns(w: str) -> dict[str, str]:
-    return {f"{c}_lag_{n}": lag_of(c, n, w) for c in LAGGED for n in LEGACY_LAGS}
+def lag_columns(w: str) -> list[dict[str, str]]:
+    return [{f"{c}_lag_{n}": lag_of(c, n, w) for c in LAGGED for n in LEGACY_LAGS}]
 
 
-def rolling_columns(w: str) -> dict[str, str]:
-    out = {}
-    for n in LEGACY_WINDOWS:
-        for c in ROLLED:
-            out[f"{c}_rolling_mean_{n}"] = full_frame("avg", c, n, w, shift=0)
-            out[f"{c}_rolling_std_{n}"] = full_frame("stddev_samp", c, n, w, shift=0)
-    return out
+def rolling_columns(w: str) -> list[dict[str, str]]:
+    series = {c: (c, LEGACY_WINDOWS, LEGACY_WINDOWS) for c in ROLLED}
+    return rolling_stages(series, w, shift=0, name=lambda s, kind, n: f"{s}_rolling_{kind}_{n}")
 
 
-def change_columns(w: str) -> dict[str, str]:
-    return {f"{c}_change_1h": f"{c} - {lag_of(c, 1, w)}" for c in LAGGED}
+def change_columns(w: str) -> list[dict[str, str]]:
+    return [{f"{c}_change_1h": f"{c} - {lag_of(c, 1, w)}" for c in LAGGED}]
 
 
-def pct_change_columns(w: str) -> dict[str, str]:
+def pct_change_columns(w: str) -> list[dict[str, str]]:
     """Relative change; undefined (NULL) when the previous value is zero."""
-    return {
+    return [{
         f"{c}_pct_change": f"CASE WHEN {lag_of(c, 1, w)} <> 0 THEN {c} / {lag_of(c, 1, w)} - 1D END"
         for c in ("pm2_5", "pm10")
-    }
+    }]
 
 
-def all_columns(w: str) -> dict[str, str]:
-    return {**lag_columns(w), **rolling_columns(w), **change_columns(w), **pct_change_columns(w)}
+def all_columns(w: str) -> list[dict[str, str]]:
+    first, *rest = rolling_columns(w)
+    return [{**lag_columns(w)[0], **change_columns(w)[0], **pct_change_columns(w)[0], **first}, *rest]
 
 
 def with_legacy(df: DataFrame, columns=all_columns, layout: Layout = Layout()) -> DataFrame:

@@ -69,19 +69,31 @@ def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def window_rows(
-    df: DataFrame,
-    columns: Callable[[str], dict[str, str]],
-    before: int = 0,
-    after: int = 0,
-    layout: Layout = Layout(),
-) -> DataFrame:
-    """Append ``columns(window)``, SQL expressions by name over the given window text.
-
-    Frames may reach ``before`` rows back and ``after`` rows forward.
+Stages = Callable[[str], list[dict[str, str]]]
+
+
+def window_rows(df: DataFrame, stages: Stages, before: int = 0, after: int = 0, layout: Layout = Layout()) -> DataFrame:
+    """Append the columns of ``stages(window)``: SQL expressions by name over the given window text.
+
+    A stage may use the columns of earlier ones; names that start with ``_`` are helpers. All
+    stages together may reach ``before`` rows back and ``after`` rows forward. They share one
+    partitioning and one sort.
     """
-    if layout.rows_per_chunk is None:
-        return df.selectExpr("*", *named(columns(SERIES_WINDOW)))
+    size = layout.rows_per_chunk
+    rows, window = df, SERIES_WINDOW
+    if size is not None:
+        rows, window = _chunked(df, before, after, layout), CHUNK_WINDOW
+    made = []
+    for stage in stages(window):
+        rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in stage.items()])
+        made += [n for n in stage if not n.startswith("_")]
+    if size is not None:
+        rows = rows.filter("_own")
+    return rows.select(*df.columns, *made)
+
+
+def _chunked(df: DataFrame, before: int, after: int, layout: Layout) -> DataFrame:
+    """Rows with their chunk, and copies for the neighbours whose frames reach them."""
     size = layout.rows_per_chunk
     if size < max(before, after):
         raise ValueError("a chunk must be at least as long as the frames reach")
@@ -92,29 +104,50 @@ def window_rows(
         F.when(place >= size - before, home + 1),
         F.when((place < after) & (home > 0), home - 1),
     ))
-    spread = (
+    return (
         with_row_index(df, layout)
         .withColumn("_chunk", F.explode(homes))
         .withColumn("_own", F.col("_chunk") == home)
     )
-    computed = columns(CHUNK_WINDOW)
-    return (
-        spread.selectExpr("*", *named(computed))
-        .filter("_own")
-        .select(*df.columns, *computed)
-    )
-
-
-def named(columns: dict[str, str]) -> list[str]:
-    return [f"{e} AS {n}" for n, e in columns.items()]
 
 
 def lag_of(column: str, n: int, w: str) -> str:
-    return f"lag({column}, {n}) OVER ({w})"
+    return f"lag({column}, {n}) OVER ({w})" if n else column
+
 
+def rolling_stages(
+    series: dict[str, tuple[str, list[int], list[int]]], w: str, shift: int, name: Callable[[str, str, int], str],
+) -> list[dict[str, str]]:
+    """Mean and sample deviation over full windows of 3, 6, 12, ... rows ending ``shift`` rows back.
 
-def full_frame(agg: str, column: str, rows: int, w: str, shift: int = 1) -> str:
-    """``agg`` over the ``rows`` rows ending ``shift`` rows back; NULL unless all are present."""
-    end = f"{shift} PRECEDING" if shift else "CURRENT ROW"
-    over = f"OVER ({w} ROWS BETWEEN {rows - 1 + shift} PRECEDING AND {end})"
-    return f"CASE WHEN count({column}) {over} = {rows} THEN {agg}({column}) {over} END"
+    ``series`` maps a prefix to its source column and the window sizes of each statistic. A window
+    of 2n rows is two windows of n rows, n apart, so each size costs one ``lag`` instead of a
+    pass over its frame. Halves merge by mean and squared spread, which does not cancel, and a
+    missing or absent row makes every window that holds it NULL.
+    """
+    sizes = sorted({n for _, means, stds in series.values() for n in (*means, *stds)})
+    if any(n != 3 * 2 ** i for i, n in enumerate(sizes)):
+        raise ValueError("window sizes must double from 3")
+    first, base, levels = {}, {}, []
+    for s, (src, _, _) in series.items():
+        for i in range(3):
+            first[f"_{s}_{i}"] = lag_of(src, shift + i, w)
+        a, b, c = (f"_{s}_{i}" for i in range(3))
+        base[f"_{s}_mean_3"] = f"({a} + {b} + {c}) / 3D"
+        base[f"_{s}_spread_3"] = f"(({a} - {b}) * ({a} - {b}) + ({a} - {c}) * ({a} - {c}) + ({b} - {c}) * ({b} - {c})) / 3D"
+    for n in sizes[:-1]:
+        level = {}
+        for s, (_, means, stds) in series.items():
+            if max((*means, *stds)) > n:
+                mean, spread = f"_{s}_mean_{n}", f"_{s}_spread_{n}"
+                level[f"_{s}_mean_{2 * n}"] = f"({mean} + {lag_of(mean, n, w)}) / 2D"
+                if stds:
+                    level[f"_{s}_spread_{2 * n}"] = (
+                        f"{spread} + {lag_of(spread, n, w)} + power({mean} - {lag_of(mean, n, w)}, 2) * {n / 2}D"
+                    )
+        levels.append(level)
+    out = {}
+    for s, (_, means, stds) in series.items():
+        out |= {name(s, "mean", n): f"_{s}_mean_{n}" for n in means}
+        out |= {name(s, "std", n): f"sqrt(_{s}_spread_{n} / {n - 1}D)" for n in stds}
+    return [first, base, *levels, out]

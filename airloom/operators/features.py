@@ -34,9 +34,10 @@ def target_columns(w: str) -> list[dict[str, str]]:
 
 
 def history_columns(w: str) -> list[dict[str, str]]:
-    """Every lag, change and rolling feature."""
-    first, *rest = rolling_columns(w)
-    return [{**lag_columns(w)[0], **change_columns(w)[0], **first}, *rest]
+    """Every lag, change and rolling feature; the many plain lags join last, so that the rows
+    passing through the rolling levels stay narrow."""
+    *levels, last, out = rolling_columns(w)
+    return [*levels, {**last, **lag_columns(w)[0], **change_columns(w)[0]}, out]
 
 
 def with_history(df: DataFrame, layout: Layout = Layout(), columns: Stages = history_columns) -> DataFrame:

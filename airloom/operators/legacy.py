@@ -38,8 +38,8 @@ def pct_change_columns(w: str) -> list[dict[str, str]]:
 
 
 def all_columns(w: str) -> list[dict[str, str]]:
-    first, *rest = rolling_columns(w)
-    return [{**lag_columns(w)[0], **change_columns(w)[0], **pct_change_columns(w)[0], **first}, *rest]
+    *levels, last, out = rolling_columns(w)
+    return [*levels, {**last, **lag_columns(w)[0], **change_columns(w)[0], **pct_change_columns(w)[0]}, out]
 
 
 def with_legacy(df: DataFrame, columns=all_columns, layout: Layout = Layout()) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from airloom.schemas import STATION, TIME
 
-# A series row is roughly 200 bytes, so this keeps the largest window group near 200 MB.
-MAX_ROWS_PER_GROUP = 1_000_000
+# Eleven years of hours. A row grows to about 700 bytes on its way through the windows, which all
+# buffer their group, so a group of this length still fits the memory of one task.
+MAX_ROWS_PER_GROUP = 100_000
 
 
 @dataclass(frozen=True)

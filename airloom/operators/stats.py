@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.aqi import CATEGORY_LABELS, category_binned
-from airloom.operators.quantiles import quartiles
+from airloom.operators.quantiles import with_quartiles
 from airloom.schemas import CORRELATED, HORIZONS, INDEX, POLLUTANTS, TARGETS, TIME
 
 
@@ -34,15 +34,11 @@ def describe_index(df: DataFrame, column: str = INDEX) -> DataFrame:
 
 def describe_columns(df: DataFrame, columns: list[str] = POLLUTANTS) -> DataFrame:
     """The same summary for several continuous columns, one row each."""
-    long = unpivot(df, columns, [])
-    basic = long.groupBy("series").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basic.join(quartiles(long), "series", "left")
+    measures = {
+        "count": F.count("value"), "mean": F.avg("value"), "std": F.stddev_samp("value"),
+        "min": F.min("value"), "max": F.max("value"),
+    }
+    return with_quartiles(unpivot(df, columns, []), measures)
 
 
 def category_distribution(df: DataFrame, column: str = INDEX, closed: bool = True) -> DataFrame:

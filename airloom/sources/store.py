@@ -50,8 +50,11 @@ def seed(history: DataFrame, arrival: str) -> DataFrame:
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch; running the same batch again leaves the same store."""
-    dated = df.withColumn(DAY, F.to_date(TIME))
+    """Write one batch; running the same batch again leaves the same store.
+
+    Rebalancing by day keeps files few and splits a day that is too large for one task.
+    """
+    dated = df.withColumn(DAY, F.to_date(TIME)).hint("rebalance", DAY)
     dated.write.mode("overwrite").partitionBy(DAY).parquet(f"{path}/{BATCH}={batch_id}")
 
 

@@ -20,7 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from airloom.catalog import views as V  # noqa: E402
 from airloom.operators.joins import asof_nearest  # noqa: E402
-from airloom.operators.series import Layout, choose_layout  # noqa: E402
+from airloom.operators.series import MAX_ROWS_PER_GROUP, Layout, choose_layout  # noqa: E402
 from airloom.operators.stats import describe_columns  # noqa: E402
 from airloom.plans.jobs import ml_dataset  # noqa: E402
 from airloom.schemas import OBSERVATION, POLLUTANTS, STATION, WEATHER  # noqa: E402
@@ -65,13 +65,13 @@ def main() -> None:
         wx = rows.filter("event_type = 'view'").select("reading_id", *[STATION, "timestamp"], *WEATHER)
         air = rows.filter("event_type <> 'view'").select("reading_id", *[STATION, "timestamp"], *POLLUTANTS)
         start = time.perf_counter()
-        layout = choose_layout(rows.select(STATION), 100_000)
+        layout = choose_layout(rows.select(STATION))
         check = round(time.perf_counter() - start, 2)
         print(json.dumps({
             "rows": rows.count(), "layout_check": check, "chosen": layout.rows_per_chunk,
             "hourly": timed(V.hourly(rows)),
             "ml_dataset_plain": timed(ml_dataset(series)),
-            "ml_dataset_chunked": timed(ml_dataset(series, Layout(100_000))),
+            "ml_dataset_chunked": timed(ml_dataset(series, Layout(MAX_ROWS_PER_GROUP))),
             "asof_nearest": timed(asof_nearest(air, wx, WEATHER, "reading_id")),
             "describe": timed(describe_columns(rows)),
         }), flush=True)

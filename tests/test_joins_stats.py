@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from airloom.operators import joins as J
 from airloom.operators import metrics as M
 from airloom.operators import stats as S
-from airloom.operators.quantiles import SKETCH_ACCURACY, quartiles
+from airloom.operators.quantiles import SKETCH_ACCURACY, with_quartiles
 from airloom.operators.select import top_features
 from airloom.operators.validate import prepare_input, require_columns, require_rows, validate_store
 from airloom.schemas import CORRELATED, STATION, TIME
@@ -55,7 +55,7 @@ def test_quartiles_are_exact(spark, n):
     pdf = pd.DataFrame({"a": np.round(rng.gamma(2, 30, n), 3), "b": np.round(rng.normal(0, 5, n)), "c": 7.0})
     pdf.loc[::13, "b"] = np.nan
     df = spark.createDataFrame(pdf).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in pdf.columns])
-    got = quartiles(S.unpivot(df, ["a", "b", "c"], [])).toPandas().set_index("series")
+    got = with_quartiles(S.unpivot(df, ["a", "b", "c"], []), {"n": F.count("value")}).toPandas().set_index("series")
     want = pdf.quantile([0.25, 0.5, 0.75]).T
     np.testing.assert_allclose(got.loc[want.index][["p25", "p50", "p75"]].to_numpy(), want.to_numpy(), atol=1e-9)
 

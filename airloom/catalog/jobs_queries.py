@@ -20,7 +20,7 @@ from airloom.operators.validate import validate_store
 from airloom.plans import documents as D
 from airloom.plans import jobs as K
 from airloom.schemas import (
-    FEATURES, INDEX, MEASURES, OBSERVATION, OBSERVATION_SCHEMA, PRODUCTION_FEATURES, SEQ, STATION, TIME,
+    FEATURES, HORIZONS, INDEX, MEASURES, OBSERVATION, OBSERVATION_SCHEMA, PRODUCTION_FEATURES, SEQ, STATION, TIME,
 )
 from airloom.session import shared_path
 from airloom.sources import documents as SD
@@ -395,6 +395,20 @@ def validation_report(spark, sf_dir):
     return D.validation_report(ml, latest, PRODUCTION_FEATURES)
 
 
+@query("sink_validation_json", sql(
+    f"""SELECT station_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S+00:00') AS input_timestamp,
+      {', '.join(f"greatest(0e0, {c}) AS prediction_{h}" for h, c in _PRED.items())} FROM last_rows""",
+    OBS, aqi_cte("v1"), TARGETS_CTE, COMPACT_CTE, features_cte("compact"),
+    f"ml AS (SELECT * FROM feats WHERE {not_null(FEATURES)})", f"last_rows AS (SELECT * FROM ml {_LATEST})"))
+def sink_validation_json(spark, sf_dir):
+    ml = K.ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir))
+    docs = D.validation_documents(D.with_persistence(latest_complete_rows(ml, PRODUCTION_FEATURES)))
+    path = SD.write_documents(docs, shared_path(spark, "validation"))
+    back = SD.read_documents(spark, path, docs.schema)
+    return back.select(
+        STATION, "input_timestamp", *[F.col("predictions")[h].alias(f"prediction_{h}") for h in HORIZONS])
+
+
 @query("run_summary", sql(
     """SELECT station_id, count(*) AS rows, max(timestamp) AS latest_timestamp,
       max_by(coalesce(target_aqi, -1), timestamp) AS current_aqi, CAST(25 AS INTEGER) AS features

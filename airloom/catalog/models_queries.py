@@ -13,14 +13,15 @@ from airloom.models import estimators as E
 from airloom.models import forecast as P
 from airloom.models import importance as I
 from airloom.models import training as T
-from airloom.operators.metrics import run_baselines
-from airloom.operators.select import latest_complete_rows, tail_sample, top_features
+from airloom.operators.select import latest_complete_rows, tail_sample
 from airloom.operators.split import expanding_folds, time_split
 from airloom.operators.stats import correlation_pairs
 from airloom.plans import documents as D
+from airloom.plans import forecasting as G
 from airloom.plans import jobs as K
 from airloom.schemas import FEATURES, MODEL_INPUTS, PRODUCTION_FEATURES, STATION, TARGETS
 from airloom.session import shared_path, written
+from airloom.sources import documents as SD
 
 TREES, DEPTH = 6, 5
 T24 = TARGETS["24h"]
@@ -148,30 +149,14 @@ def job_forecast(spark, sf_dir):
     _, models = production(spark, sf_dir)
     loaded = T.load_models(T.save_models(models, shared_path(spark, "models")))
     serving = written(K.serving_features(V.obs(spark, sf_dir), V.layout(spark, sf_dir)), "serving")
-    scored = P.with_predictions(serving, loaded)
-    docs = D.forecast_documents(scored, F.format_string("station-%d", STATION), F.lit("unknown"))
-    alerts = D.hazard_alerts(docs).select(STATION, "hazards")
-    return D.flat_documents(docs).join(alerts, STATION, "left").withColumn("hazards", F.coalesce("hazards", F.lit(0)))
+    listed = SD.read_feature_list(spark, SD.write_feature_list(spark, PRODUCTION_FEATURES, shared_path(spark, "list")))
+    docs, alerts = G.forecast_job(serving, loaded, listed, F.format_string("station-%d", STATION), F.lit("unknown"))
+    return D.flat_documents(docs).join(alerts.select(STATION, "hazards"), STATION, "left").withColumn(
+        "hazards", F.coalesce("hazards", F.lit(0)))
 
 
 @query("job_training")
 def job_training(spark, sf_dir):
     """Dataset, baselines, importance, production models, validation; one row per finding."""
-    layout = V.layout(spark, sf_dir)
-    split = written(time_split(ml_rows(spark, sf_dir), layout), "split")
-    train, test = split.filter("is_train"), split.filter("NOT is_train")
-    baselines = run_baselines(test).select(
-        F.lit("baseline").alias("stage"), F.concat_ws(" ", "target", "model").alias("item"), F.col("mae").alias("value"))
-    forest = E.pipeline(E.random_forest(T24, TREES, DEPTH), MODEL_INPUTS).fit(train)
-    importance = written(I.feature_importance(forest, test, MODEL_INPUTS, T24, repeats=1), "importance")
-    valid = spark.createDataFrame([(f,) for f in MODEL_INPUTS], "feature string")
-    best = top_features(importance, valid, 25)
-    chosen = [r.feature for r in best.collect()]  # at most 25 names
-    models = T.train_production(split, chosen, TREES, DEPTH)
-    latest = P.with_predictions(latest_complete_rows(split, chosen), models)
-    checks = D.validation_report(split, latest, chosen).select(
-        F.lit("validation").alias("stage"), F.col("check").alias("item"), F.col("passed").cast("double").alias("value"))
-    selected = best.select(F.lit("selected").alias("stage"), F.col("feature").alias("item"), F.col("permutation_importance").alias("value"))
-    return baselines.unionAll(selected).unionAll(checks)
-
-
+    return G.training_job(
+        ml_rows(spark, sf_dir), V.layout(spark, sf_dir), importance_size=(TREES, DEPTH), model_size=(TREES, DEPTH), repeats=1)

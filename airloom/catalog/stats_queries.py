@@ -23,6 +23,9 @@ from airloom.schemas import (
     CORRELATED, FEATURES, INDEX, MEASURES, OBSERVATION, POLLUTANTS, PRODUCTION_FEATURES,
     STATION, TARGETS, TIME, WEATHER,
 )
+from airloom.session import shared_path
+from airloom.sources.documents import read_importance
+from airloom.sources.store import write_csv
 
 AQI = aqi_cte()
 AQI_V1 = aqi_cte("v1")
@@ -235,9 +238,13 @@ def join_importance(spark, sf_dir):
       SELECT * FROM ({_scores_sql('target_aqi_24h', 'permutation_importance')})
       ORDER BY permutation_importance DESC, feature LIMIT 10) WHERE feature NOT LIKE 'wind%'""", *FRAMED))
 def top_features_query(spark, sf_dir):
-    """Valid inputs here are the measures other than wind."""
-    scores = _scores(framed(spark, sf_dir), TARGETS["24h"], "permutation_importance")
-    return top_features(scores, scores.select("feature").filter("feature NOT LIKE 'wind%'"), 10)
+    """The score table goes through its CSV form; valid inputs are the measures other than wind."""
+    df = framed(spark, sf_dir)
+    scores = J.join_importance(
+        _scores(df, INDEX, "importance"), _scores(df, TARGETS["24h"], "permutation_importance"))
+    table = read_importance(spark, write_csv(scores, shared_path(spark, "importance")))
+    valid = table.select("feature").filter("feature NOT LIKE 'wind%'")
+    return top_features(table, valid, 10).select("feature", "permutation_importance")
 
 
 # -- metrics -----------------------------------------------------------------------------------

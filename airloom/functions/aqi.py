@@ -9,39 +9,42 @@ from airloom.schemas import INDEX
 
 # Fixed values: (concentration low, concentration high, index low, index high).
 # Concentrations between two bands, below zero or above the last band have no index.
-_PM25 = [
+PM25_V1 = [
+    (0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.4, 101, 150),
+    (55.5, 125.4, 151, 200), (125.5, 225.4, 201, 300), (225.5, 325.4, 301, 500),
+]
+PM25_V2 = [
     (0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.49, 101, 150),
     (55.5, 125.4, 151, 200), (125.5, 225.4, 201, 300), (225.5, 325.4, 301, 500),
 ]
-_PM10 = [
+PM10_V1 = [
+    (0.0, 54.0, 0, 50), (55.0, 154.0, 51, 100), (155.0, 254.0, 101, 150),
+    (255.0, 354.0, 151, 200), (355.0, 424.0, 201, 300), (425.0, 504.0, 301, 500),
+]
+PM10_V2 = [
     (0.0, 54.0, 0, 50), (55.0, 154.99, 51, 100), (155.0, 254.0, 101, 150),
     (255.0, 354.0, 151, 200), (355.0, 424.0, 201, 300), (425.0, 504.0, 301, 500),
 ]
-_CO = [
+CO = [
     (0.0, 4.4, 0, 50), (4.5, 9.4, 51, 100), (9.5, 12.4, 101, 150), (12.5, 15.4, 151, 200),
     (15.5, 30.4, 201, 300), (30.5, 40.4, 301, 400), (40.5, 50.4, 401, 500),
 ]
-_NO2 = [
+NO2 = [
     (0.0, 53.0, 0, 50), (54.0, 100.0, 51, 100), (101.0, 360.0, 101, 150), (361.0, 649.0, 151, 200),
     (650.0, 1249.0, 201, 300), (1250.0, 1649.0, 301, 400), (1650.0, 2049.0, 401, 500),
 ]
-_SO2 = [
+SO2 = [
     (0.0, 35.0, 0, 50), (36.0, 75.0, 51, 100), (76.0, 185.0, 101, 150), (186.0, 304.0, 151, 200),
     (305.0, 604.0, 201, 300), (605.0, 804.0, 301, 400), (805.0, 1004.0, 401, 500),
 ]
-_O3 = [
+O3 = [
     (0.0, 0.054, 0, 50), (0.055, 0.07, 51, 100), (0.071, 0.085, 101, 150),
     (0.086, 0.105, 151, 200), (0.106, 0.2, 201, 300),
 ]
-
 # v1 is used for training, v2 for serving; they differ in one upper edge each for PM2.5 and PM10.
 BANDS = {
-    "v2": {"pm2_5": _PM25, "pm10": _PM10, "co": _CO, "no2": _NO2, "so2": _SO2, "o3": _O3},
-    "v1": {
-        "pm2_5": _PM25[:2] + [(35.5, 55.4, 101, 150)] + _PM25[3:],
-        "pm10": _PM10[:1] + [(55.0, 154.0, 51, 100)] + _PM10[2:],
-        "co": _CO, "no2": _NO2, "so2": _SO2, "o3": _O3,
-    },
+    "v1": {"pm2_5": PM25_V1, "pm10": PM10_V1, "co": CO, "no2": NO2, "so2": SO2, "o3": O3},
+    "v2": {"pm2_5": PM25_V2, "pm10": PM10_V2, "co": CO, "no2": NO2, "so2": SO2, "o3": O3},
 }
 
 # Molar volume at 25 °C and molecular weights.

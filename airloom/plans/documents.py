@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airloom.functions.aqi import HAZARD_THRESHOLD, forecast_value
+from airloom.functions.aqi import HAZARD_THRESHOLD, clamp, forecast_value
 from airloom.functions.display import document_time
 from airloom.operators.validate import input_report
 from airloom.schemas import HORIZONS, INDEX, MODEL_INPUTS, STATION, TIME
@@ -126,6 +126,15 @@ def validation_report(df: DataFrame, latest: DataFrame, features: list[str]) ->
     )
 
 
+def validation_documents(latest: DataFrame) -> DataFrame:
+    """What the production check predicted: input time and clamped, unrounded values per horizon."""
+    entries = []
+    for h in HORIZONS:
+        entries += [F.lit(h), clamp(F.col(f"prediction_{h}"))]
+    return latest.select(
+        STATION, document_time(F.col(TIME)).alias("input_timestamp"), F.create_map(*entries).alias("predictions"))
+
+
 def run_summary(df: DataFrame, features: list[str] = MODEL_INPUTS) -> DataFrame:
     """Rows, newest timestamp and the index at that time, per station."""
     return df.groupBy(STATION).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.functions.aqi import with_aqi
+from airloom.operators import stats as R
 from airloom.operators.dedupe import dedupe_columns, keep_first
 from airloom.operators.features import drop_incomplete, with_features, with_targets
 from airloom.operators.joins import asof_nearest, join_hours
@@ -98,3 +99,18 @@ def collect(stored: DataFrame, payloads: DataFrame, arrival: str = SEQ) -> DataF
         arrival, F.unix_micros(F.to_timestamp("collection_timestamp"))
     ).drop("collection_timestamp")
     return S.upsert(S.replace_hours(stored, fresh), fresh, [arrival])
+
+
+def eda_report(framed: DataFrame) -> dict[str, DataFrame]:
+    """The exploratory report: one table per section, over rows that have their targets."""
+    return {
+        "profile": R.dataset_profile(framed),
+        "missing": R.missing_profile(framed),
+        "index": R.describe_index(framed),
+        "categories": R.category_distribution(framed, closed=False),
+        "pollutants": R.describe_columns(framed),
+        "correlations": R.correlation_with_index(framed),
+        "correlation_matrix": R.correlation_matrix(framed),
+        "targets": R.target_stats(framed),
+        "series": R.report_series(framed),
+    }

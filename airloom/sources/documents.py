@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airloom.operators.select import latest_rows
 from airloom.schemas import FORECAST_DOCUMENT
@@ -14,8 +15,14 @@ def write_documents(docs: DataFrame, path: str) -> str:
     return path
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FORECAST_DOCUMENT).json(path)
+def read_documents(spark: SparkSession, path: str, schema: T.StructType = FORECAST_DOCUMENT) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_importance(spark: SparkSession, path: str, score: str = "permutation_importance") -> DataFrame:
+    """Feature scores, best first; the table has one row per model input."""
+    schema = "feature string, importance double, permutation_importance double"
+    return spark.read.schema(schema).option("header", True).csv(path).orderBy(F.desc(score), "feature")
 
 
 def latest_documents(docs: DataFrame) -> DataFrame:

@@ -119,3 +119,13 @@ def test_category_distribution_keeps_empty_categories(spark):
     rows = S.category_distribution(df).orderBy("position").collect()
     assert [r["rows"] for r in rows] == [1, 0, 0, 1, 0, 0]
     assert [r["rows"] for r in S.category_distribution(df, closed=False).orderBy("position").collect()] == [1, 0, 0, 1, 0, 1]
+
+
+def test_eda_report_has_every_section(spark, sf):
+    from airloom.catalog.stats_queries import framed
+    from airloom.plans.jobs import eda_report
+
+    report = eda_report(framed(spark, sf))
+    rows = {name: df.count() for name, df in report.items()}
+    assert rows.pop("missing") >= 1 and rows.pop("series") == 576 * 10
+    assert rows == {"profile": 1, "index": 1, "categories": 6, "pollutants": 6, "correlations": 12, "correlation_matrix": 144, "targets": 3}

@@ -16,6 +16,7 @@ from airloom.operators import stats as S
 from airloom.operators.dedupe import dedupe_columns, duplicate_count
 from airloom.operators.features import drop_incomplete, with_targets
 from airloom.operators.select import top_features
+from airloom.operators.series import choose_block
 from airloom.operators.split import time_split
 from airloom.operators.validate import column_report, input_report
 from airloom.plans.jobs import feature_table, ml_dataset
@@ -193,7 +194,9 @@ def asof_ctes(pol="pol", wx="wx", arrival="reading_id"):
     _WX, _POL, *asof_ctes()))
 def asof_nearest(spark, sf_dir):
     wx = V.weather_readings(spark, sf_dir).withColumn("weather_id", F.col("reading_id"))
-    return J.asof_nearest(V.air_readings(spark, sf_dir), wx, [*WEATHER, "weather_id"], "reading_id")
+    block = choose_block(V.reading_keys(spark, sf_dir), sizes=J.BLOCKS)
+    return J.asof_nearest(
+        V.air_readings(spark, sf_dir), wx, [*WEATHER, "weather_id"], "reading_id", block_seconds=block)
 
 
 _HOURLY_PARTS = (

@@ -65,9 +65,13 @@ def obs_aqi(spark: SparkSession, sf_dir: str, bands: str = "v2") -> DataFrame:
     return with_aqi(obs(spark, sf_dir), bands)
 
 
+def reading_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).selectExpr(f"user_id % {STATIONS} AS {STATION}", f"CAST(ts AS TIMESTAMP) AS {TIME}")
+
+
 def layout(spark: SparkSession, sf_dir: str) -> Layout:
     """Readings per station bound the length of every hourly series."""
-    return choose_layout(events(spark, sf_dir).select((F.col("user_id") % STATIONS).alias(STATION)))
+    return choose_layout(reading_keys(spark, sf_dir))
 
 
 def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from airloom.operators.series import BLOCK_SECONDS
 from airloom.schemas import STATION, TIME
 
 TOLERANCE_SECONDS = 90 * 60
-BLOCK_SECONDS = 3600
+BLOCKS = BLOCK_SECONDS[1:]  # an hour unless a station is too dense for it
 
 
 def join_hours(weather: DataFrame, air: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def asof_nearest(
     values: list[str],
     arrival: str,
     tolerance_seconds: int = TOLERANCE_SECONDS,
-    block_seconds: int = BLOCK_SECONDS,
+    block_seconds: int = BLOCKS[0],
 ) -> DataFrame:
     """Left rows with ``values`` of the nearest right row of the station within the tolerance.
 
@@ -30,7 +31,8 @@ def asof_nearest(
     arrive and the forward side the first. A row without a time is an error.
 
     Rows meet by an equality on (station, time block), so a group is one block of one station
-    however long its series is, and no pairs are formed. What a block cannot see, the last right
+    however long its series is (``choose_block`` finds a length for dense ones), and no pairs are
+    formed. What a block cannot see, the last right
     row before it and the first one after it, is carried in from a summary that holds one row
     per station and block.
     """

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.schemas import STATION, TIME
@@ -22,20 +22,40 @@ from airloom.schemas import STATION, TIME
 MAX_ROWS_PER_GROUP = 100_000
 
 
+# A day, an hour, a minute, a second.
+BLOCK_SECONDS = [86_400, 3_600, 60, 1]
+
+
 @dataclass(frozen=True)
 class Layout:
     rows_per_chunk: int | None = None
-    block_seconds: int = 86_400
+    block_seconds: int = BLOCK_SECONDS[0]
+
+
+def time_block(seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col(TIME)) / seconds)
+
+
+def choose_block(keys: DataFrame, limit: int = MAX_ROWS_PER_GROUP, sizes: list[int] = BLOCK_SECONDS) -> int:
+    """Longest block of time in which no station has more than ``limit`` rows."""
+    for seconds in sizes[:-1]:
+        per_block = keys.groupBy(STATION, time_block(seconds)).count()
+        if (per_block.agg(F.max("count")).first()[0] or 0) <= limit:
+            return seconds
+    return sizes[-1]
 
 
 def choose_layout(keys: DataFrame, limit: int = MAX_ROWS_PER_GROUP) -> Layout:
     """Pick the layout from the longest station.
 
-    ``keys`` needs only the station column and may be any superset of the series rows (the raw
-    readings, say), so the check is one partially aggregated scan of a single column.
+    ``keys`` holds station and time and may be any superset of the series rows (the raw readings,
+    say). The check is a partially aggregated scan of the station column; only when a station is
+    too long are its blocks counted as well.
     """
     longest = keys.groupBy(STATION).count().agg(F.max("count")).first()[0] or 0
-    return Layout() if longest <= limit else Layout(rows_per_chunk=limit)
+    if longest <= limit:
+        return Layout()
+    return Layout(rows_per_chunk=limit, block_seconds=choose_block(keys, limit))
 
 
 SERIES_WINDOW = f"PARTITION BY {STATION} ORDER BY {TIME}"
@@ -51,8 +71,7 @@ def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
             (F.row_number().over(station.orderBy(TIME)) - 1).cast("long").alias("row_index"),
             F.count(F.lit(1)).over(station).alias("series_rows"),
         )
-    block = F.floor(F.unix_seconds(F.col(TIME)) / layout.block_seconds)
-    blocked = df.withColumn("_block", block)
+    blocked = df.withColumn("_block", time_block(layout.block_seconds))
     # One row per station and calendar block: its size follows the time span, not the row count.
     per_block = blocked.groupBy(STATION, "_block").agg(F.count(F.lit(1)).alias("_n"))
     station = Window.partitionBy(STATION)

@@ -11,6 +11,7 @@ import json
 import os
 import sys
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from airloom.catalog import views as V  # noqa: E402
 from airloom.operators.joins import asof_nearest  # noqa: E402
-from airloom.operators.series import MAX_ROWS_PER_GROUP, Layout, choose_layout  # noqa: E402
+from airloom.operators.series import choose_layout  # noqa: E402
 from airloom.operators.stats import describe_columns  # noqa: E402
 from airloom.plans.jobs import ml_dataset  # noqa: E402
 from airloom.schemas import OBSERVATION, POLLUTANTS, STATION, WEATHER  # noqa: E402
@@ -44,9 +45,9 @@ def enlarged(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def timed(df: DataFrame) -> float:
+def timed(build: Callable[[], DataFrame]) -> float:
     start = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
+    build().write.format("noop").mode("overwrite").save()
     return round(time.perf_counter() - start, 2)
 
 
@@ -65,15 +66,15 @@ def main() -> None:
         wx = rows.filter("event_type = 'view'").select("reading_id", *[STATION, "timestamp"], *WEATHER)
         air = rows.filter("event_type <> 'view'").select("reading_id", *[STATION, "timestamp"], *POLLUTANTS)
         start = time.perf_counter()
-        layout = choose_layout(rows.select(STATION))
+        layout = choose_layout(rows.select(STATION, "timestamp"))
         check = round(time.perf_counter() - start, 2)
         print(json.dumps({
-            "rows": rows.count(), "layout_check": check, "chosen": layout.rows_per_chunk,
-            "hourly": timed(V.hourly(rows)),
-            "ml_dataset_plain": timed(ml_dataset(series)),
-            "ml_dataset_chunked": timed(ml_dataset(series, Layout(MAX_ROWS_PER_GROUP))),
-            "asof_nearest": timed(asof_nearest(air, wx, WEATHER, "reading_id")),
-            "describe": timed(describe_columns(rows)),
+            "rows": rows.count(), "layout_check": check, "rows_per_chunk": layout.rows_per_chunk, "block_seconds": layout.block_seconds,
+            "hourly": timed(lambda: V.hourly(rows)),
+            "ml_dataset_plain": timed(lambda: ml_dataset(series)),
+            "ml_dataset_chosen": timed(lambda: ml_dataset(series, layout)),
+            "asof_nearest": timed(lambda: asof_nearest(air, wx, WEATHER, "reading_id")),
+            "describe": timed(lambda: describe_columns(rows)),
         }), flush=True)
 
 

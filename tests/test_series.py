@@ -9,7 +9,7 @@ from airloom.operators import features as X
 from airloom.operators import legacy as L
 from airloom.operators.dedupe import dedupe_columns, duplicate_count, keep_first, keep_last
 from airloom.operators.select import latest_complete_rows, tail_sample
-from airloom.operators.series import Layout, choose_layout, with_row_index
+from airloom.operators.series import Layout, choose_block, choose_layout, with_row_index
 from airloom.operators.split import expanding_folds, time_split
 from airloom.schemas import INDEX, LAGS, SERIES, STATION, TIME
 
@@ -107,8 +107,12 @@ def test_row_index_numbers_each_station(spark):
 
 def test_layout_follows_the_longest_station(spark):
     df = to_spark(spark, make_series())
-    assert choose_layout(df.select(STATION), 400).rows_per_chunk is None
-    assert choose_layout(df.select(STATION), 399).rows_per_chunk == 399
+    keys = df.select(STATION, TIME)
+    assert choose_layout(keys, 400) == Layout()
+    assert choose_layout(keys, 399) == Layout(399, 86_400)
+    busiest = keys.groupBy(STATION, F.to_date(TIME)).count().agg(F.max("count")).first()[0]
+    assert choose_layout(keys, busiest - 1) == Layout(busiest - 1, 3_600)
+    assert choose_block(keys, 0) == 1 and choose_block(keys.limit(0)) == 86_400
 
 
 @pytest.mark.parametrize("n", [5, 11, 24, 130])

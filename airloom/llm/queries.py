@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import quality, shards, topk, toxicity
+from airloom.llm import lines, mixing, quality, shards, topk, toxicity
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -14,11 +14,14 @@ def op8_quality_rules(spark, sf_dir):
 QUERIES = {
     "op2_exact_topk": topk.op2,
     "op4_sharding": shards.op4,
+    "op7_mixing": mixing.op7,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": lines.op9,
     "op10_toxicity": toxicity.op10,
 }
 
 ORACLES = {
+    "op9_line_dedup": lines.OP9_SQL,
     "op2_exact_topk": topk.OP2_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }

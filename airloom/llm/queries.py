@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import lines, minhash, mixing, quality, shards, topk, toxicity
+from airloom.llm import lines, minhash, mixing, ppm, quality, shards, topk, toxicity
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -14,6 +14,7 @@ def op8_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1,
     "op2_exact_topk": topk.op2,
+    "op3_lm_scoring": ppm.op3,
     "op4_sharding": shards.op4,
     "op7_mixing": mixing.op7,
     "op8_quality_rules": op8_quality_rules,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +31,18 @@ def split_batch(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return words, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds about ``most`` bytes of text, one text at least."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            begun = ends[at - 1] if at else 0
+            to = min(b.num_rows, max(at + 1, int(np.searchsorted(ends, begun + most, side="right"))))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

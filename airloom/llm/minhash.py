@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.llm.arrow_words import PRIME, mix, split_batch, word_hashes
+from airloom.llm.arrow_words import PRIME, mix, pieces, split_batch, word_hashes
 from airloom.llm.text import table
 from airloom.session import written
 
@@ -73,8 +73,8 @@ def _throw(doc: np.ndarray, element: np.ndarray, docs: int, darts: float) -> np.
     weight = np.bincount(doc, minlength=docs)
     limit = darts / np.maximum(weight, 1)
     best = np.zeros((docs, COORDINATES), np.uint64)
-    for at in range(0, docs, 4096):
-        lo, hi = np.searchsorted(doc, [at, at + 4096])
+    for at in range(0, docs, 512):
+        lo, hi = np.searchsorted(doc, [at, at + 512])
         d, e = doc[lo:hi] - at, element[lo:hi]
         cells = np.ceil(limit[doc[lo:hi]]).astype(np.int64)
         ends = np.cumsum(cells)
@@ -125,7 +125,7 @@ def _content(hashes: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "x"):
         words, starts = split_batch(b.column("x"))
         h = word_hashes(words)
         n = np.diff(starts)
@@ -140,7 +140,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, "x"):
         words, starts = split_batch(b.column("x"))
         h = word_hashes(words)
         doc, element = shingles(h, starts)

@@ -42,22 +42,25 @@ def _halves(line: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """One row per line and deleted character: v, the hash of what is left, and i, the place."""
-    at = F.explode(F.sequence(F.lit(1), F.length("line"))).alias("i")
-    rows = lines.select("h1", "h2", "p", "line", at)
+    """One row per line and deleted character: v, the hash of what is left, and i, the place (0: nothing deleted)."""
+    at = F.explode(F.sequence(F.lit(0), F.length("line"))).alias("i")
+    rows = lines.select("h1", "line", at)
     rest = F.concat(F.substring("line", F.lit(1), F.col("i") - 1), F.substring("line", F.col("i") + 1, F.length("line")))
-    return rows.select("h1", "h2", "p", "i", F.xxhash64(rest).alias("v"))
+    return rows.select("h1", "i", F.xxhash64(F.when(F.col("i") == 0, F.col("line")).otherwise(rest)).alias("v"))
 
 
 def close_lines(lines: DataFrame) -> DataFrame:
     """h1, h2 of lines (h1, h2, p, line) one edit away from a line with a smaller p."""
-    variants = written(_variants(lines), "line-variants")
+    every = written(_variants(lines), "line-variants")
+    met = every.groupBy("v").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("v")
+    variants = written(every.join(met, "v").join(lines.select("h1", "h2", "p"), "h1"), "line-meetings")
+    deleted = variants.where("i > 0")
     me = F.struct("p", "h1", "h2")
-    first = variants.groupBy("v", "i").agg(F.min(me).alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = variants.join(first, ["v", "i"]).where(F.col("e.p") < F.col("p")).select(
+    first = deleted.groupBy("v", "i").agg(F.min(me).alias("e"))
+    replaced = deleted.join(first, ["v", "i"]).where(F.col("e.p") < F.col("p")).select(
         "h1", "h2", F.col("e.h1").alias("o1"), F.col("e.h2").alias("o2"))
-    short = lines.select(F.xxhash64("line").alias("v"), F.col("p").alias("sp"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
-    grown = variants.join(short, "v")
+    short = variants.where("i = 0").select("v", F.col("p").alias("sp"), F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    grown = deleted.join(short, "v")
     later, earlier = grown.where("sp < p"), grown.where("p < sp")
     pairs = replaced.unionByName(later.select("h1", "h2", F.col("s1").alias("o1"), F.col("s2").alias("o2"))).unionByName(
         earlier.select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("h1").alias("o1"), F.col("h2").alias("o2"))).distinct()

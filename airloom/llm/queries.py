@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import lines, minhash, mixing, passages, ppm, quality, shards, topk, toxicity
+from airloom.llm import lines, minhash, mixing, passages, ppm, quality, sentence_pieces, shards, topk, toxicity
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_exact_topk": topk.op2,
     "op3_lm_scoring": ppm.op3,
     "op4_sharding": shards.op4,
+    "op5_sentence_pieces": sentence_pieces.op5,
     "op6_substring_dedup": passages.op6,
     "op7_mixing": mixing.op7,
     "op8_quality_rules": op8_quality_rules,

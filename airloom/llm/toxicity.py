@@ -1,7 +1,7 @@
 """Toxicity scores from a classifier that is held to the same score when identity terms are swapped.
 
 Features of a document are its distinct words (lower case, outer punctuation off) and their first 3, 4 and 5 letters.
-The features that tell the labels apart best are chosen by chi-square on labelled documents, and a logistic model is
+The features that tell the labels apart, and best so, are chosen by chi-square on labelled documents, and a logistic model is
 fitted on them. Labelled sentences that name a group are written a second time with the term swapped for another of
 its kind; the squared difference of the two logits is a penalty of the fit, so that naming a group does not move the
 score. Scoring runs over every whole text in the JVM, with the weights as a constant of at most ``FEATURES`` entries.
@@ -20,12 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airloom.llm.text import SPACES, crc_bucket, table, words
+from airloom.llm.text import crc_bucket, table, words
 from airloom.session import written
 
 MAX_LABELLED = 20_000
 FEATURES = 1024
 MIN_SUPPORT = 3
+MIN_CHI = 15.0
 THRESHOLD = 0.3
 PENALTY = 4.0
 
@@ -41,21 +42,34 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("christen", "muslime", "juden"), ("femmes", "hommes"),
     ("chrétiens", "musulmans", "juifs"), ("mujeres", "hombres"), ("cristianos", "musulmanes", "judíos"),
 )
+KINDS = ("w", "3", "4", "5")
 _OUTER = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
 def plain_words(text: Column) -> Column:
     """Distinct words in lower case without outer punctuation."""
     return F.array_distinct(F.filter(
-        F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(_OUTER + SPACES))), lambda w: w != ""))
+        F.transform(F.array_distinct(words(F.lower(text))), lambda w: F.btrim(w, F.lit(_OUTER))), lambda w: w != ""))
+
+
+def spelled(bag: Column, kind: str) -> Column:
+    """The features of one kind: the words themselves (w) or their first letters (3, 4, 5)."""
+    return bag if kind == "w" else F.transform(bag, lambda w: F.substring(w, 1, int(kind)))
 
 
 def features(bag: Column) -> Column:
     """A document's distinct features from its plain words; the first letter of each tells its kind."""
-    parts = [F.transform(bag, lambda w: F.concat(F.lit("w"), w))]
-    for n in (3, 4, 5):
-        parts.append(F.transform(bag, lambda w, n=n: F.concat(F.lit(str(n)), F.substring(w, 1, n))))
-    return F.array_distinct(F.concat(*parts))
+    def named(kind: str) -> Column:
+        return F.transform(spelled(bag, kind), lambda w: F.concat(F.lit(kind), w))
+
+    return F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+
+
+def weighted(bag: Column, kind: str, weights: dict[str, float]) -> Column:
+    """Sum of the weights of a document's features of one kind, each counted once."""
+    weight = _constant_map(weights, "double")
+    hits = F.array_sort(F.array_intersect(spelled(bag, kind), F.map_keys(weight)))
+    return F.aggregate(hits, F.lit(0.0), lambda acc, f: acc + F.element_at(weight, f))
 
 
 def _constant_map(pairs: dict[str, object], kind: str) -> Column:
@@ -80,10 +94,11 @@ class ToxicityModel:
     def score(self, text: Column) -> Column:
         if not self.weights:
             return F.lit(float(1 / (1 + np.exp(-self.bias))))
-        known = F.split(F.lit("\n".join(self.weights)), "\n")
-        weight = _constant_map(self.weights, "double")
-        hits = F.array_sort(F.array_intersect(features(plain_words(text)), known))
-        logit = F.aggregate(hits, F.lit(self.bias), lambda acc, f: acc + F.element_at(weight, f))
+        bag, logit = plain_words(text), F.lit(self.bias)
+        for kind in KINDS:
+            weights = {f[1:]: w for f, w in self.weights.items() if f[0] == kind}
+            if weights:
+                logit = logit + weighted(bag, kind, weights)
         return 1 / (1 + F.exp(-logit))
 
 
@@ -132,11 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         share = (pos + 0.5) / (n + 1)
         return ToxicityModel(float(np.log(share / (1 - share))), {})
     a, c = F.col("a"), F.col("c")
-    chi = (a * (n - pos) - (c - a) * pos) ** 2 / (c * (n - c + 1))
+    chi = (a * n - c * pos) ** 2 * n / (c * (n - c + 1) * pos * (n - pos))
     best = (
         bags.select("toxic", F.explode(features(F.col("bag"))).alias("f"))
         .groupBy("f").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
-        .where(c >= MIN_SUPPORT).orderBy(chi.desc(), "f").limit(FEATURES)
+        .where((c >= MIN_SUPPORT) & (chi >= MIN_CHI)).orderBy(chi.desc(), "f").limit(FEATURES)
     )
     names = [r.f for r in best.collect()]
     names += [f"w{t}" for kind in IDENTITY_TERMS for t in kind if f"w{t}" not in names]

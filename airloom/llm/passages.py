@@ -193,7 +193,7 @@ def _finish(base: DataFrame, found: DataFrame, distinct: DataFrame, kind: str) -
         lambda group: _search_shard(group), f"a long, ch long, fd {kind}, fs int, mask long")
     masks = masks.groupBy("a", "ch", "fd", "fs").agg(F.expr("bit_or(mask)").alias("mask"))
 
-    every = F.when(F.col("m") == LONGEST, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, m) - 1"))
+    every = F.expr(f"shiftrightunsigned(-1L, {LONGEST} - m)")
     earliest = F.col("d").eqNullSafe(F.col("fd")) & (F.col("s") == F.col("fs"))
     marked = found.select("d", "t", "a", "ch", "s", "m").join(masks, ["a", "ch"]).withColumn(
         "mask", F.when(earliest, F.col("mask")).otherwise(every)).where("mask != 0")

@@ -45,8 +45,8 @@ def shingles(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     """(document number, element) of every weighted shingle, ordered by document; the j-th copy is an element of its own."""
     sizes = np.diff(starts)
     h = np.zeros(max(0, len(hashes) - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
-        h = h * PRIME + hashes[k : len(hashes) - SHINGLE + 1 + k]
+    for k in range(SHINGLE if len(h) else 0):
+        h = h * PRIME + hashes[k : k + len(h)]
     doc = np.repeat(np.arange(len(sizes)), sizes)
     inside = doc[: len(h)] == doc[SHINGLE - 1 :] if len(h) else np.zeros(0, bool)
     h, doc = mix(h[inside]), doc[: len(inside)][inside]

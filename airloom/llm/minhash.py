@@ -8,9 +8,9 @@ signature there. Where a coordinate stays empty the limit is doubled. Time is li
 darts, whatever the signature length. Two documents agree in a coordinate with the probability of their weighted
 similarity; bands of ``ROWS`` coordinates become join keys.
 
-Members of a band are compared with its smallest and largest member only. The links found are closed to components,
-and what stays apart within a band is compared across components, so no link is lost and a large group of copies costs
-a linear number of comparisons. Every link is verified on the whole shingle sets (hashed to 32 bits) at
+Members of a band are compared with two of them only, drawn anew by each band and round. The links found are closed to
+components, and what still stays apart within a band is compared across components, so no link is lost and a large
+group of copies costs a linear number of comparisons. Every link is verified on the whole shingle sets (hashed to 32 bits) at
 ``SIMILARITY``. Equal texts are one node from the start.
 
 A text of one to four words is a single shingle. Texts without words (missing, empty) are alike to nothing. Repeated
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.llm.arrow_words import PRIME, mix, pieces, split_batch, word_hashes
-from airloom.llm.text import table
+from airloom.llm.text import free_name, table
 from airloom.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 26
+STARS = 3
 COORDINATES = ROWS * BANDS
 DARTS = math.ceil(COORDINATES * math.log(COORDINATES) + 2 * COORDINATES)
 #: Chances of at most 0, 1, 2, ... darts in a unit cell.
@@ -195,7 +196,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     signed = written(base.mapInArrow(_sign, f"d {kind}, t long, node long, twin long, n int, bands array<long>"), "minhash-signatures")
     nodes = signed.where("n > 0").groupBy("node", "twin").agg(F.any_value("n").alias("n"), F.min("d").alias("d"), F.any_value("bands").alias("bands"))
     rows = written(nodes.select("node", "n", "d", F.explode("bands").alias("key")), "minhash-bands")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = written(rows.join(shared, "key"), "minhash-members")
 
     wanted = members.groupBy("node").agg(F.min("d").alias("wd")).withColumnRenamed("node", "wanted")
@@ -203,21 +204,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         _elements, "node long, wanted long, e array<int>").where("node = wanted").dropDuplicates(["node"]).select("node", "e")
     sets = written(sets, "minhash-sets")
 
-    near = members.select("node", "lo").where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(
-        members.where("node < hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))).distinct()
-    links = written(_verified(near, sets), "minhash-links")
-    roots = components(links)
-
-    # what one band holds of several components: everything outside its first member's component meets all others there
-    labelled = written(members.select("key", "node", "n", "lo", "hi").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")), "minhash-labelled")
-    mixed = labelled.groupBy("key").agg(
-        F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.when(F.col("node") == F.col("lo"), F.col("root"))).alias("main")
-    ).where("r1 < r2").select("key", "main")
-    open_ = labelled.join(mixed, "key")
-    stray = open_.where((F.col("root") != F.col("main")) & (F.col("node") != F.col("hi"))).select(
-        "key", F.col("node").alias("s"), F.col("root").alias("sr"), F.col("n").alias("sn"))
-    rest = open_.where((F.col("node") != F.col("lo")) & (F.col("node") != F.col("hi"))).select("key", "node", "root", "n")
+    # every round, each band that still holds several components tests two members, random ones by the band, against all
+    open_ = members.select("key", "node", "n", F.col("node").alias("root"))
+    links = None
+    for turn in range(STARS):
+        mask = F.xxhash64(F.lit(turn), "key")
+        place = F.col("node").bitwiseXOR(mask)
+        ends = open_.groupBy("key").agg(
+            F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+        met = open_.join(ends.select("key", "lo", "hi"), "key").select(
+            "node", F.explode(F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask))).alias("end"))
+        new = written(_verified(met.where("node != end").select(*_ordered(F.col("node"), F.col("end"))).distinct(), sets), "minhash-links")
+        if links is not None and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new).distinct()
+        roots = components(links)
+        open_ = written(open_.drop("root").join(roots, "node", "left").select(
+            "key", "node", "n", F.coalesce("root", "node").alias("root")), "minhash-open")
+
+    # what is still apart in a band: everything outside its largest component meets all of other components
+    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    rest = open_.join(mixed, "key")
+    stray = rest.where("root != main").select("key", F.col("node").alias("s"), F.col("root").alias("sr"), F.col("n").alias("sn"))
     alike = F.least("sn", "n") >= SIMILARITY * F.greatest("sn", "n")
     across = stray.join(rest, "key").where((F.col("root") != F.col("sr")) & alike).select(*_ordered(F.col("s"), F.col("node"))).distinct()
     more = written(_verified(across, sets), "minhash-links")
@@ -238,13 +247,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of each class, and all without words; of rows with equal id and text one stays in a class."""
     found = written(classes(docs, doc_id, text), "minhash-classes")
+    id_, hash_, one, own, nth = free_name(docs, "_id", "_hash", "_one", "_own", "_nth")
     first = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "t")).alias("f")
-    kept = found.where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("f.d").alias("_d"), F.col("f.t").alias("_t"), F.lit(True).alias("_one"))
-    bare = found.where(F.col("root").isNull()).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.lit(False).alias("_one")).distinct()
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(
-        kept.unionByName(bare), F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")))
-    nth = F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_h"))
-    return joined.withColumn("_n", nth).where((F.col("_n") == 1) | ~F.col("_one")).select(*docs.columns)
+    kept = found.where(F.col("root").isNotNull()).groupBy("root").agg(first).select(
+        F.col("f.d").alias(id_), F.col("f.t").alias(hash_), F.lit(True).alias(one))
+    bare = found.where(F.col("root").isNull()).select(F.col("d").alias(id_), F.col("t").alias(hash_), F.lit(False).alias(one)).distinct()
+    joined = docs.withColumn(own, F.xxhash64(text)).join(
+        kept.unionByName(bare), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)))
+    number = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(own))
+    return joined.withColumn(nth, number).where((F.col(nth) == 1) | ~F.col(one)).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airloom.llm.text import SPACES, table, whole
+from airloom.llm.text import SPACES, free_name, table, whole
 from airloom.session import written
 
 MIN_CHARS = 16
@@ -97,17 +97,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     occurrences = split.select("d", "t", "i", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
     gone = occurrences.join(verdict, ["h1", "h2"]).where(
         ~F.struct("d", "t", "i").eqNullSafe(F.col("p")) | F.coalesce("close", F.lit(False)))
-    removed = gone.groupBy(F.col("d").alias("rd"), F.col("t").alias("rt")).agg(F.collect_set("i").alias("gone"))
+    own, rd, rt, out = free_name(docs, "_own", "_rd", "_rt", "_out")
+    removed = gone.groupBy(F.col("d").alias(rd), F.col("t").alias(rt)).agg(F.collect_set("i").alias(out))
 
-    joined = docs.withColumn("_t", F.xxhash64(text)).join(
-        removed, (F.col("_t") == F.col("rt")) & F.col(doc_id).eqNullSafe(F.col("rd")), "left")
+    joined = docs.withColumn(own, F.xxhash64(text)).join(
+        removed, (F.col(own) == F.col(rt)) & F.col(doc_id).eqNullSafe(F.col(rd)), "left")
     parts = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out))
     return joined.withColumns({
         "n_lines": F.coalesce(F.size(F.filter(parts, _filled)), F.lit(0)).cast("long"),
-        "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
-        text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.sort_array(kept), lambda i: F.get(parts, i)), "\n")),
-    }).drop("_t", "rd", "rt", "gone")
+        "n_removed": F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).cast("long"),
+        text: F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(F.sort_array(kept), lambda i: F.get(parts, i)), "\n")),
+    }).drop(own, rd, rt, out)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airloom.llm.text import id_text, table, whole, words
+from airloom.llm.text import free_name, id_text, table, whole, words
 from airloom.session import written
 
 MAX_REPEATS = 2.0
@@ -119,20 +119,23 @@ def mix(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, entropy: float
         seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Every document once per epoch it takes part in."""
     docs = docs.drop(*[c for c in ("epoch", "block", "mix_key", "n_tokens") if c not in (doc_id, source, text)])
+    key_, source_, epochs, cut_rank, cut_key = free_name(docs, "_key", "_source", "_epochs", "_cut_rank", "_cut_key")
     keyed = docs.withColumns({
-        "_key": doc_key(F.col(doc_id), F.col(text), seed),
+        key_: doc_key(F.col(doc_id), F.col(text), seed),
         "n_tokens": F.size(words(F.col(text))).cast("long"),
     })
-    slim = written(keyed.select(F.col(source).alias("source"), F.col("_key").alias("key"), F.col("n_tokens").alias("tokens")), "mix-docs")
-    plan = written(mixture(slim, max_repeats, entropy, budget, seed), "mix-plan").drop("weight").withColumnRenamed("source", "_source")
-    block = block_of(F.col("_key"))
-    rank = block_rank(F.col(source), block, F.col("epochs"), seed)
-    extra = (rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & (F.col("_key") <= F.col("cut_key")))
-    copies = F.col("epochs") + extra.cast("long")
-    placed = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source"))).where(copies > 0).withColumn(
+    slim = written(keyed.select(F.col(source).alias("source"), F.col(key_).alias("key"), F.col("n_tokens").alias("tokens")), "mix-docs")
+    plan = written(mixture(slim, max_repeats, entropy, budget, seed), "mix-plan").select(
+        F.col("source").alias(source_), F.col("epochs").alias(epochs), F.col("cut_rank").alias(cut_rank), F.col("cut_key").alias(cut_key))
+    block = block_of(F.col(key_))
+    rank = block_rank(F.col(source), block, F.col(epochs), seed)
+    extra = (rank < F.col(cut_rank)) | ((rank == F.col(cut_rank)) & (F.col(key_) <= F.col(cut_key)))
+    copies = F.col(epochs) + extra.cast("long")
+    placed = keyed.join(plan, F.col(source).eqNullSafe(F.col(source_))).where(copies > 0).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    order = F.concat(block_rank(F.col(source), block, F.col("epoch"), seed), F.md5(F.concat_ws("|", F.col("_key"), F.col("epoch").cast("string")).cast("binary")))
-    return placed.withColumns({"block": block, "mix_key": order}).drop("_key", "_source", "epochs", "cut_rank", "cut_key")
+    inside = F.md5(F.concat_ws("|", F.col(key_), F.col("epoch").cast("string")).cast("binary"))
+    order = F.concat(block_rank(F.col(source), block, F.col("epoch"), seed), inside)
+    return placed.withColumns({"block": block, "mix_key": order}).drop(key_, source_, epochs, cut_rank, cut_key)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airloom.llm.text import SPACES, whole, words
+from airloom.llm.text import SPACES, free_name, table, whole, words
 from airloom.session import written
 
 SYMBOLS = "#*$%&|<>"
@@ -37,40 +37,41 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Repeated windows are found by sorting a document's window hashes, so the work is n log n in its length.
     """
+    w_, h_, l_, g_, again, s_, e_, p_ = free_name(docs, "_w", "_h", "_l", "_g", "_again", "_s", "_e", "_p")
     t = whole(F.col(text))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     out = (
-        docs.withColumn("_w", words(F.col(text)))
+        docs.withColumn(w_, words(F.col(text)))
         .withColumns({
-            "_h": F.transform("_w", lambda w: F.xxhash64(w)),
-            "_l": lines,
-            "n_words": F.size("_w").cast("long"),
+            h_: F.transform(w_, lambda w: F.xxhash64(w)),
+            l_: lines,
+            "n_words": F.size(w_).cast("long"),
             "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         })
         .withColumns({
-            "_g": _window_hashes("_h"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            g_: _window_hashes(h_),
+            "n_dup_lines": (F.size(l_) - F.size(F.array_distinct(l_))).cast("long"),
         })
-        .withColumn("_again", F.size(F.array_distinct("_g")) < F.size("_g"))
-        .withColumn("_s", F.when(F.col("_again"), F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        .withColumn(again, F.size(F.array_distinct(g_)) < F.size(g_))
+        .withColumn(s_, F.when(F.col(again), F.sort_array(F.transform(g_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
         # element k tells whether sorted hash k equals the one before it; one more element closes the list
-        .withColumn("_e", F.zip_with(
-            F.concat(F.array(F.lit(None).cast("long")), F.col("_s.h")), F.col("_s.h"),
+        .withColumn(e_, F.zip_with(
+            F.concat(F.array(F.lit(None).cast("long")), F.col(s_)["h"]), F.col(s_)["h"],
             lambda before, here: F.coalesce(before == here, F.lit(False)),
         ))
-        .withColumn("_p", F.sort_array(F.filter(
-            F.transform("_s", lambda x, k: F.when(F.get("_e", k) | F.get("_e", k + 1), x["i"])),
+        .withColumn(p_, F.sort_array(F.filter(
+            F.transform(s_, lambda x, k: F.when(F.get(e_, k) | F.get(e_, k + 1), x["i"])),
             lambda i: i.isNotNull(),
         )))
     )
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("_p", start, lambda acc, i: F.struct(
+    covered = F.aggregate(p_, start, lambda acc, i: F.struct(
         i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")))
-    out = out.withColumn("n_repeat_words", F.when(F.col("_again"), covered["n"]).otherwise(0).cast("long"))
+    out = out.withColumn("n_repeat_words", F.when(F.col(again), covered["n"]).otherwise(0).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                          | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.drop("_w", "_h", "_l", "_g", "_again", "_s", "_e", "_p")
+    return out.drop(w_, h_, l_, g_, again, s_, e_, p_)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -98,7 +99,9 @@ def judge_hosts(measured: DataFrame, host: str = "source", max_rate: float = MAX
         F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
     mean, strength = beta_prior(hosts)
     rates = hosts.select("_host", ((F.col("f") + strength * mean) / (F.col("n") + strength)).alias("host_rate"))
-    joined = measured.drop("host_rate", "kept").join(rates, F.col(host) == F.col("_host"), "left").drop("_host")
+    (named,) = free_name(measured, "_host")
+    rates = rates.withColumnRenamed("_host", named)
+    joined = measured.drop("host_rate", "kept").join(rates, F.col(host) == F.col(named), "left").drop(named)
     return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
 
 
@@ -111,8 +114,6 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", max
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from airloom.llm.text import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = measure(docs).drop("text")
     return judge_hosts(written(measured, "quality")).drop("source")

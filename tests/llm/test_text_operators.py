@@ -42,7 +42,7 @@ def frame(spark, rows, **extra):
     return df.withColumns({k: F.lit(v) for k, v in extra.items()})
 
 
-CLASH = dict(n_words=1, kept=2, class_id=3, shard=4, slot=5, n_removed=6, epoch=7, ids=8, score=9, source="s", _t=1, _h=1, h1=1, d=1)
+CLASH = dict(n_words=1, kept=2, class_id=3, shard=4, slot=5, n_removed=6, epoch=7, ids=8, score=9, source="s", _t=1, _h=1, h1=1, d=1, _key=1, _own=1, _w=1, _host=1)
 
 
 @pytest.fixture(scope="module")
@@ -289,4 +289,5 @@ def test_empty_tables_and_clashing_columns(name, spark):
     assert EMPTY[name](df).count() == 0
     odd = frame(spark, list(enumerate(ODD)) + [(None, "no id here"), (None, None)], **{k: v for k, v in CLASH.items() if name != "passages"})
     out = EMPTY[name](odd)
+    assert name not in ("one", "lines", "mix", "rules", "pieces") or set(CLASH) <= set(out.columns)
     assert out.count() >= (4 if name == "one" else len(ODD) + 2)

@@ -17,6 +17,7 @@ the same chance. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from airloom.session import written
 ORDER = 5
 BLOCK_TOKENS = 4_000_000
 CHUNK_WORDS = 200_000
+TEXT, WORD, PAIR = 0, 1, 2
+COUNT_BITS = 40
 
 
 def token_bytes(words: pa.Array, starts: np.ndarray) -> pa.Array:
@@ -82,6 +85,16 @@ def _added(k1, n1, k2, n2) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(place, np.concatenate([n1, n2]), len(keys)).astype(np.int64)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Word numbers in planes of their low, middle and high byte, deflated."""
+    return zlib.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _blocks(schema: pa.Schema):
     """Turns batches of documents (d, held, x) into rows of blocks: documents, their words, their pairs."""
 
@@ -104,7 +117,7 @@ def _blocks(schema: pa.Schema):
                 cuts = starts[at : to + 1] - starts[at]
                 yield rows(
                     to - at, block=pa.array(np.full(to - at, block)), d=b.column("d").slice(at, to - at), held=pa.array(held),
-                    tokens=pa.array([codes[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()))
+                    tokens=pa.array([_packed(codes[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()))
                 n = len(coded.dictionary)
                 yield rows(n, block=pa.array(np.full(n, block)), idx=pa.array(np.arange(n, dtype=np.int32)),
                            word=coded.dictionary.cast(pa.string()), c=pa.array(count.astype(np.int64)))
@@ -175,19 +188,18 @@ def pair_costs(pairs: DataFrame) -> DataFrame:
 def _score_block(tokens: int, types: int, texts: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        pair = group.filter(pc.is_valid(group["key"]))
-        words = group.filter(pc.is_valid(group["word"]))
-        docs = group.filter(pc.is_valid(group["tokens"]))
-        keys, lp = pair["key"].to_numpy(), pair["lp"].to_numpy()
+        kind = group["kind"].to_numpy()
+        pair, words, docs = (group.filter(pa.array(kind == k)) for k in (PAIR, WORD, TEXT))
+        keys, lp = pair["number"].to_numpy(), pair["value"].to_numpy().astype(float)
         order = np.argsort(keys)
         keys, lp = keys[order], lp[order]
-        idx = words["idx"].to_numpy()
-        c, spelled = np.zeros(len(idx), np.int64), words["word"].combine_chunks()
-        c[idx] = words["c"].to_numpy()
+        idx, count = words["number"].to_numpy() >> COUNT_BITS, words["number"].to_numpy() & ((1 << COUNT_BITS) - 1)
+        c, spelled = np.zeros(len(idx), np.int64), words["data"].combine_chunks().cast(pa.string())
+        c[idx] = count
         spelled = spelled.take(pa.array(np.argsort(idx)))
         base = np.log10((c + 1) / (tokens + types + 1))
         end = math.log10((texts + 1) / (tokens + types + 1))
-        codes = [np.frombuffer(raw, np.int32) for raw in docs["tokens"].to_pylist()]
+        codes = [_unpacked(raw) for raw in docs["data"].to_pylist()]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in codes])]).astype(np.int64)
         score = np.zeros(len(codes))
         at = 0
@@ -198,9 +210,9 @@ def _score_block(tokens: int, types: int, texts: int):
             score[at:to] = np.bincount(owner, lp[np.searchsorted(keys, key)], to - at)
             at = to
         out = [(len(t) + 1, int((c[t] > 0).sum()) + (texts > 0), end + base[t].sum(), v) for t, v in zip(codes, score)]
-        n, k, b, s = (list(x) for x in zip(*out)) if out else ([], [], [], [])
+        n, k, b, s = (list(x) for x in zip(*out))
         return pa.Table.from_arrays(
-            [docs["d"], docs["held"], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([tokens] * len(n), pa.int64()),
+            [docs["d"], pa.array(docs["number"].to_numpy() == 1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([tokens] * len(n), pa.int64()),
              pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=["d", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -224,9 +236,19 @@ def score_texts(docs: DataFrame, held, doc_id: str = "doc_id", text: str = "text
     pairs = written(coded.groupBy("key").agg(F.sum("c").alias("c")), "ppm-pairs")
     costs = written(pair_costs(pairs), "ppm-costs")
 
-    asked = coded.drop("c").join(costs, "key").select("block", "key", "lp")
-    priced = used.drop("c").join(words, "word").select("block", "idx", "word", "c")
-    parts = texts.unionByName(priced, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    # what a block needs, in few columns: a text's words, a word's place and count in one number, a pair's cost
+    nothing = F.lit(None)
+    asked = coded.drop("c").join(costs.select("key", F.col("lp").cast("float").alias("lp")), "key").select(
+        "block", F.lit(PAIR).alias("kind"), nothing.cast(kind).alias("d"), F.col("key").alias("number"), F.col("lp").alias("value"),
+        nothing.cast("binary").alias("data"))
+    priced = used.drop("c").join(words, "word").select(
+        "block", F.lit(WORD).alias("kind"), nothing.cast(kind).alias("d"),
+        (F.shiftleft(F.col("idx").cast("long"), COUNT_BITS) + F.col("c")).alias("number"), nothing.cast("float").alias("value"),
+        F.col("word").cast("binary").alias("data"))
+    plain = texts.select(
+        "block", F.lit(TEXT).alias("kind"), "d", F.col("held").cast("long").alias("number"), nothing.cast("float").alias("value"),
+        F.col("tokens").alias("data"))
+    parts = plain.unionAll(priced).unionAll(asked)
     result = f"d {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = parts.groupBy("block").applyInArrow(_score_block(tokens, types, taught), result)
     return scored.withColumnsRenamed({"d": doc_id, "held": "held_out"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airloom.catalog import views as V
@@ -16,13 +17,6 @@ from airloom.streaming import hourly as H
 COLS = ", ".join(MEASURES)
 
 
-def events_stream(spark, sf_dir):
-    static = V.events(spark, sf_dir)
-    return (
-        spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
-
-
 def batched_stream(spark, sf_dir, batches=4):
     """The events cut into files by time, one micro-batch each."""
     static = V.events(spark, sf_dir)
@@ -31,12 +25,46 @@ def batched_stream(spark, sf_dir, batches=4):
     return spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def late_stream(spark, sf_dir):
+    """(function that opens the stream, function that lands a part): the events in four parts by age."""
+    static = V.events(spark, sf_dir)
+    path = shared_path(spark, "landed-events")
+    ends = [-float("inf"), *static.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0), float("inf")]
+
+    def land(part):
+        own = static.filter((F.col("event_id") > ends[part]) & (F.col("event_id") <= ends[part + 1]))
+        own.coalesce(1).write.mode("append").parquet(path)
+
+    def opened():
+        return V.readings_of(spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+    return opened, land
+
+
+LATE_ORDER = (1, 2, 3, 0)
+
+
 @query("stream_hourly_latest", sql(f"SELECT station_id, timestamp, {COLS} FROM obs", OBS))
 def stream_hourly_latest(spark, sf_dir):
-    out = H.hourly_latest(V.readings_of(events_stream(spark, sf_dir)))
+    """Four batches with the oldest readings last."""
+    opened, land = late_stream(spark, sf_dir)
     path = shared_path(spark, "hourly-latest")
-    H.run_available(out, H.to_store(path), "update")
-    return H.latest_batch(spark, path, out.schema)
+    for part in LATE_ORDER:
+        land(part)
+    H.run_available(opened(), H.store_upsert(path), path)
+    return load_store(spark, path, _store_schema(spark, sf_dir), H.ARRIVAL).drop(*H.ARRIVAL)
+
+
+@query("stream_store_twice", sql(f"SELECT station_id, timestamp, {COLS} FROM obs", OBS))
+def stream_store_twice(spark, sf_dir):
+    """The loop is run twice on one store, with other input each time."""
+    opened, land = late_stream(spark, sf_dir)
+    path = shared_path(spark, "hourly-twice")
+    for parts in (LATE_ORDER[:2], LATE_ORDER[2:]):
+        for part in parts:
+            land(part)
+        H.run_available(opened(), H.store_upsert(path), path)
+    return load_store(spark, path, _store_schema(spark, sf_dir), H.ARRIVAL).drop(*H.ARRIVAL)
 
 
 @query("stream_hourly_stats", sql(
@@ -44,10 +72,13 @@ def stream_hourly_latest(spark, sf_dir):
       round(avg(target_aqi), 6) AS mean_aqi, max(target_aqi) AS max_aqi FROM aqi GROUP BY 1, 2""",
     aqi_cte("v2", "readings")))
 def stream_hourly_stats(spark, sf_dir):
-    out = H.hourly_stats(V.readings_of(events_stream(spark, sf_dir)))
+    """Four batches with the oldest readings last."""
+    opened, land = late_stream(spark, sf_dir)
     path = shared_path(spark, "hourly-stats")
-    H.run_available(out, H.to_store(path), "update")
-    return rounded(H.latest_batch(spark, path, out.schema), "mean_aqi")
+    for part in LATE_ORDER:
+        land(part)
+    H.run_available(opened(), H.hourly_stats(path), path)
+    return rounded(H.stats_table(spark, path), "mean_aqi")
 
 
 @query("stream_hazard_alerts", sql(
@@ -68,7 +99,7 @@ def _store_schema(spark, sf_dir):
 @query("stream_store_upsert", sql(f"SELECT reading_id, station_id, timestamp, {COLS} FROM obs", OBS))
 def stream_store_upsert(spark, sf_dir):
     path = shared_path(spark, "stream-store")
-    H.run_available(V.readings_of(batched_stream(spark, sf_dir)), H.store_upsert(path))
+    H.run_available(V.readings_of(batched_stream(spark, sf_dir)), H.store_upsert(path), path)
     return load_store(spark, path, _store_schema(spark, sf_dir), H.ARRIVAL).drop(H.OBSERVED)
 
 
@@ -79,7 +110,7 @@ _SQL, _FLOATS = _feature_select([INDEX, *FEATURES])
 def stream_features(spark, sf_dir):
     store, table = shared_path(spark, "stream-store"), shared_path(spark, "stream-features")
     columns = [INDEX, *FEATURES]
-    H.run_available(V.readings_of(batched_stream(spark, sf_dir)), H.update_features(store, table, columns))
+    H.run_available(V.readings_of(batched_stream(spark, sf_dir)), H.update_features(store, table, columns), store)
     kinds = {c: T.IntegerType() for c in ("hour", "day", "day_of_week", "month", "is_weekend")}
     schema = T.StructType(
         [T.StructField(STATION, T.LongType()), T.StructField(TIME, T.TimestampType())]

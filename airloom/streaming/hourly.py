@@ -17,21 +17,22 @@ from airloom.operators.dedupe import keep_last
 from airloom.operators.features import REACH_BACK, with_features
 from airloom.operators.series import Layout
 from airloom.schemas import INDEX, MEASURES, STATION, TIME
-from airloom.session import shared_path
 from airloom.sources.store import BATCH, DAY, append_batch, read_log
 
 OBSERVED = "observed_at"
 ARRIVAL = [OBSERVED, "reading_id"]
-LATENESS = "2 hours"
 LOOKBACK_DAYS = 7
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Drive ``stream`` through ``sink`` until all present input is processed."""
-    spark = stream.sparkSession
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], store: str) -> None:
+    """Drive ``stream`` through ``sink`` until all present input is processed.
+
+    Progress is kept beside the store, so a later run on the same store goes on where this one
+    ended: nothing is read twice, and batch numbers are never used again for other input.
+    """
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(sink)
-        .option("checkpointLocation", shared_path(spark, "stream-state"))
+        stream.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{store}/_progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -42,24 +43,27 @@ def latest_batch(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return keep_last(read_log(spark, path, schema), [BATCH]).drop(BATCH, DAY)
 
 
-def hourly_latest(readings: DataFrame) -> DataFrame:
-    """Newest reading per station and hour; state older than the lateness bound is dropped."""
-    return (
-        readings.withWatermark(TIME, LATENESS)
-        .groupBy(STATION, F.window(TIME, "1 hour"))
-        .agg(F.max_by(F.struct(*MEASURES), F.struct(TIME, "reading_id")).alias("_m"))
-        .select(STATION, F.col("window.start").alias(TIME), "_m.*")
-    )
+def hourly_stats(path: str) -> Callable[[DataFrame, int], None]:
+    """Store a micro-batch's share of count, sum and maximum per station and tumbling hour."""
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        hours = with_aqi(batch).groupBy(STATION, F.date_trunc("hour", TIME).alias(TIME)).agg(
+            F.count(F.lit(1)).alias("readings"), F.count(INDEX).alias("known"), F.sum(INDEX).alias("total"),
+            F.max(INDEX).alias("max_aqi"))
+        append_batch(hours, path, batch_id)
 
-def hourly_stats(readings: DataFrame) -> DataFrame:
-    """Count, mean and maximum index per station and tumbling hour."""
-    return (
-        with_aqi(readings).withWatermark(TIME, LATENESS)
-        .groupBy(STATION, F.window(TIME, "1 hour"))
-        .agg(F.count(F.lit(1)).alias("readings"), F.avg(INDEX).alias("mean_aqi"), F.max(INDEX).alias("max_aqi"))
-        .select(STATION, F.col("window.start").alias(TIME), "readings", "mean_aqi", "max_aqi")
-    )
+    return sink
+
+
+STATS_SCHEMA = "station_id long, timestamp timestamp, readings long, known long, total double, max_aqi double"
+
+
+def stats_table(spark: SparkSession, path: str) -> DataFrame:
+    """Count, mean and maximum index per station and hour; a reading counts however late it came."""
+    shares = read_log(spark, path, T.StructType.fromDDL(STATS_SCHEMA))
+    return shares.groupBy(STATION, TIME).agg(
+        F.sum("readings").alias("readings"), F.try_divide(F.sum("total"), F.sum("known")).alias("mean_aqi"),
+        F.max("max_aqi").alias("max_aqi"))
 
 
 def hazard_stream(readings: DataFrame) -> DataFrame:
@@ -68,10 +72,6 @@ def hazard_stream(readings: DataFrame) -> DataFrame:
     return indexed.filter(F.col(INDEX) >= HAZARD_THRESHOLD)
 
 
-def to_store(path: str) -> Callable[[DataFrame, int], None]:
-    return lambda batch, batch_id: append_batch(batch, path, batch_id)
-
-
 def hourly_batch(batch: DataFrame) -> DataFrame:
     """A micro-batch reduced to its newest reading per station and hour."""
     stamped = batch.withColumn(OBSERVED, F.col(TIME)).withColumn(TIME, F.date_trunc("hour", TIME))

@@ -67,8 +67,10 @@ def test_only_affected_rows_are_recomputed(spark, readings, tmp_path):
     assert log.filter("batch_id = 1").agg(F.min(TIME)).first()[0].day > 28
 
 
-def test_late_rows_beyond_the_watermark_leave_state(spark, sf):
-    """The windowed form keeps a watermark, so its state stays bounded."""
-    stream = spark.readStream.schema(V.events(spark, sf).schema).parquet(sf)
-    plan = H.hourly_latest(V.readings_of(stream))._jdf.queryExecution().analyzed().toString()
-    assert "EventTimeWatermark" in plan
+def test_late_rows_are_kept(spark, readings, tmp_path):
+    path = str(tmp_path / "stats")
+    feed(readings, ORDERS["late"], H.hourly_stats(path))
+    want = with_aqi(readings).groupBy(STATION, F.date_trunc("hour", TIME).alias(TIME)).agg(
+        F.count(F.lit(1)).alias("readings"), F.max(INDEX).alias("max_aqi"))
+    got = H.stats_table(spark, path).select(STATION, TIME, "readings", "max_aqi")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airloom.functions.aqi import clean_double
 from airloom.functions.calendar import event_hour
@@ -43,21 +44,31 @@ def parse_time_or_null(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD_PAYLOAD).json(path)
+def _documents(spark: SparkSession, path: str, schema: T.StructType, indented: bool) -> DataFrame:
+    """A document per line, or per file where files hold indented documents; anything else is an error."""
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    return (reader.option("multiLine", True) if indented else reader).json(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_PAYLOAD).json(path)
+def read_records(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+    return _documents(spark, path, RECORD_PAYLOAD, indented)
+
+
+def read_history(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+    return _documents(spark, path, HISTORY_PAYLOAD, indented)
 
 
 def newest_path(spark: SparkSession, root: str) -> str:
-    """Folder of the last file in name order; only file listings are read, not contents."""
+    """The last file in name order, or its folder where Spark has written the document in parts.
+
+    Only file listings are read, not contents.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     newest = listing.agg(F.max("path")).first()[0]
     if newest is None:
         raise FileNotFoundError(f"no payload below {root}")
-    return newest.rsplit("/", 1)[0]
+    folder, name = newest.rsplit("/", 1)
+    return folder if name.startswith("part-") else newest
 
 
 def weather_records(payloads: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ back to append, and the newest version of an hour wins on read. ``compact`` fold
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,19 @@ BATCH = "batch_id"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = OBSERVATION_SCHEMA) -> DataFrame:
-    """Hourly CSV with explicit types; times are UTC."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Hourly CSV, its columns found by name in any order; times are UTC.
+
+    A missing column is an error, and so is a value that does not fit its type. Other columns are left out.
+    """
+    raw = require_columns(spark.read.option("header", True).csv(path), schema.fieldNames())
+
+    def typed(field: T.StructField) -> Column:
+        text = F.col(f"`{field.name}`")
+        value = text.try_cast(field.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"{field.name} cannot be read: "), text)).cast(field.dataType)
+        return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value).alias(field.name)
+
+    return raw.select(*[typed(f) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -100,7 +100,7 @@ def test_newest_payload_by_name(spark, tmp_path):
     for day in ("2024-01-02", "2024-01-10", "2024-01-09"):
         write_json(tmp_path / "n" / f"period={day}", history_doc([f"{day}T00:00"], [f"{day}T00:00"], day))
     newest = P.newest_path(spark, str(tmp_path / "n"))
-    assert newest.endswith("period=2024-01-10")
+    assert newest.endswith("period=2024-01-10/part.json")
     rows = K.training_source(spark, str(tmp_path / "n"), "history").collect()
     assert [str(r[TIME]) for r in rows] == ["2024-01-10 00:00:00"]
     with pytest.raises(ValueError):
@@ -152,6 +152,40 @@ def test_csv_keeps_types_and_nulls(spark, tmp_path):
     assert back.schema == OBSERVATION_SCHEMA and back.exceptAll(df).count() == 0
 
 
+def csv_file(folder, header, row):
+    folder.mkdir()
+    (folder / "a.csv").write_text(f"{','.join(header)}\n{','.join(row)}\n")
+    return str(folder)
+
+
+def test_csv_finds_columns_by_name_and_refuses_bad_values(spark, tmp_path):
+    names = [STATION, *OBSERVATION]
+    cells = {n: str(float(i)) for i, n in enumerate(names)} | {STATION: "1", TIME: "2026-08-18 16:00:00"}
+    turned = list(reversed(names))
+    row = S.read_csv(spark, csv_file(tmp_path / "t", turned, [cells[n] for n in turned])).first()
+    assert row[STATION] == 1 and row.o3 == float(cells["o3"]) and row.humidity == float(cells["humidity"])
+    with pytest.raises(ValueError, match="pm10"):
+        S.read_csv(spark, csv_file(tmp_path / "m", [n for n in names if n != "pm10"], [cells[n] for n in names if n != "pm10"]))
+    for name in (TIME, "pm10"):
+        bad = cells | {name: "soon"}
+        with pytest.raises(Exception, match="cannot be read: soon"):
+            S.read_csv(spark, csv_file(tmp_path / f"b{name}", names, [bad[n] for n in names])).collect()
+
+
+def test_indented_documents_one_per_file(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    for day in ("2024-01-02", "2024-01-10"):
+        doc = history_doc([f"{day}T00:00"], [f"{day}T00:00"], day)
+        (tmp_path / "i" / f"historical_{day}.json").write_text(json.dumps(doc, indent=2))
+    rows = K.clean_history(P.read_history(spark, str(tmp_path / "i"), indented=True))
+    assert rows.count() == 2
+    newest = P.newest_path(spark, str(tmp_path / "i"))
+    assert newest.endswith("historical_2024-01-10.json")
+    assert K.clean_history(P.read_history(spark, newest, indented=True)).count() == 1
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        P.read_history(spark, newest).collect()
+
+
 def test_csv_reads_zoned_text(spark, tmp_path):
     (tmp_path / "z").mkdir()
     cells = ",".join(["1.0"] * len(MEASURES))

@@ -58,12 +58,19 @@ def choose_layout(keys: DataFrame, limit: int = MAX_ROWS_PER_GROUP) -> Layout:
     return Layout(rows_per_chunk=limit, block_seconds=choose_block(keys, limit))
 
 
+def refuse_missing_keys(df: DataFrame) -> DataFrame:
+    """A row without a station or a time has no place in a series; it is an error, never dropped."""
+    missing = F.col(STATION).isNull() | F.col(TIME).isNull()
+    return df.filter(F.when(missing, F.raise_error(F.lit("a row lacks its station or time")).cast("boolean")).otherwise(True))
+
+
 SERIES_WINDOW = f"PARTITION BY {STATION} ORDER BY {TIME}"
 CHUNK_WINDOW = f"PARTITION BY {STATION}, _chunk ORDER BY {TIME}"
 
 
 def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
     """Add ``row_index`` (0-based within the station) and ``series_rows`` (its length)."""
+    df = refuse_missing_keys(df)
     if layout.rows_per_chunk is None:
         station = Window.partitionBy(STATION)
         return df.select(
@@ -77,15 +84,15 @@ def with_row_index(df: DataFrame, layout: Layout) -> DataFrame:
     station = Window.partitionBy(STATION)
     earlier = station.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        STATION, "_block",
+        F.col(STATION).alias("_station"), F.col("_block").alias("_at"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(station).alias("series_rows"),
     )
     in_block = Window.partitionBy(STATION, "_block").orderBy(TIME)
     return (
-        blocked.join(offsets, [STATION, "_block"])
+        blocked.join(offsets, F.col(STATION).eqNullSafe(F.col("_station")) & F.col("_block").eqNullSafe(F.col("_at")))
         .withColumn("row_index", F.col("_before") + F.row_number().over(in_block) - 1)
-        .drop("_block", "_before")
+        .drop("_block", "_before", "_station", "_at")
     )
 
 
@@ -101,7 +108,9 @@ def window_rows(df: DataFrame, stages: Stages, before: int = 0, after: int = 0,
     """
     size = layout.rows_per_chunk
     rows, window = df, SERIES_WINDOW
-    if size is not None:
+    if size is None:
+        rows = refuse_missing_keys(df)
+    else:
         rows, window = _chunked(df, before, after, layout), CHUNK_WINDOW
     made = []
     for stage in stages(window):

@@ -160,3 +160,12 @@ def test_latest_complete_and_tail(spark):
     pdf = make_series().dropna(subset=[INDEX, "pm10"]).sort_values(TIME).groupby(STATION).tail(1)
     assert sorted(latest[TIME]) == sorted(pdf[TIME])
     assert tail_sample(df, 100).count() == 100 + 100 + 7
+
+
+@pytest.mark.parametrize("layout", [Layout(), Layout(100)])
+@pytest.mark.parametrize("missing", [STATION, TIME])
+def test_rows_without_keys_are_refused_in_both_layouts(spark, layout, missing):
+    rows = spark.range(3).select(F.col("id").alias(STATION), F.timestamp_seconds("id").alias(TIME))
+    broken = rows.withColumn(missing, F.lit(None).cast(dict(rows.dtypes)[missing]))
+    with pytest.raises(Exception, match="lacks its station or time"):
+        with_row_index(broken, layout).collect()

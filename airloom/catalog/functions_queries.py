@@ -105,11 +105,11 @@ def cyclic_features(spark, sf_dir):
 
 
 @query("clamp_round", sql(
-    f"""SELECT reading_id, round(greatest(0e0, x), 2) AS aqi, {label_sql('greatest(0e0, x)')} AS category
-    FROM (SELECT reading_id, target_aqi - 40.125e0 AS x FROM aqi WHERE target_aqi IS NOT NULL)""",
+    f"""SELECT reading_id, round(y, 2) AS aqi, CASE WHEN y IS NOT NULL THEN {label_sql('y')} END AS category
+    FROM (SELECT reading_id, CASE WHEN target_aqi IS NOT NULL THEN greatest(0e0, target_aqi - 40.125e0) END AS y FROM aqi)""",
     aqi_cte("v2", "readings")))
 def clamp_round(spark, sf_dir):
-    raw = _indexed(spark, sf_dir).filter(f"{INDEX} IS NOT NULL")
+    raw = _indexed(spark, sf_dir)
     value = A.forecast_value(F.col(INDEX) - 40.125)
     return raw.select("reading_id", value.alias("v")).select("reading_id", "v.*")
 

@@ -203,12 +203,9 @@ def build_observation(spark, sf_dir):
 
 
 @query("job_collect", sql(
-    f"""SELECT station_id, count(*) AS rows, max(timestamp) AS latest_timestamp,
-      round(sum(pm10), 4) AS pm10_total, round(sum(temperature), 4) AS temperature_total FROM (
-      SELECT * FROM fresh UNION ALL
+    """SELECT * FROM fresh UNION ALL
       SELECT s.* FROM obs_store s WHERE NOT EXISTS (
-        SELECT 1 FROM fresh f WHERE f.station_id = s.station_id AND f.timestamp = s.timestamp))
-    GROUP BY station_id""",
+        SELECT 1 FROM fresh f WHERE f.station_id = s.station_id AND f.timestamp = s.timestamp)""",
     """fresh AS (SELECT station_id, date_trunc('hour', timestamp) AS timestamp, pm10, temperature FROM readings
       WHERE event_type <> 'view' QUALIFY row_number() OVER (
         PARTITION BY station_id, date_trunc('hour', timestamp) ORDER BY timestamp DESC) = 1)""",
@@ -221,10 +218,7 @@ def job_collect(spark, sf_dir):
     docs = V.reading_payloads(rows.filter("event_type <> 'view'")).drop("reading_id")
     landed = P.read_records(spark, P.land(docs, shared_path(spark, "collected")))
     stored = keep_last(arrived(spark, sf_dir).filter("event_type = 'view'").drop("event_type"), [SEQ])
-    after = K.collect(stored, landed)
-    return after.groupBy(STATION).agg(
-        F.count(F.lit(1)).alias("rows"), F.max(TIME).alias("latest_timestamp"),
-        F.round(F.sum("pm10"), 4).alias("pm10_total"), F.round(F.sum("temperature"), 4).alias("temperature_total"))
+    return K.collect(stored, landed).select(STATION, TIME, "pm10", "temperature")
 
 
 # -- cleaning jobs -----------------------------------------------------------------------------
@@ -361,14 +355,13 @@ def hazard_filter(spark, sf_dir):
     return D.hazard_readings(persistence_documents(complete_table(spark, sf_dir)))
 
 
-_ALERT_TEXT = """'Hazardous Air Quality Alert' || chr(10) || chr(10) || 'Location: station-' || station_id || ', unknown'
-  || chr(10) || 'Data timestamp: ' || data_timestamp || chr(10) || chr(10) || 'Hazardous AQI readings/forecasts:' || chr(10)
-  || string_agg('- ' || reading || ': AQI ' || printf('%.2f', aqi), chr(10) ORDER BY position) || chr(10) || chr(10)
-  || 'AQI threshold: 301+' || chr(10) || 'Please take appropriate precautions.'"""
+_ALERT_TEXT = """'Hazardous air in station-' || station_id || ', unknown' || chr(10) || 'from data of ' || data_timestamp
+  || chr(10) || string_agg(reading || ': ' || printf('%.2f', aqi), chr(10) ORDER BY position)
+  || chr(10) || 'The index is hazardous from 301 on.'"""
 
 
 @query("hazard_alerts", sql(
-    f"""SELECT station_id, data_timestamp, 'AQI ALERT - Hazardous Air Quality' AS subject,
+    f"""SELECT station_id, data_timestamp, 'Hazardous air expected' AS subject,
       CAST(count(*) AS INTEGER) AS hazards, {_ALERT_TEXT} AS message FROM hazards GROUP BY station_id, data_timestamp""",
     *_FEATS, _COMPLETE, _HAZARDS))
 def hazard_alerts(spark, sf_dir):

@@ -127,7 +127,7 @@ def record_payloads(rows: DataFrame) -> DataFrame:
         F.date_format("day", "yyyy-MM-dd'T'23:59:59'Z'").alias("collection_timestamp"),
         F.struct(
             F.format_string("station-%d", STATION).alias("name"),
-            F.lit(31.5).alias("latitude"), F.lit(74.3).alias("longitude"),
+            F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"),
         ).alias("location"),
         F.struct(c("w").alias("list")).alias("weather_forecast"),
         F.struct(c("p").alias("list")).alias("pollution_forecast"),
@@ -157,7 +157,7 @@ def history_payloads(rows: DataFrame) -> DataFrame:
         "day",
         F.struct(
             c(STATION), F.format_string("station-%d", STATION).alias("city"),
-            F.lit(31.5).alias("latitude"), F.lit(74.3).alias("longitude"),
+            F.lit(10.0).alias("latitude"), F.lit(20.0).alias("longitude"),
             c("day").cast("string").alias("start_date"), c("day").cast("string").alias("end_date"),
             F.lit("archive").alias("source"), F.date_format("day", "yyyy-MM-dd'T'23:59:59'Z'").alias("created_at"),
         ).alias("metadata"),

@@ -133,7 +133,8 @@ def category_or_unavailable(c: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), c)
+    """Not below zero; a missing or NaN value stays missing."""
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(0.0), c))
 
 
 def forecast_value(c: Column) -> Column:

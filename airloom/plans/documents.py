@@ -16,7 +16,7 @@ DOCUMENT_POLLUTANTS = {"pm25": "pm2_5", "pm10": "pm10", "no2": "no2", "o3": "o3"
 # Model-free stand-ins: each horizon repeats a known value of the index.
 PERSISTENCE = {"24h": INDEX, "48h": "aqi_lag_24h", "72h": "aqi_lag_48h"}
 
-ALERT_SUBJECT = "AQI ALERT - Hazardous Air Quality"
+ALERT_SUBJECT = "Hazardous air expected"
 
 
 def pollutant_struct(df: DataFrame) -> Column:
@@ -70,17 +70,14 @@ def hazard_alerts(docs: DataFrame, subject: str = ALERT_SUBJECT) -> DataFrame:
     """One alert per document with any hazardous value; no row otherwise."""
     readings = [(h, F.col("forecast")[h]["aqi"]) for h in HORIZONS] + [("Current", F.col("current_aqi"))]
     lines = F.array_compact(F.array(*[
-        F.when(v >= HAZARD_THRESHOLD, F.format_string(f"- {n}: AQI %.2f", v)) for n, v in readings
+        F.when(v >= HAZARD_THRESHOLD, F.format_string(f"{n}: %.2f", v)) for n, v in readings
     ]))
     message = F.concat_ws(
         "\n",
-        F.lit("Hazardous Air Quality Alert"), F.lit(""),
-        F.concat(F.lit("Location: "), F.col("city"), F.lit(", "), F.col("country")),
-        F.concat(F.lit("Data timestamp: "), F.col("data_timestamp")), F.lit(""),
-        F.lit("Hazardous AQI readings/forecasts:"),
-        F.array_join(F.col("lines"), "\n"), F.lit(""),
-        F.lit("AQI threshold: 301+"),
-        F.lit("Please take appropriate precautions."),
+        F.concat(F.lit("Hazardous air in "), F.col("city"), F.lit(", "), F.col("country")),
+        F.concat(F.lit("from data of "), F.col("data_timestamp")),
+        F.array_join(F.col("lines"), "\n"),
+        F.lit("The index is hazardous from 301 on."),
     )
     return docs.withColumn("lines", lines).filter(F.size("lines") > 0).select(
         STATION, "data_timestamp", F.lit(subject).alias("subject"),

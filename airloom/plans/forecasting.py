@@ -29,8 +29,9 @@ def forecast_job(
 ) -> tuple[DataFrame, DataFrame]:
     """Forecast documents of every station, and the alerts they call for."""
     require_rows(serving, "latest features")
-    prepare_input(serving, features)
-    docs = D.forecast_documents(with_predictions(serving, models), city, country)
+    carried = [c for c in serving.columns if c not in features]
+    ready = prepare_input(serving, features, carried)
+    docs = D.forecast_documents(with_predictions(ready, models), city, country)
     return docs, D.hazard_alerts(docs)
 
 

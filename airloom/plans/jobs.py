@@ -93,9 +93,11 @@ def legacy_dataset(merged: DataFrame, layout: Layout = Layout()) -> DataFrame:
 def collect(stored: DataFrame, payloads: DataFrame, arrival: str = SEQ) -> DataFrame:
     """Landed payloads become observations and replace stored rows of their hours.
 
-    When several payloads fall in one hour the last one collected wins.
+    When several payloads fall in one hour the last one collected wins. A payload without a clock
+    belongs to the hour it was collected in.
     """
-    fresh = require_columns(P.build_observation(payloads)).withColumn(
+    collected = F.to_timestamp("collection_timestamp")
+    fresh = require_columns(P.build_observation(payloads, collected)).withColumn(
         arrival, F.unix_micros(F.to_timestamp("collection_timestamp"))
     ).drop("collection_timestamp")
     return S.upsert(S.replace_hours(stored, fresh), fresh, [arrival])

@@ -27,4 +27,6 @@ def test_flagship(spark):
 
 
 def test_only_model_queries_lack_sql():
-    assert all(k.startswith(("ml_", "forecast_", "job_forecast", "job_training")) for k in MODEL_KEYS)
+    """Text queries have tests of their own."""
+    own = [k for k in MODEL_KEYS if k != "pipeline" and not k.startswith("op")]
+    assert all(k.startswith(("ml_", "forecast_", "job_forecast", "job_training")) for k in own)

@@ -2,9 +2,70 @@
 
 from __future__ import annotations
 
-from airloom.functions.aqi import BANDS
 from airloom.schemas import MEASURES
 
+#: Bands of the index (low, high, index low, index high), written out apart from the code they check.
+INDEX_BANDS = {
+    "v1": {
+        "pm2_5": [
+            (0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.4, 101, 150),
+            (55.5, 125.4, 151, 200), (125.5, 225.4, 201, 300), (225.5, 325.4, 301, 500),
+        ],
+        "pm10": [
+            (0.0, 54.0, 0, 50), (55.0, 154.0, 51, 100), (155.0, 254.0, 101, 150),
+            (255.0, 354.0, 151, 200), (355.0, 424.0, 201, 300), (425.0, 504.0, 301, 500),
+        ],
+        "co": [
+            (0.0, 4.4, 0, 50), (4.5, 9.4, 51, 100), (9.5, 12.4, 101, 150),
+            (12.5, 15.4, 151, 200), (15.5, 30.4, 201, 300), (30.5, 40.4, 301, 400),
+            (40.5, 50.4, 401, 500),
+        ],
+        "no2": [
+            (0.0, 53.0, 0, 50), (54.0, 100.0, 51, 100), (101.0, 360.0, 101, 150),
+            (361.0, 649.0, 151, 200), (650.0, 1249.0, 201, 300), (1250.0, 1649.0, 301, 400),
+            (1650.0, 2049.0, 401, 500),
+        ],
+        "so2": [
+            (0.0, 35.0, 0, 50), (36.0, 75.0, 51, 100), (76.0, 185.0, 101, 150),
+            (186.0, 304.0, 151, 200), (305.0, 604.0, 201, 300), (605.0, 804.0, 301, 400),
+            (805.0, 1004.0, 401, 500),
+        ],
+        "o3": [
+            (0.0, 0.054, 0, 50), (0.055, 0.07, 51, 100), (0.071, 0.085, 101, 150),
+            (0.086, 0.105, 151, 200), (0.106, 0.2, 201, 300),
+        ],
+    },
+    "v2": {
+        "pm2_5": [
+            (0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.49, 101, 150),
+            (55.5, 125.4, 151, 200), (125.5, 225.4, 201, 300), (225.5, 325.4, 301, 500),
+        ],
+        "pm10": [
+            (0.0, 54.0, 0, 50), (55.0, 154.99, 51, 100), (155.0, 254.0, 101, 150),
+            (255.0, 354.0, 151, 200), (355.0, 424.0, 201, 300), (425.0, 504.0, 301, 500),
+        ],
+        "co": [
+            (0.0, 4.4, 0, 50), (4.5, 9.4, 51, 100), (9.5, 12.4, 101, 150),
+            (12.5, 15.4, 151, 200), (15.5, 30.4, 201, 300), (30.5, 40.4, 301, 400),
+            (40.5, 50.4, 401, 500),
+        ],
+        "no2": [
+            (0.0, 53.0, 0, 50), (54.0, 100.0, 51, 100), (101.0, 360.0, 101, 150),
+            (361.0, 649.0, 151, 200), (650.0, 1249.0, 201, 300), (1250.0, 1649.0, 301, 400),
+            (1650.0, 2049.0, 401, 500),
+        ],
+        "so2": [
+            (0.0, 35.0, 0, 50), (36.0, 75.0, 51, 100), (76.0, 185.0, 101, 150),
+            (186.0, 304.0, 151, 200), (305.0, 604.0, 201, 300), (605.0, 804.0, 301, 400),
+            (805.0, 1004.0, 401, 500),
+        ],
+        "o3": [
+            (0.0, 0.054, 0, 50), (0.055, 0.07, 51, 100), (0.071, 0.085, 101, 150),
+            (0.086, 0.105, 151, 200), (0.106, 0.2, 201, 300),
+        ],
+    },
+}
+
 WEATHER_LIST = (
     "temperature, humidity, dew_point, feels_like, pressure, surface_pressure, clouds, "
     "wind_speed, wind_direction, wind_gust, precipitation"
@@ -61,7 +122,7 @@ def sub_index_sql(pollutant: str, bands: str = "v2") -> str:
     arms = " ".join(
         f"WHEN {c} >= {lo!r}e0 AND {c} <= {hi!r}e0 THEN "
         f"round_even((({ihi}e0 - {ilo}e0) / ({hi!r}e0 - {lo!r}e0)) * ({c} - {lo!r}e0) + {ilo}e0, 0)"
-        for lo, hi, ilo, ihi in BANDS[bands][pollutant]
+        for lo, hi, ilo, ihi in INDEX_BANDS[bands][pollutant]
     )
     return f"CASE {arms} END"
 

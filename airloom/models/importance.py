@@ -30,30 +30,34 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean rise of the absolute error when one input is shuffled, over ``repeats`` shuffles.
 
-    Rows fall into hash blocks of bounded size; inside a block a second hash order names each
-    row's donor, so a shuffle is an equality join and no window spans the table.
+    A row's place in one hash order takes its donor from the same place in another, so a shuffle
+    of the whole table is an equality join. Places are counted over ranges of the hash, which
+    bounds every window and leaves the order as it is, whatever the number of ranges.
     """
     blocks = max(1, math.ceil(test.count() / ROWS_PER_BLOCK))
 
     def order(salt: int):
-        return F.xxhash64(F.col(STATION), F.col(TIME), F.lit(salt))
+        return F.shiftrightunsigned(F.xxhash64(F.col(STATION), F.col(TIME), F.lit(salt)), 1)
 
     packed = test.select(
         STATION, TIME, F.col(target).cast("double").alias("_y"),
         F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
-        F.pmod(order(seed), F.lit(blocks)).alias("_block"),
     )
 
     def placed(salt: int) -> DataFrame:
+        ranged = packed.withColumn("_block", (order(salt) / F.lit(2.0**63) * blocks).cast("long"))
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges, not the rows
+        counts = ranged.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+        starts = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
         w = Window.partitionBy("_block").orderBy(order(salt), STATION, TIME)
-        return packed.withColumn("_place", F.row_number().over(w))
+        return ranged.join(starts, "_block").withColumn("_place", F.col("_start") + F.row_number().over(w))
 
-    rows = placed(seed).select("_block", "_place", "_y", "_x")
+    rows = placed(seed).select("_place", "_y", "_x")
     donors = None
     for r in range(1, repeats + 1):
-        one = placed(seed + r).select("_block", "_place", F.col("_x").alias("_donor"))
+        one = placed(seed + r).select("_place", F.col("_x").alias("_donor"))
         donors = one if donors is None else donors.unionAll(one)
-    pairs = rows.join(donors, ["_block", "_place"])
+    pairs = rows.join(donors, "_place")
     swapped = pairs.select(
         "_y", "_x", "_donor", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_j"),
     ).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +54,24 @@ def category_distribution(df: DataFrame, column: str = INDEX, closed: bool = Tru
     return counts.select(F.inline(entries))
 
 
+PAIRS_PER_PASS = 13
+
+
 def correlation_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson correlations over pairwise complete rows, all in one pass.
+    """Pearson correlations over pairwise complete rows, a few pairs in each pass; rows are never copied.
 
     A constant column has no correlation (NULL).
     """
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("_p"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    complete = df.select(F.inline(entries)).filter("_a IS NOT NULL AND _b IS NOT NULL")
-    spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
-    found = complete.groupBy("_p").agg((F.covar_pop("_a", "_b") / spread).alias("corr"))
-    names = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b")) for a, b in pairs])
-    return found.select(F.element_at(names, F.col("_p") + 1).alias("_n"), "corr").select("_n.*", "corr")
+    parts = []
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        some = pairs[at : at + PAIRS_PER_PASS]
+        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}") for i, (a, b) in enumerate(some)])
+        entries = F.array(*[
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.nanvl(f"_c{i}", F.lit(None)).alias("corr"))
+            for i, (a, b) in enumerate(some)
+        ])
+        parts.append(row.select(F.inline(entries)))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def correlation_with_index(df: DataFrame, columns: list[str] = CORRELATED) -> DataFrame:

@@ -18,6 +18,7 @@ rows do not remove words from each other. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from airloom.session import written
 WINDOW = 20
 GRAM = 6
 LONGEST = 64
+ANCHOR_BITS = 48
 MANY = 2000
 SHARD_ROWS = 4000
 CHUNK = 100_000
@@ -73,7 +75,19 @@ def segments(hashes: np.ndarray, starts: np.ndarray):
     ends = np.cumsum(sizes)
     at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begin, sizes)
     held = np.bincount(np.repeat(np.arange(len(begin)), sizes), g[at] == np.repeat(least[begin], sizes), len(begin))
-    return doc[begin], begin, count, least[begin], held.astype(np.int64)
+    return doc[begin], begin, count, least[begin] >> np.uint64(64 - ANCHOR_BITS), held.astype(np.int64)
+
+
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as deflated bytes with a hash of each, for the one time they are shuffled."""
+    for b in pieces(batches, "x"):
+        z = pa.array([zlib.compress(x.encode(), 1) for x in b.column("x").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), z], ["d", "t", "z"])
+
+
+def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for b in pieces(batches, "z", 1_500_000):
+        yield b, pa.array([zlib.decompress(z).decode() for z in b.column("z").to_pylist()], pa.string())
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +104,8 @@ def _pair(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of documents that have one of the document's repeated anchors, with their words as bytes."""
-    for b in pieces(batches, "x"):
-        words, starts = split_batch(b.column("x"))
+    for b, texts in _inflated(batches):
+        words, starts = split_batch(texts)
         h = word_hashes(words)
         doc, begin, count, anchor, _ = segments(h, starts)
         lists = b.column("anchors")
@@ -144,8 +158,8 @@ def _search_shard(group: pa.Table) -> pa.Table:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "x"):
-        words, starts = split_batch(b.column("x"))
+    for b, texts in _inflated(batches):
+        words, starts = split_batch(texts)
         marks = b.column("marks")
         doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(marks), 0)))
         flat = marks.flatten()
@@ -172,17 +186,17 @@ def drop_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     often = places.groupBy("a").count().where("count > 1").select("a")
     wanted = written(places.join(often, "a").groupBy(F.col("d").alias("wd")).agg(F.collect_set("a").alias("anchors")), "passage-anchors")
 
-    # one plan from here on: the texts are shuffled by id once for both uses
-    found = base.join(wanted, F.col("d").eqNullSafe(F.col("wd"))).select("d", F.xxhash64("x").alias("t"), "x", "anchors").mapInArrow(
+    # one plan from here on: the texts are shuffled by id once for both searches and the result
+    shards = max(1, (wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0) // SHARD_ROWS + 1)
+    shipped = base.select("d", F.xxhash64("x").alias("t"), "x").mapInArrow(_deflated, f"d {kind}, t long, z binary")
+    found = shipped.join(wanted, F.col("d").eqNullSafe(F.col("wd"))).select("d", "t", "z", "anchors").mapInArrow(
         _contents, f"d {kind}, t long, a long, c binary, s int, m int").withColumn("ch", F.xxhash64("c"))
-    distinct = found.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("f"))
-    distinct = written(distinct.select("a", "c", F.xxhash64("c").alias("ch"), "f.d", "f.s"), "passage-segments")
-    return _finish(base, found, distinct, kind).withColumnRenamed("d", doc_id)
+    distinct = found.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("f")).select("a", "c", F.xxhash64("c").alias("ch"), "f.d", "f.s")
+    return _finish(shipped, found, distinct, kind, shards).withColumnRenamed("d", doc_id)
 
 
-def _finish(base: DataFrame, found: DataFrame, distinct: DataFrame, kind: str) -> DataFrame:
+def _finish(shipped: DataFrame, found: DataFrame, distinct: DataFrame, kind: str, shards: int) -> DataFrame:
     many = distinct.groupBy("a").count().where(F.col("count") > MANY).select("a", F.lit(True).alias("many"))
-    shards = max(1, distinct.count() // SHARD_ROWS + 1)
     sorted_ = distinct.join(many, "a", "left")
     windows = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("c") / 4).cast("int") - WINDOW))
     single = sorted_.where("many").select("a", "ch", "c", "d", "s", windows.alias("o")).select(
@@ -198,8 +212,11 @@ def _finish(base: DataFrame, found: DataFrame, distinct: DataFrame, kind: str) -
     marked = found.select("d", "t", "a", "ch", "s", "m").join(masks, ["a", "ch"]).withColumn(
         "mask", F.when(earliest, F.col("mask")).otherwise(every)).where("mask != 0")
     marks = marked.groupBy(F.col("d").alias("md"), F.col("t").alias("mt")).agg(F.collect_set(F.struct("s", "mask")).alias("marks"))
-    joined = base.join(marks, F.col("d").eqNullSafe(F.col("md")) & (F.xxhash64("x") == F.col("mt")), "left")
-    return joined.select("d", "x", "marks").mapInArrow(_kept, f"d {kind}, n_words long, n_removed long, kept string")
+    # by id alone, as before, so that the shuffle is shared; rows of other texts under the id fall away by their hash
+    of_id = marks.groupBy("md").agg(F.collect_list(F.struct("mt", "marks")).alias("of"))
+    joined = shipped.join(of_id, F.col("d").eqNullSafe(F.col("md")), "left")
+    own = F.flatten(F.transform(F.filter("of", lambda m: m["mt"] == F.col("t")), lambda m: m["marks"]))
+    return joined.select("d", "z", own.alias("marks")).mapInArrow(_kept, f"d {kind}, n_words long, n_removed long, kept string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ neighbours mostly share one. Runs of windows with one anchor form a segment. Seg
 texts cannot repeat. The others are collected by anchor into index shards: equal segments become one text with its earliest place,
 and each shard gets a compressed full-text index (``fm_index``) through which every window of the shard is searched;
 its earliest occurrence tells whether it repeats. An anchor with very many different segments, as of a common phrase,
-is dealt out window by window, so no shard follows a hot passage. Words are compared by 32-bit hashes, twenty of them
-in a window.
+is dealt out window by window. Equal windows are merged to their earliest place before they are shuffled, and the place
+goes back to the segment that has it, so neither a shard nor a join follows a hot passage. Words are compared by 32-bit
+hashes, twenty of them in a window.
 
 Missing texts have no words. A missing id comes before all others. Rows that share an id count as one document: equal
 rows do not remove words from each other. An empty table gives an empty result. The result has the id, ``n_words``,
@@ -124,7 +125,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search_shard(group: pa.Table) -> pa.Table:
-    """For every segment (a, ch, c, d, s, o) of a shard: which of its windows, as bits from o, occur earlier."""
+    """For every segment (a, ch, c, d, s) of a shard: which of its windows, as bits, occur earlier."""
     sizes = np.asarray(pc.binary_length(group["c"])).astype(np.int64) // 4
     codes = np.frombuffer(b"".join(group["c"].to_pylist()), np.uint32)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -150,11 +151,11 @@ def _search_shard(group: pa.Table) -> pa.Table:
         tops[which] = high
         least = np.minimum.reduceat(in_order, np.column_stack([ranges, tops]).ravel())[::2]
         again[k : k + CHUNK] = least[which] < earliest[part]
-    bit = (inside[window] + np.asarray(group["o"]).astype(np.int64)[row]).astype(np.uint64)
+    bit = inside[window].astype(np.uint64)
     firsts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     mask = np.bitwise_or.reduceat(again.astype(np.uint64) << bit, firsts).view(np.int64)
     return pa.Table.from_arrays(
-        [group["a"], group["ch"], group["d"], pc.subtract(group["s"], group["o"]), pa.array(mask)], names=["a", "ch", "fd", "fs", "mask"])
+        [group["a"], group["ch"], group["d"], group["s"], pa.array(mask)], names=["a", "ch", "fd", "fs", "mask"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +201,21 @@ def _finish(shipped: DataFrame, found: DataFrame, distinct: DataFrame, kind: str
     sorted_ = distinct.join(many, "a", "left")
     windows = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("c") / 4).cast("int") - WINDOW))
     single = sorted_.where("many").select("a", "ch", "c", "d", "s", windows.alias("o")).select(
-        "a", "ch", F.substring("c", F.col("o") * 4 + 1, F.lit(4 * WINDOW)).alias("c"), "d", (F.col("s") + F.col("o")).alias("s"), "o")
-    rows = sorted_.where("many IS NULL").select("a", "ch", "c", "d", "s", F.lit(0).alias("o")).withColumn("key", F.xxhash64("a")).unionByName(
-        single.withColumn("key", F.xxhash64("c")))
-    masks = rows.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInArrow(
-        lambda group: _search_shard(group), f"a long, ch long, fd {kind}, fs int, mask long")
-    masks = masks.groupBy("a", "ch", "fd", "fs").agg(F.expr("bit_or(mask)").alias("mask"))
+        "a", "ch", "d", "s", "o", F.substring("c", F.col("o") * 4 + 1, F.lit(4 * WINDOW)).alias("w"), (F.col("s") + F.col("o")).alias("p"))
+    once = single.groupBy("a", "w").agg(F.min(F.struct("d", "p")).alias("f")).select(
+        "a", F.xxhash64("w").alias("ch"), F.col("w").alias("c"), "f.d", F.col("f.p").alias("s"))
+    whole = sorted_.where("many IS NULL").select("a", "ch", "c", "d", "s")
+
+    def searched(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")).applyInArrow(
+            lambda group: _search_shard(group), f"a long, ch long, fd {kind}, fs int, mask long")
+
+    # a window of a segment repeats unless it is at the earliest place of its words
+    first = searched(once, "c").where("mask = 0").select(F.col("ch").alias("wh"), "fd", "fs", F.lit(True).alias("first"))
+    here = (F.col("h") == F.col("wh")) & F.col("d").eqNullSafe(F.col("fd")) & (F.col("p") == F.col("fs"))
+    by_window = single.select("a", "ch", "d", "s", "o", "p", F.xxhash64("w").alias("h")).join(first, here, "left").groupBy("a", "ch", "d", "s").agg(
+        F.expr("bit_or(CASE WHEN first THEN 0L ELSE shiftleft(1L, o) END)").alias("mask")).withColumnsRenamed({"d": "fd", "s": "fs"})
+    masks = searched(whole, "a").unionByName(by_window)
 
     every = F.expr(f"shiftrightunsigned(-1L, {LONGEST} - m)")
     earliest = F.col("d").eqNullSafe(F.col("fd")) & (F.col("s") == F.col("fs"))

@@ -110,6 +110,34 @@ def test_common_anchor_is_dealt_out_by_window(spark, monkeypatch):
     assert got[40] == 42 and got[3] == 0 and got[41] >= 27
 
 
+def test_a_passage_in_every_document_stays_spread(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(passages, "MANY", 3)
+    monkeypatch.setattr(passages, "SHARD_ROWS", 10)
+    real, seen = passages._search_shard, str(tmp_path / "rows")
+
+    def spy(group):
+        with open(seen, "a") as f:
+            f.write(f"{group.num_rows}\n")
+        return real(group)
+
+    monkeypatch.setattr(passages, "_search_shard", spy)
+    rng = random.Random(9)
+    notice = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 15)} a{i} {notice} z{i} {prose(rng, 15)}") for i in range(300)]
+    got = {r.doc_id: r.n_removed for r in passages.drop_passages(frame(spark, rows)).collect()}
+    assert got == {i: 30 * (i > 0) for i in range(300)}
+    assert max(int(n) for n in open(seen)) < 300 // 2  # documents that hold each window of the notice
+
+
+def test_rows_under_one_id_do_not_remove_common_windows_from_each_other(spark, monkeypatch):
+    monkeypatch.setattr(passages, "MANY", 3)
+    rng = random.Random(10)
+    notice = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 15)} a{k} {notice} z{k} {prose(rng, 15)}") for k, i in enumerate((None, None, 1, 1, 2, 3))]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in passages.drop_passages(frame(spark, rows)).collect())
+    assert got == [(-1, 0), (-1, 0), (1, 30), (1, 30), (2, 30), (3, 30)]
+
+
 def test_language_model(spark, texts):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = {r.doc_id: r for r in ppm.score_texts(frame(spark, texts), held).collect()}

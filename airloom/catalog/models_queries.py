@@ -1,4 +1,4 @@
-"""Model fits and scoring on the training rows, at reduced tree counts."""
+"""Model fits and scoring on the training rows, with the functions' own sizes, spaces and targets."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from airloom.models import importance as I
 from airloom.models import training as T
 from airloom.operators.select import latest_complete_rows, tail_sample
 from airloom.operators.split import expanding_folds, time_split
-from airloom.operators.stats import correlation_pairs
 from airloom.plans import documents as D
 from airloom.plans import forecasting as G
 from airloom.plans import jobs as K
@@ -23,7 +22,6 @@ from airloom.schemas import FEATURES, MODEL_INPUTS, PRODUCTION_FEATURES, STATION
 from airloom.session import shared_path, written
 from airloom.sources import documents as SD
 
-TREES, DEPTH = 6, 5
 T24 = TARGETS["24h"]
 
 
@@ -37,32 +35,27 @@ def parts(spark, sf_dir):
     return split.filter("is_train"), split.filter("NOT is_train")
 
 
-def _metrics_row(spark, name, scores):
-    return spark.createDataFrame([(name, *scores.values())], "model string, mae double, rmse double, r2 double")
-
-
-def _register_fit(key, name, make):
+def _register_fit(key, name):
     @query(key)
     def run(spark, sf_dir):
         train, test = parts(spark, sf_dir)
-        model = E.pipeline(make(train), MODEL_INPUTS).fit(train)
-        return _metrics_row(spark, name, T.evaluate(model, test, T24))
+        return T.classical_leaderboard(train, test, {name: T.classical_models()[name]})
 
 
-_register_fit("ml_ridge", "Ridge", lambda df: E.ridge(df, T24))
-_register_fit("ml_random_forest", "Random Forest", lambda df: E.random_forest(T24, TREES, DEPTH))
-_register_fit("ml_gbt", "Gradient Boosting", lambda df: E.gradient_boosting(T24, TREES, 3))
+_register_fit("ml_ridge", "Ridge")
+_register_fit("ml_random_forest", "Random Forest")
+_register_fit("ml_gbt", "Gradient Boosting")
 
 
 @query("ml_leaderboard")
 def ml_leaderboard(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    return T.classical_leaderboard(train, test, T.classical_models(TREES, DEPTH, TREES))
+    return T.classical_leaderboard(train, test, T.classical_models())
 
 
 def production(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    return rows, T.train_production(rows, PRODUCTION_FEATURES, TREES, DEPTH)
+    return rows, T.train_production(rows)
 
 
 @query("ml_train_production")
@@ -75,7 +68,7 @@ def ml_train_production(spark, sf_dir):
 @query("ml_evaluate")
 def ml_evaluate(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    return T.evaluate_models(T.train_production(train, PRODUCTION_FEATURES, TREES, DEPTH), test)
+    return T.evaluate_models(T.train_production(train), test)
 
 
 @query("ml_model_roundtrip", sql(
@@ -91,11 +84,14 @@ def ml_model_roundtrip(spark, sf_dir):
     ])
 
 
+def importance_table(train, test):
+    model = E.pipeline(E.random_forest(T24, *G.IMPORTANCE_SIZE), MODEL_INPUTS).fit(train)
+    return I.feature_importance(model, test, MODEL_INPUTS, T24)
+
+
 @query("ml_feature_importance")
 def ml_feature_importance(spark, sf_dir):
-    train, test = parts(spark, sf_dir)
-    model = E.pipeline(E.random_forest(T24, TREES, DEPTH), MODEL_INPUTS).fit(train)
-    return I.feature_importance(model, test, MODEL_INPUTS, T24, repeats=2)
+    return importance_table(*parts(spark, sf_dir))
 
 
 @query("ml_shap_importance")
@@ -104,31 +100,18 @@ def ml_shap_importance(spark, sf_dir):
     return I.shap_importance(tail_sample(rows), models, PRODUCTION_FEATURES)
 
 
-def _ranked(train):
-    """Inputs by |correlation| with the 24h target."""
-    pairs = correlation_pairs(train, [(c, T24) for c in MODEL_INPUTS])
-    found = pairs.select("column_a", F.abs("corr").alias("c")).orderBy(F.desc_nulls_last("c"), "column_a")
-    return [r[0] for r in found.collect()]  # one row per model input
-
-
 @query("ml_feature_selection")
 def ml_feature_selection(spark, sf_dir):
     train, test = parts(spark, sf_dir)
-    return T.feature_count_experiment(train, test, _ranked(train), trees=3, depth=4, rounds=3)
-
-
-_SMALL = {
-    "Random Forest": (E.random_forest, {"trees": [3, 5], "depth": [3, 4], "leaf": [1, 2, 4], "share": ["0.5", "1.0"]}),
-    "Extra Trees": (E.extra_trees, {"trees": [3, 5], "depth": [3, 4], "leaf": [1, 2, 4], "share": ["0.5", "1.0"]}),
-    "Gradient Boosting": (E.gradient_boosting, {"trees": [3], "rate": [0.03, 0.1], "depth": [2], "leaf": [2, 5], "sample": [0.85, 1.0]}),
-}
+    ranked = [r.feature for r in importance_table(train, test).select("feature").collect()]  # one row per model input
+    return T.feature_count_experiment(train, test, ranked)
 
 
 @query("ml_tune")
 def ml_tune(spark, sf_dir):
     train, test = parts(spark, sf_dir)
     folded = written(expanding_folds(train, V.layout(spark, sf_dir)), "folds")
-    return T.tune(folded, test, _SMALL, [T24], draws=2)
+    return T.tune(folded, test)
 
 
 @query("forecast_batch")
@@ -158,5 +141,4 @@ def job_forecast(spark, sf_dir):
 @query("job_training")
 def job_training(spark, sf_dir):
     """Dataset, baselines, importance, production models, validation; one row per finding."""
-    return G.training_job(
-        ml_rows(spark, sf_dir), V.layout(spark, sf_dir), importance_size=(TREES, DEPTH), model_size=(TREES, DEPTH), repeats=1)
+    return G.training_job(ml_rows(spark, sf_dir), V.layout(spark, sf_dir))

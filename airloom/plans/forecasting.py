@@ -22,6 +22,7 @@ from airloom.sources.documents import read_importance, write_documents, write_fe
 from airloom.sources.store import write_csv
 
 TOP_FEATURES = 25
+IMPORTANCE_SIZE = (500, 15)  # trees and depth of the forest that ranks the inputs
 
 
 def forecast_job(
@@ -37,7 +38,7 @@ def forecast_job(
 
 def training_job(
     ml: DataFrame, layout: Layout = Layout(), path: str | None = None,
-    importance_size: tuple[int, int] = (500, 15), model_size: tuple[int, int] = (400, 20), repeats: int = 5,
+    importance_size: tuple[int, int] = IMPORTANCE_SIZE, model_size: tuple[int, int] = (400, 20), repeats: int = 5,
 ) -> DataFrame:
     """Baselines, importance, feature choice, production models, validation.
 

@@ -151,3 +151,43 @@ def test_tuning_uses_only_earlier_rows(rows):
     small = {"Random Forest": (E.random_forest, {"trees": [2], "depth": [2, 3], "leaf": [2], "share": ["all"]})}
     out = T.tune(train, rows, small, [T24], draws=2, features=FEATURES).collect()
     assert len(out) == 1 and out[0].cv_mae > 0
+
+
+def test_model_queries_run_at_the_functions_own_sizes(spark, monkeypatch):
+    from airloom.catalog import models_queries as Q
+    from airloom.catalog.registry import QUERIES
+    from airloom.plans import forecasting as G
+
+    seen = {}
+
+    def spy(name):
+        return lambda *a, **k: seen.__setitem__(name, (a, k)) or spark.range(1)
+
+    monkeypatch.setattr(Q, "parts", lambda *a: ("train", "test"))
+    monkeypatch.setattr(Q, "ml_rows", lambda *a: "rows")
+    monkeypatch.setattr(Q, "written", lambda df, name: df)
+    monkeypatch.setattr(Q, "expanding_folds", lambda *a: "folded")
+    monkeypatch.setattr(Q.V, "layout", lambda *a: "layout")
+    for name in ("classical_leaderboard", "train_production", "evaluate_models", "tune"):
+        monkeypatch.setattr(T, name, spy(name))
+    monkeypatch.setattr(G, "training_job", spy("training_job"))
+
+    def models(key):
+        QUERIES[key](None, None)
+        (train, test, found), more = seen["classical_leaderboard"]
+        assert (train, test, more) == ("train", "test", {})
+        return found
+
+    assert list(models("ml_ridge")) == ["Ridge"] and set(models("ml_leaderboard")) == set(T.classical_models())
+    forest = models("ml_random_forest")["Random Forest"](None, T24)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (300, 15)
+    boosting = models("ml_gbt")["Gradient Boosting"](None, T24)
+    assert (boosting.getMaxIter(), boosting.getMaxDepth()) == (300, 4)
+    QUERIES["ml_train_production"](None, None)
+    assert seen["train_production"] == (("rows",), {})
+    QUERIES["ml_evaluate"](None, None)
+    assert seen["train_production"] == (("train",), {})
+    QUERIES["ml_tune"](None, None)
+    assert seen["tune"] == (("folded", "test"), {})
+    QUERIES["job_training"](None, None)
+    assert seen["training_job"] == (("rows", "layout"), {})

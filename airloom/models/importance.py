@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,9 +13,11 @@ from pyspark.sql import functions as F
 
 from airloom.operators.joins import join_importance
 from airloom.schemas import STATION, TIME
-from airloom.session import shared_path
+from airloom.session import shared_path, written
 
 ROWS_PER_BLOCK = 100_000
+SHAP_ROWS = 500
+SHAP_LEAVES = 5_000
 
 
 def impurity_importance(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
@@ -83,19 +84,54 @@ def feature_importance(
 
 # -- Shapley values of tree ensembles ----------------------------------------------------------
 
-def leaf_boxes(spark: SparkSession, model: PipelineModel) -> list[tuple]:
-    """Every leaf as (value, features, low edges, high edges, cover shares).
-
-    Nodes come from the stored form of the model. Their number is bounded by trees times
-    2^depth, a property of the model and not of the data.
-    """
+def _stored_nodes(spark: SparkSession, model: PipelineModel) -> tuple[DataFrame, list[float]]:
+    """Nodes of all trees as a table, from the stored form of the model, and what each tree counts."""
     path = shared_path(spark, "forest")
     regressor = model.stages[-1]
     regressor.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*").collect()
     weights = [float(w) for w in regressor.treeWeights]
     if type(regressor).__name__.startswith("RandomForest"):
         weights = [1.0 / len(weights)] * len(weights)
+    return spark.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*"), weights
+
+
+def leaf_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """Every leaf as (value, names, low, high, share), found by walking down all trees, one level per join."""
+    stored, weights = _stored_nodes(spark, model)
+    weighed = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("treeID") + 1)
+    nodes = written(stored.select(
+        F.col("treeID").alias("tree"), "id", "leftChild", "rightChild", "rawCount", (F.col("prediction") * weighed).alias("value"),
+        F.col("split.featureIndex").alias("f"), F.expr("get(split.leftCategoriesOrThreshold, 0)").alias("edge")), "shap-nodes")
+    sides = F.explode(F.array(
+        F.struct(F.col("leftChild").alias("id"), F.lit(True).alias("is_left")),
+        F.struct(F.col("rightChild").alias("id"), F.lit(False).alias("is_left"))))
+    inner = nodes.where("leftChild >= 0").select("tree", F.col("id").alias("parent"), F.col("rawCount").alias("above"), "f", "edge", sides.alias("side"))
+    edges = inner.select("tree", "parent", "above", "f", "edge", "side.*").join(nodes.select("tree", "id", "leftChild", "rawCount", "value"), ["tree", "id"])
+    edges = written(edges.select(
+        "tree", "parent", "id", "leftChild", "value", "f", (F.col("rawCount") / F.col("above")).alias("cover"),
+        F.when(F.col("is_left"), F.lit(float("-inf"))).otherwise(F.col("edge")).alias("lo"),
+        F.when(F.col("is_left"), F.col("edge")).otherwise(F.lit(float("inf"))).alias("hi")), "shap-edges")
+    box = "map<int,struct<low:double,high:double,share:double>>"
+    level = nodes.where("id = 0").select("tree", "id", "leftChild", "value", F.expr(f"cast(map() AS {box})").alias("box"))
+    leaves = level.where("leftChild < 0").select("value", "box")
+    narrowed = F.expr("""map_concat(map_filter(box, (k, v) -> k <> f), map(f, named_struct(
+        'low', greatest(lo, coalesce(box[f].low, lo)), 'high', least(hi, coalesce(box[f].high, hi)),
+        'share', cover * coalesce(box[f].share, 1D))))""")
+    for _ in range(model.stages[-1].getMaxDepth()):
+        above = level.where("leftChild >= 0").select("tree", F.col("id").alias("parent"), "box")
+        level = written(above.join(edges, ["tree", "parent"]).select("tree", "id", "leftChild", "value", narrowed.alias("box")), "shap-level")
+        if level.isEmpty():
+            break
+        leaves = leaves.unionAll(level.where("leftChild < 0").select("value", "box"))
+    entries = F.array_sort(F.map_entries("box"))
+    return leaves.select("value", entries.alias("e")).selectExpr(
+        "value", "e.key AS names", "e.value.low AS low", "e.value.high AS high", "e.value.share AS share")
+
+
+def leaf_boxes(spark: SparkSession, model: PipelineModel) -> list[tuple]:
+    """Every leaf of a small model as (value, features, low edges, high edges, cover shares), here in the driver."""
+    stored, weights = _stored_nodes(spark, model)
+    nodes = stored.collect()
     trees: dict[int, dict] = {}
     for n in nodes:
         trees.setdefault(n.treeID, {})[n.id] = n
@@ -147,17 +183,32 @@ def shapley_values(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
 
 
 def shap_values(rows: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
-    """``phi`` (one value per feature) next to the key of each row."""
-    leaves = leaf_boxes(rows.sparkSession, model)
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)
+    """``phi`` (one value per feature) next to the key of each row.
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            phi = shapley_values(batch[features].to_numpy(dtype=float), shared.value)
-            yield pd.DataFrame({STATION: batch[STATION], TIME: batch[TIME], "phi": list(phi)})
-
-    return rows.select(STATION, TIME, *features).mapInPandas(
-        explain, f"{STATION} bigint, {TIME} timestamp, phi array<double>")
+    A task explains one block of rows by one block of leaves; the parts are added up per row and feature.
+    """
+    spark = rows.sparkSession
+    kept = written(rows.select(
+        F.monotonically_increasing_id().alias("_r"), STATION, TIME, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")), "shap-rows")
+    leaves = written(leaf_table(spark, model).withColumn("_l", F.monotonically_increasing_id()), "shap-leaves")
+    n, m = max(1, math.ceil(kept.count() / SHAP_ROWS)), max(1, math.ceil(leaves.count() / SHAP_LEAVES))
+
+    def every(blocks: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = kept.select("_r", "_x", F.pmod(F.xxhash64("_r"), F.lit(n)).cast("int").alias("_rb"), every(m).alias("_lb"))
+    right = leaves.select("value", "names", "low", "high", "share", F.pmod(F.xxhash64("_l"), F.lit(m)).cast("int").alias("_lb"), every(n).alias("_rb"))
+
+    def explain(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        if block.empty:
+            return pd.DataFrame({"_r": [], "part": []})
+        parts = [boxes[c] for c in ("value", "names", "low", "high", "share")]
+        phi = shapley_values(np.stack(block["_x"].to_list()).astype(float), list(zip(*parts)))
+        return pd.DataFrame({"_r": block["_r"], "part": list(phi)})
+
+    found = left.groupBy("_rb", "_lb").cogroup(right.groupBy("_rb", "_lb")).applyInPandas(explain, "_r long, part array<double>")
+    each = found.groupBy("_r").agg(F.array(*[F.sum(F.get("part", F.lit(j))) for j in range(len(features))]).alias("phi"))
+    return kept.join(each, "_r").select(STATION, TIME, "phi")
 
 
 def shap_importance(rows: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:

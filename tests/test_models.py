@@ -131,6 +131,30 @@ def test_shap_importance_matches_the_driver_side_values(spark, rows, models):
         assert v == pytest.approx(want[f])
 
 
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_leaves_and_values_stay_out_of_the_driver(spark, rows, monkeypatch, kind):
+    estimator = E.extra_trees(T24, 3, 6) if kind == "forest" else E.gradient_boosting(T24, 5, 3)
+    model = E.pipeline(estimator, FEATURES).fit(rows)
+    boxes = I.leaf_boxes(spark, model)
+
+    def listed(leaves):
+        return sorted((float(v), *(tuple(float(x) for x in part) for part in rest)) for v, *rest in leaves)
+
+    assert listed(tuple(r) for r in I.leaf_table(spark, model).collect()) == listed(boxes)
+    want = I.shapley_values(rows.select(*FEATURES).toPandas().to_numpy(), boxes)
+
+    def refuse(*a):
+        raise AssertionError("leaves in the driver")
+
+    monkeypatch.setattr(I, "leaf_boxes", refuse)
+    monkeypatch.setattr(I, "SHAP_ROWS", 70)
+    monkeypatch.setattr(I, "SHAP_LEAVES", 11)
+    keyed = {(r[STATION], r[TIME]): r.phi for r in I.shap_values(rows, model, FEATURES).collect()}
+    places = [(r[STATION], r[TIME]) for r in rows.select(STATION, TIME).collect()]
+    assert len(keyed) == len(places)
+    np.testing.assert_allclose([keyed[p] for p in places], want, rtol=1e-9, atol=1e-9)
+
+
 def test_permutation_finds_the_used_inputs(rows, monkeypatch):
     monkeypatch.setattr(I, "ROWS_PER_BLOCK", 60)
     model = E.pipeline(E.random_forest(T24, 10, 6), FEATURES).fit(rows)

@@ -238,15 +238,15 @@ def score_texts(docs: DataFrame, held, doc_id: str = "doc_id", text: str = "text
 
     # what a block needs, in few columns: a text's words, a word's place and count in one number, a pair's cost
     nothing = F.lit(None)
-    asked = coded.drop("c").join(costs.select("key", F.col("lp").cast("float").alias("lp")), "key").select(
+    asked = coded.drop("c").join(costs, "key").select(
         "block", F.lit(PAIR).alias("kind"), nothing.cast(kind).alias("d"), F.col("key").alias("number"), F.col("lp").alias("value"),
         nothing.cast("binary").alias("data"))
     priced = used.drop("c").join(words, "word").select(
         "block", F.lit(WORD).alias("kind"), nothing.cast(kind).alias("d"),
-        (F.shiftleft(F.col("idx").cast("long"), COUNT_BITS) + F.col("c")).alias("number"), nothing.cast("float").alias("value"),
+        (F.shiftleft(F.col("idx").cast("long"), COUNT_BITS) + F.col("c")).alias("number"), nothing.cast("double").alias("value"),
         F.col("word").cast("binary").alias("data"))
     plain = texts.select(
-        "block", F.lit(TEXT).alias("kind"), "d", F.col("held").cast("long").alias("number"), nothing.cast("float").alias("value"),
+        "block", F.lit(TEXT).alias("kind"), "d", F.col("held").cast("long").alias("number"), nothing.cast("double").alias("value"),
         F.col("tokens").alias("data"))
     parts = plain.unionAll(priced).unionAll(asked)
     result = f"d {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

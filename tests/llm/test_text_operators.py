@@ -149,6 +149,13 @@ def test_language_model(spark, texts):
         assert got[i].score == pytest.approx(model.score(x), rel=1e-9)
 
 
+def test_scores_of_short_texts_have_double_precision(spark):
+    rows = [(1, "ab ab ac"), (2, ""), (3, "abd")]
+    got = {r.doc_id: r.score for r in ppm.score_texts(frame(spark, rows), F.col("doc_id") > 1).collect()}
+    model = brute.Ppm(["ab ab ac"], ppm.ORDER)
+    assert got == {i: pytest.approx(model.score(x), rel=1e-13) for i, x in rows}
+
+
 def test_language_model_without_training_texts(spark):
     row = ppm.score_texts(frame(spark, [(1, "ab")]), F.lit(True)).first()
     assert row.score == pytest.approx(-4 * np.log10(256)) and row.train_tokens == 0 and row.base_score == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import alignment, lines, minhash, mixing, passages, ppm, quality, sentence_pieces, shards, topk, toxicity
+from airloom.llm import alignment, lines, minhash, mixing, order_minhash, passages, ppm, quality, sentence_pieces, shards, topk, toxicity
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": lines.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_order_minhash": order_minhash.op11,
     "op13_tokenizer_alignment": alignment.op13,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airloom.llm import alignment, lines, minhash, mixing, order_minhash, passages, ppm, quality, sentence_pieces, shards, topk, toxicity
+from airloom.llm import alignment, lines, minhash, mixing, order_minhash, passages, ppm, prefix_trie, quality, sentence_pieces, shards, topk, toxicity
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -23,10 +23,12 @@ QUERIES = {
     "op9_line_dedup": lines.op9,
     "op10_toxicity": toxicity.op10,
     "op11_order_minhash": order_minhash.op11,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_tokenizer_alignment": alignment.op13,
 }
 
 ORACLES = {
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op6_substring_dedup": passages.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op2_exact_topk": topk.OP2_SQL,

@@ -19,12 +19,12 @@ inside a text are plain text.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,7 +36,7 @@ from airloom.session import written
 
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 LONG_BLANK = 10_000
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,76 +73,82 @@ _BLOCK_SCHEMA = pa.schema([
 
 
 class Encoders:
-    """Both tokenizers in one task, from the small files the driver read."""
+    """Both tokenizers in one task, from the small files the driver read, and what every id spells."""
 
-    def __init__(self, vocabulary: dict[bytes, int], model: bytes, vocabulary_text: str):
+    def __init__(self, vocabulary_text: str, model: bytes):
         import sentencepiece
         import tiktoken
 
+        vocabulary = byte_vocabulary(vocabulary_text)
         self.vocabulary_text, self.patient = vocabulary_text, None
         self.bytes_bpe = tiktoken.Encoding("bytes", pat_str=CUTS, mergeable_ranks=vocabulary, special_tokens={})
         self.piece_bpe = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.spelled_a = {i: b for b, i in vocabulary.items()}
-        self.spelled_b = {}
+        self.spelled = []
         for i in range(self.piece_bpe.get_piece_size()):
             piece = self.piece_bpe.id_to_piece(i)
-            self.spelled_b[i] = bytes([int(piece[3:5], 16)]) if self.piece_bpe.is_byte(i) else piece.replace("▁", " ").encode()
-
-    def encode_bytes(self, whole: str) -> list[int]:
+            self.spelled.append(bytes([int(piece[3:5], 16)]) if self.piece_bpe.is_byte(i) else piece.replace("▁", " ").encode())
+        ids = range(1 + max(vocabulary.values()))
+        self.size_a, self.size_b = np.zeros(len(ids), np.int64), np.array([len(x) for x in self.spelled])
+        for token, i in vocabulary.items():
+            self.size_a[i] = len(token)
+        # how an id is written inside and at the end of its side of a group, A's ids and then B's
+        self.written = [f"{i}{mark}" for side, marks in ((ids, ",|"), (range(len(self.spelled)), ",;")) for mark in marks for i in side]
+
+    def encode_bytes(self, whole: str) -> np.ndarray:
         """A's ids. The fast library cannot take very long runs of blanks; the other one, which can, gives the same ids."""
         if len(whole) <= LONG_BLANK or not re.search(rf"\s{{{LONG_BLANK}}}", whole):
-            return self.bytes_bpe.encode_ordinary(whole)
+            return self.bytes_bpe.encode_to_numpy(whole).astype(np.int64)
         if self.patient is None:
             from tokenizers import Tokenizer
 
             self.patient = Tokenizer.from_str(self.vocabulary_text)
             self.patient.encode_special_tokens = True
-        return self.patient.encode(whole, add_special_tokens=False).ids
+        return np.array(self.patient.encode(whole, add_special_tokens=False).ids, np.int64)
 
-    def encode(self, text: str) -> tuple[list[int], list[int], list[bytes], list[bytes]] | None:
-        """Ids and bytes of both sides, or nothing where a side does not spell the text."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides, or nothing where a side does not spell the text. A merges the text's own bytes, so length tells."""
         whole = " " + text
-        a, b = self.encode_bytes(whole), self.piece_bpe.encode(text, num_threads=1)
-        bytes_a, bytes_b = list(map(self.spelled_a.__getitem__, a)), list(map(self.spelled_b.__getitem__, b))
-        wanted = whole.encode()
-        if b"".join(bytes_a) != wanted or b"".join(bytes_b) != wanted:
+        wanted, b = whole.encode(), self.piece_bpe.encode(text, num_threads=1)
+        if b"".join(map(self.spelled.__getitem__, b)) != wanted:
             return None
-        return a, b, bytes_a, bytes_b
-
-
-def end_places(spelled: list[bytes]) -> dict[int, int]:
+        a = self.encode_bytes(whole)
+        return (a, np.array(b, np.int64)) if int(self.size_a[a].sum()) == len(wanted) else None
+
+    def group_text(self, a: np.ndarray, b: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the groups one after another, A's ids before B's."""
+        before = [np.concatenate([[0], c[:-1]]) for c in cuts]
+        group = [np.repeat(np.arange(len(c)), c - f) for c, f in zip(cuts, before)]
+        codes = np.empty(len(a) + len(b), np.int64)
+        last = [np.zeros(len(x), np.int64) for x in (a, b)]
+        for c, mark in zip(cuts, last):
+            mark[c - 1] = 1
+        codes[np.arange(len(a)) + before[1][group[0]]] = a + last[0] * len(self.size_a)
+        codes[np.arange(len(b)) + cuts[0][group[1]]] = b + last[1] * len(self.size_b) + 2 * len(self.size_a)
+        return "".join(map(self.written.__getitem__, codes.tolist()))[:-1]
+
+
+def end_places(sizes: np.ndarray) -> dict[int, int]:
     """Byte end of every token to its place; ends grow, so no key comes twice."""
-    return dict(zip(itertools.accumulate(map(len, spelled)), range(len(spelled))))
+    return dict(zip(np.cumsum(sizes).tolist(), range(len(sizes))))
 
 
-def slices(ends_a: dict[int, int], ends_b: dict[int, int]) -> list[tuple[int, int]]:
+def slices(ends_a: dict[int, int], ends_b: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Places just behind each group on both sides, from the ends both have."""
     common = sorted(ends_a.keys() & ends_b.keys())
-    return [(ends_a[e] + 1, ends_b[e] + 1) for e in common]
+    return tuple(np.fromiter(map(e.__getitem__, common), np.int64, len(common)) + 1 for e in (ends_a, ends_b))
 
 
-def expand_links(a: list[int], b: list[int], ends_a: dict[int, int], ends_b: dict[int, int], cuts: list[tuple[int, int]]) -> np.ndarray:
-    """Pairs of ids whose bytes overlap, slice by slice, in text order.
+def expand_links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Pairs of ids whose bytes overlap, in text order.
 
-    Between two neighbouring ends of either side lies one stretch covered by one token of each. The next end at or behind
-    the stretch is the token's own, and the slices are complete in themselves, so all can be expanded in one go.
+    Between two neighbouring ends of either side lies one stretch, covered by one token of each. Slices begin and end at
+    ends of both sides, so the stretches of all slices are those of the whole text.
     """
-    if not cuts:
-        return np.zeros(0, np.int64)
-    at_a, at_b = np.fromiter(ends_a, np.int64, len(a)), np.fromiter(ends_b, np.int64, len(b))
-    stretch = np.union1d(at_a, at_b)
-    left, right = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    return left[np.searchsorted(at_a, stretch)] * PAIR + right[np.searchsorted(at_b, stretch)]
-
-
-def group_text(a: list[int], b: list[int], cuts: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups one after another, A's ids before B's."""
-    left, right = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for to_a, to_b in cuts:
-        out.append((left[i] if to_a == i + 1 else ",".join(left[i:to_a])) + "|" + (right[j] if to_b == j + 1 else ",".join(right[j:to_b])))
-        i, j = to_a, to_b
-    return ";".join(out)
+    ends = np.zeros(int(size_a.sum()), bool)
+    ends[np.cumsum(size_a) - 1] = True
+    ends[np.cumsum(size_b) - 1] = True
+    stretch = np.flatnonzero(ends)
+    return np.repeat(a, size_a)[stretch] * PAIR + np.repeat(b, size_b)[stretch]
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -160,7 +166,7 @@ def _blocks(docs: DataFrame, vocabulary: str, model: bytes, digest: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, task, made = None, TaskContext.get().partitionId(), 0
         for piece in pieces(batches, "text", BLOCK_BYTES):
-            encoders = encoders or Encoders(byte_vocabulary(vocabulary), model, vocabulary)
+            encoders = encoders or Encoders(vocabulary, model)
             rows, found = [], []
             for text in piece.column("text"):
                 text = text.as_py()
@@ -168,14 +174,15 @@ def _blocks(docs: DataFrame, vocabulary: str, model: bytes, digest: bool) -> Dat
                 if sides is None:
                     rows.append((0, 0, 0, 0, ""))
                     continue
-                a, b, bytes_a, bytes_b = sides
-                ends_a, ends_b = end_places(bytes_a), end_places(bytes_b)
-                cuts = slices(ends_a, ends_b)
-                links = expand_links(a, b, ends_a, ends_b, cuts)
-                spelled = group_text(a, b, cuts)
+                a, b = sides
+                size_a, size_b = encoders.size_a[a], encoders.size_b[b]
+                cuts = slices(end_places(size_a), end_places(size_b))
+                links = expand_links(a, b, size_a, size_b)
+                spelled = encoders.group_text(a, b, cuts)
                 found.append(links)
-                rows.append((len(a), len(b), len(cuts), len(links), hashlib.sha256(spelled.encode()).hexdigest() if digest else spelled))
-            pairs, place, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+                rows.append((len(a), len(b), len(cuts[0]), len(links), hashlib.sha256(spelled.encode()).hexdigest() if digest else spelled))
+            place, pairs = pd.factorize(np.concatenate(found) if found else np.zeros(0, np.int64))
+            times = np.bincount(place, minlength=len(pairs))
             usual = np.argsort(-times, kind="stable")
             rank = np.empty(len(pairs), np.uint32)
             rank[usual] = np.arange(len(pairs), dtype=np.uint32)

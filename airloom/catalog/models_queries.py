@@ -53,9 +53,9 @@ def ml_leaderboard(spark, sf_dir):
     return T.classical_leaderboard(train, test, T.classical_models())
 
 
-def production(spark, sf_dir):
+def production(spark, sf_dir, **more):
     rows = ml_rows(spark, sf_dir)
-    return rows, T.train_production(rows)
+    return rows, T.train_production(rows, **more)
 
 
 @query("ml_train_production")
@@ -85,7 +85,7 @@ def ml_model_roundtrip(spark, sf_dir):
 
 
 def importance_table(train, test):
-    model = E.pipeline(E.random_forest(T24, *G.IMPORTANCE_SIZE), MODEL_INPUTS).fit(train)
+    model = E.random_forest(T24, *G.IMPORTANCE_SIZE).fit(train, MODEL_INPUTS)
     return I.feature_importance(model, test, MODEL_INPUTS, T24)
 
 
@@ -122,7 +122,7 @@ def forecast_batch(spark, sf_dir):
 
 @query("forecast_single")
 def forecast_single(spark, sf_dir):
-    rows, models = production(spark, sf_dir)
+    rows, models = production(spark, sf_dir, horizons=["48h"])
     return P.predict_single(latest_complete_rows(rows, PRODUCTION_FEATURES), models, PRODUCTION_FEATURES, "48h")
 
 

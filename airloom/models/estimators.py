@@ -1,19 +1,17 @@
-"""Spark ML regressors of the forecasting models.
-
-Where the library has no twin: extremely randomised trees become a forest without bootstrap that
-sees half of the features per split, and the huber loss becomes squared loss.
-"""
+"""The regressors of the forecasting models: ridge from Spark ML, tree ensembles of our own."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom.models.ensembles import TreeSpec
+
 SEED = 42
-MAX_DEPTH = 30  # the deepest tree Spark ML grows; stands for "unlimited"
+MAX_DEPTH = 60  # stands for "unlimited": no tree of the rows a fit may see gets there
 
 
 def assembler(features: list[str], out: str = "inputs") -> VectorAssembler:
@@ -30,25 +28,19 @@ def ridge(df: DataFrame, target: str, alpha: float = 10.0) -> LinearRegression:
     )
 
 
-def random_forest(target: str, trees: int = 300, depth: int = 15, leaf: int = 2, share: str = "all") -> RandomForestRegressor:
-    return RandomForestRegressor(
-        featuresCol="inputs", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-        featureSubsetStrategy=share, seed=SEED, cacheNodeIds=depth > 10,
-    )
+def random_forest(target: str, trees: int = 300, depth: int = 15, leaf: int = 2, split: int = 2, share: float = 1.0) -> TreeSpec:
+    return TreeSpec("forest", target, trees, depth, leaf, split, share, seed=SEED)
 
 
-def extra_trees(target: str, trees: int = 400, depth: int = 20, leaf: int = 4, share: str = "0.5") -> RandomForestRegressor:
-    """The production model."""
-    return random_forest(target, trees, depth, leaf, share).setBootstrap(False)
+def extra_trees(target: str, trees: int = 400, depth: int = 20, leaf: int = 4, split: int = 5, share: float = 0.5) -> TreeSpec:
+    """The production model: extremely randomised trees."""
+    return TreeSpec("extra", target, trees, depth, leaf, split, share, seed=SEED)
 
 
 def gradient_boosting(
-    target: str, trees: int = 300, depth: int = 4, rate: float = 0.03, leaf: int = 3, sample: float = 1.0,
-) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="inputs", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate,
-        minInstancesPerNode=leaf, subsamplingRate=sample, lossType="squared", seed=SEED,
-    )
+    target: str, trees: int = 300, depth: int = 4, rate: float = 0.03, leaf: int = 3, sample: float = 1.0, loss: str = "squared",
+) -> TreeSpec:
+    return TreeSpec("boosting", target, trees, depth, leaf, rate=rate, sample=sample, loss=loss, seed=SEED)
 
 
 def pipeline(estimator, features: list[str]) -> Pipeline:

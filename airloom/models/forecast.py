@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +10,15 @@ from airloom.operators.validate import prepare_input, require_rows
 from airloom.schemas import HORIZONS, STATION, TIME
 
 
-def with_predictions(rows: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Add ``prediction_<horizon>`` of every model."""
+def with_predictions(rows: DataFrame, models: dict) -> DataFrame:
+    """Add ``prediction_<horizon>`` of every model (anything with ``transform``)."""
     out = rows
     for h, m in models.items():
         out = m.transform(out).withColumnRenamed("prediction", f"prediction_{h}").drop("inputs")
     return out
 
 
-def predict(rows: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
+def predict(rows: DataFrame, models: dict, features: list[str]) -> DataFrame:
     """(station, time, horizon, aqi, category) for every row."""
     checked = prepare_input(require_rows(rows, "input data"), features, keep=[STATION, TIME])
     scored = with_predictions(checked, models)
@@ -29,7 +28,7 @@ def predict(rows: DataFrame, models: dict[str, PipelineModel], features: list[st
     return scored.select(STATION, TIME, F.inline(entries)).select(STATION, TIME, "horizon", "v.*")
 
 
-def predict_single(rows: DataFrame, models: dict[str, PipelineModel], features: list[str], horizon: str) -> DataFrame:
+def predict_single(rows: DataFrame, models: dict, features: list[str], horizon: str) -> DataFrame:
     if horizon not in HORIZONS:
         raise ValueError(f"unsupported horizon: {horizon}; expected one of {list(HORIZONS)}")
     return predict(rows, {horizon: models[horizon]}, features)

@@ -3,39 +3,62 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from airloom.models import growth as G
+from airloom.models.ensembles import TreeModel
 from airloom.operators.joins import join_importance
 from airloom.schemas import STATION, TIME
-from airloom.session import shared_path, written
+from airloom.session import written
 
 ROWS_PER_BLOCK = 100_000
+PAIRS_PER_TASK = 50_000
 SHAP_ROWS = 500
-SHAP_LEAVES = 5_000
 
 
-def impurity_importance(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
-    scores = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame(
-        [(f, float(s)) for f, s in zip(features, scores)], "feature string, importance double")
+def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.asarray(batch.column(column).flatten(), float).reshape(batch.num_rows, -1)
+
+
+def swapped_errors(trees: list[G.Tree], base: float, x: np.ndarray, donor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of absolute errors with each input taken from the donor, and with none (last).
+
+    Only the trees that test an input are followed again for it; the others keep what they gave.
+    """
+    plain = np.stack([t.value[G.walk(t, x)] for t in trees])
+    whole, out = base + plain.sum(axis=0), np.zeros(x.shape[1] + 1)
+    users: list[list[int]] = [[] for _ in range(x.shape[1])]
+    for i, t in enumerate(trees):
+        for j in np.unique(t.feature[t.feature >= 0]):
+            users[j].append(i)
+    for j, using in enumerate(users):
+        own, changed = x[:, j].copy(), whole.copy()
+        x[:, j] = donor[:, j]
+        for i in using:
+            changed += trees[i].value[G.walk(trees[i], x)] - plain[i]
+        x[:, j] = own
+        out[j] = np.abs(y - changed).sum()
+    out[-1] = np.abs(y - whole).sum()
+    return out
 
 
 def permutation_importance(
-    model: PipelineModel, test: DataFrame, features: list[str], target: str, repeats: int = 5, seed: int = 42,
+    model: TreeModel, test: DataFrame, features: list[str], target: str, repeats: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Mean rise of the absolute error when one input is shuffled, over ``repeats`` shuffles.
 
     A row's place in one hash order takes its donor from the same place in another, so a shuffle
     of the whole table is an equality join. Places are counted over ranges of the hash, which
-    bounds every window and leaves the order as it is, whatever the number of ranges.
+    bounds every window and leaves the order as it is, whatever the number of ranges. A pair of row and
+    donor is scored for all inputs where it is; no row is copied per input.
     """
-    blocks = max(1, math.ceil(test.count() / ROWS_PER_BLOCK))
+    total = test.count()
+    blocks = max(1, math.ceil(total / ROWS_PER_BLOCK))
 
     def order(salt: int):
         return F.shiftrightunsigned(F.xxhash64(F.col(STATION), F.col(TIME), F.lit(salt)), 1)
@@ -58,160 +81,64 @@ def permutation_importance(
     for r in range(1, repeats + 1):
         one = placed(seed + r).select("_place", F.col("_x").alias("_donor"))
         donors = one if donors is None else donors.unionAll(one)
-    pairs = rows.join(donors, "_place")
-    swapped = pairs.select(
-        "_y", "_x", "_donor", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("_j"),
-    ).select(
-        "_y", "_j",
-        array_to_vector(F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_donor", i)).otherwise(v))).alias("inputs"),
-    )
-    regressor = model.stages[-1]
-    plain = regressor.transform(rows.select("_y", array_to_vector("_x").alias("inputs")))
-    base = plain.agg(F.avg(F.abs(F.col("_y") - F.col("prediction")))).first()[0]
-    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_j") + 1)
-    return regressor.transform(swapped).groupBy("_j").agg(
-        F.avg(F.abs(F.col("_y") - F.col("prediction"))).alias("_mae")
-    ).select(names.alias("feature"), (F.col("_mae") - F.lit(base)).alias("permutation_importance"))
+    tasks = max(test.sparkSession.sparkContext.defaultParallelism, math.ceil(total * repeats / PAIRS_PER_TASK))
+    pairs = rows.join(donors, "_place").select("_y", "_x", "_donor").repartition(tasks)
+    held = test.sparkSession.sparkContext.broadcast(model.tree_parts())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, trees = held.value[0][0], [t for _, some in held.value for t in some]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                sums = swapped_errors(trees, base, matrix(b, "_x").copy(), matrix(b, "_donor"), np.asarray(b.column("_y")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(sums)), pa.int32()), pa.array(sums), pa.array([b.num_rows] * len(sums), pa.int64())], names=["_j", "e", "n"])
+
+    errors = pairs.mapInArrow(score, "_j int, e double, n long").groupBy("_j").agg((F.sum("e") / F.sum("n")).alias("_mae"))
+    names = F.get(F.array(*[F.lit(f) for f in features], F.lit(None)), F.col("_j"))
+    found = errors.select(names.alias("feature"), "_mae", F.max(F.when(F.col("_j") == len(features), F.col("_mae"))).over(
+        Window.partitionBy()).alias("_base"))  # one row per input
+    return found.where("feature IS NOT NULL").select("feature", (F.col("_mae") - F.col("_base")).alias("permutation_importance"))
 
 
 def feature_importance(
-    model: PipelineModel, test: DataFrame, features: list[str], target: str, repeats: int = 5,
+    model: TreeModel, test: DataFrame, features: list[str], target: str, repeats: int = 5,
 ) -> DataFrame:
-    impurity = impurity_importance(model, features, test.sparkSession)
     permuted = permutation_importance(model, test, features, target, repeats)
-    return join_importance(impurity, permuted).orderBy(F.desc("permutation_importance"), "feature")
-
-
-# -- Shapley values of tree ensembles ----------------------------------------------------------
-
-def _stored_nodes(spark: SparkSession, model: PipelineModel) -> tuple[DataFrame, list[float]]:
-    """Nodes of all trees as a table, from the stored form of the model, and what each tree counts."""
-    path = shared_path(spark, "forest")
-    regressor = model.stages[-1]
-    regressor.write().overwrite().save(path)
-    weights = [float(w) for w in regressor.treeWeights]
-    if type(regressor).__name__.startswith("RandomForest"):
-        weights = [1.0 / len(weights)] * len(weights)
-    return spark.read.parquet(f"{path}/data").selectExpr("treeID", "nodeData.*"), weights
-
-
-def leaf_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Every leaf as (value, names, low, high, share), found by walking down all trees, one level per join."""
-    stored, weights = _stored_nodes(spark, model)
-    weighed = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("treeID") + 1)
-    nodes = written(stored.select(
-        F.col("treeID").alias("tree"), "id", "leftChild", "rightChild", "rawCount", (F.col("prediction") * weighed).alias("value"),
-        F.col("split.featureIndex").alias("f"), F.expr("get(split.leftCategoriesOrThreshold, 0)").alias("edge")), "shap-nodes")
-    sides = F.explode(F.array(
-        F.struct(F.col("leftChild").alias("id"), F.lit(True).alias("is_left")),
-        F.struct(F.col("rightChild").alias("id"), F.lit(False).alias("is_left"))))
-    inner = nodes.where("leftChild >= 0").select("tree", F.col("id").alias("parent"), F.col("rawCount").alias("above"), "f", "edge", sides.alias("side"))
-    edges = inner.select("tree", "parent", "above", "f", "edge", "side.*").join(nodes.select("tree", "id", "leftChild", "rawCount", "value"), ["tree", "id"])
-    edges = written(edges.select(
-        "tree", "parent", "id", "leftChild", "value", "f", (F.col("rawCount") / F.col("above")).alias("cover"),
-        F.when(F.col("is_left"), F.lit(float("-inf"))).otherwise(F.col("edge")).alias("lo"),
-        F.when(F.col("is_left"), F.col("edge")).otherwise(F.lit(float("inf"))).alias("hi")), "shap-edges")
-    box = "map<int,struct<low:double,high:double,share:double>>"
-    level = nodes.where("id = 0").select("tree", "id", "leftChild", "value", F.expr(f"cast(map() AS {box})").alias("box"))
-    leaves = level.where("leftChild < 0").select("value", "box")
-    narrowed = F.expr("""map_concat(map_filter(box, (k, v) -> k <> f), map(f, named_struct(
-        'low', greatest(lo, coalesce(box[f].low, lo)), 'high', least(hi, coalesce(box[f].high, hi)),
-        'share', cover * coalesce(box[f].share, 1D))))""")
-    for _ in range(model.stages[-1].getMaxDepth()):
-        above = level.where("leftChild >= 0").select("tree", F.col("id").alias("parent"), "box")
-        level = written(above.join(edges, ["tree", "parent"]).select("tree", "id", "leftChild", "value", narrowed.alias("box")), "shap-level")
-        if level.isEmpty():
-            break
-        leaves = leaves.unionAll(level.where("leftChild < 0").select("value", "box"))
-    entries = F.array_sort(F.map_entries("box"))
-    return leaves.select("value", entries.alias("e")).selectExpr(
-        "value", "e.key AS names", "e.value.low AS low", "e.value.high AS high", "e.value.share AS share")
-
-
-def leaf_boxes(spark: SparkSession, model: PipelineModel) -> list[tuple]:
-    """Every leaf of a small model as (value, features, low edges, high edges, cover shares), here in the driver."""
-    stored, weights = _stored_nodes(spark, model)
-    nodes = stored.collect()
-    trees: dict[int, dict] = {}
-    for n in nodes:
-        trees.setdefault(n.treeID, {})[n.id] = n
-    leaves = []
-    for tree_id, tree in trees.items():
-        stack = [(0, {})]
-        while stack:
-            node_id, box = stack.pop()
-            n = tree[node_id]
-            if n.leftChild < 0:
-                names = sorted(box)
-                leaves.append((
-                    n.prediction * weights[tree_id], np.array(names, dtype=int),
-                    np.array([box[f][0] for f in names]), np.array([box[f][1] for f in names]),
-                    np.array([box[f][2] for f in names]),
-                ))
-                continue
-            f, edge = n.split.featureIndex, n.split.leftCategoriesOrThreshold[0]
-            low, high, share = box.get(f, (-np.inf, np.inf, 1.0))
-            for child, side in ((n.leftChild, (low, min(high, edge))), (n.rightChild, (max(low, edge), high))):
-                cover = tree[child].rawCount / n.rawCount
-                stack.append((child, {**box, f: (*side, share * cover)}))
-    return leaves
-
-
-def expected_value(leaves: list[tuple]) -> float:
-    return float(sum(v * share.prod() for v, _, _, _, share in leaves))
-
-
-def shapley_values(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
-    """Path-dependent Shapley values of each row.
-
-    A leaf pays out the product, over its features, of "x is inside" (1 or 0) for known features
-    and the cover share for unknown ones. Averaging a known/unknown product over all orders equals
-    integrating it over the chance t of being known, a polynomial Gauss-Legendre sums exactly.
-    """
-    phi = np.zeros(x.shape)
-    for value, names, low, high, share in leaves:
-        d = len(names)
-        if d == 0:
-            continue
-        inside = ((x[:, names] > low) & (x[:, names] <= high)).astype(float)
-        points, weights = np.polynomial.legendre.leggauss(d // 2 + 1)
-        t, w = (points + 1.0) / 2.0, weights / 2.0
-        known = inside[:, :, None] * t + share[None, :, None] * (1.0 - t)
-        others = known.prod(axis=1, keepdims=True) / known
-        phi[:, names] += value * (inside - share) * (others @ w)
-    return phi
-
-
-def shap_values(rows: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
-    """``phi`` (one value per feature) next to the key of each row.
-
-    A task explains one block of rows by one block of leaves; the parts are added up per row and feature.
+    return join_importance(model.importances(), permuted).orderBy(F.desc("permutation_importance"), "feature")
+
+
+def shap_values(rows: DataFrame, model: TreeModel, features: list[str]) -> DataFrame:
+    """``phi`` (one Shapley value per feature) next to the key of each row.
+
+    A task explains a block of rows by a share of the trees. There are as many shares as keep all cores busy: with enough blocks
+    of rows one share holds all trees and no row is copied. The model is bounded and goes along with the tasks.
     """
     spark = rows.sparkSession
     kept = written(rows.select(
         F.monotonically_increasing_id().alias("_r"), STATION, TIME, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")), "shap-rows")
-    leaves = written(leaf_table(spark, model).withColumn("_l", F.monotonically_increasing_id()), "shap-leaves")
-    n, m = max(1, math.ceil(kept.count() / SHAP_ROWS)), max(1, math.ceil(leaves.count() / SHAP_LEAVES))
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = kept.select("_r", "_x", F.pmod(F.xxhash64("_r"), F.lit(n)).cast("int").alias("_rb"), every(m).alias("_lb"))
-    right = leaves.select("value", "names", "low", "high", "share", F.pmod(F.xxhash64("_l"), F.lit(m)).cast("int").alias("_lb"), every(n).alias("_rb"))
-
-    def explain(block: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-        if block.empty:
-            return pd.DataFrame({"_r": [], "part": []})
-        parts = [boxes[c] for c in ("value", "names", "low", "high", "share")]
-        phi = shapley_values(np.stack(block["_x"].to_list()).astype(float), list(zip(*parts)))
-        return pd.DataFrame({"_r": block["_r"], "part": list(phi)})
-
-    found = left.groupBy("_rb", "_lb").cogroup(right.groupBy("_rb", "_lb")).applyInPandas(explain, "_r long, part array<double>")
+    n = max(1, math.ceil(kept.count() / SHAP_ROWS))
+    parts = model.tree_parts()
+    trees = sum(len(some) for _, some in parts)
+    shares = max(1, min(trees, math.ceil(2 * spark.sparkContext.defaultParallelism / n)))
+    held = spark.sparkContext.broadcast([t for _, some in parts for t in some])
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, x = np.asarray(batch.column("_s")), matrix(batch, "_x")
+            for s in np.unique(of):
+                for at in range(0, int((of == s).sum()), SHAP_ROWS):
+                    some = np.flatnonzero(of == s)[at : at + SHAP_ROWS]
+                    phi = sum(G.explain(t, x[some]) for t in held.value[s::shares])
+                    yield pa.RecordBatch.from_arrays([batch.column("_r").take(pa.array(some)), pa.array(list(phi))], names=["_r", "part"])
+
+    dealt = kept.select("_r", "_x", F.pmod(F.xxhash64("_r"), F.lit(n)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_s"))
+    found = dealt.repartitionByRange(n * shares, "_b", "_s").mapInArrow(explain, "_r long, part array<double>")
     each = found.groupBy("_r").agg(F.array(*[F.sum(F.get("part", F.lit(j))) for j in range(len(features))]).alias("phi"))
     return kept.join(each, "_r").select(STATION, TIME, "phi")
 
 
-def shap_importance(rows: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
+def shap_importance(rows: DataFrame, models: dict[str, TreeModel], features: list[str]) -> DataFrame:
     """Mean absolute Shapley value per horizon and feature, largest first."""
     names = F.array(*[F.lit(f) for f in features])
     out = None

@@ -1,6 +1,7 @@
 """Fitting, evaluating and storing the forecasting models.
 
-Fits are independent Spark jobs over one written training table; a few run at a time.
+All tree models asked for at once are one Spark job (``ensembles``); the search keeps no tree of its folds. Ridge fits run
+next to each other.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airloom.models import estimators as E
-from airloom.operators.metrics import overall_metrics
+from airloom.models.ensembles import Case, TreeModel, TreeSpec, fit_all, predictions
+from airloom.models.forecast import with_predictions
+from airloom.operators.metrics import overall_metrics, regression_metrics
 from airloom.schemas import HORIZONS, MODEL_INPUTS, PRODUCTION_FEATURES, TARGETS
 
 PARALLEL_FITS = 4
@@ -24,7 +26,7 @@ FEATURE_COUNTS = [15, 25, 40, len(MODEL_INPUTS)]
 
 # The search spaces, by our parameter names.
 FOREST_SPACE = {
-    "trees": [200, 400, 600], "depth": [8, 12, 16, 20, E.MAX_DEPTH], "leaf": [1, 2, 4], "share": ["0.5", "0.7", "1.0"],
+    "trees": [200, 400, 600], "depth": [8, 12, 16, 20, E.MAX_DEPTH], "split": [2, 5, 10], "leaf": [1, 2, 4], "share": [0.5, 0.7, 1.0],
 }
 BOOSTING_SPACE = {
     "trees": [100, 200, 300, 500], "rate": [0.01, 0.03, 0.05, 0.1], "depth": [2, 3, 4, 5],
@@ -44,22 +46,35 @@ def in_parallel(spark: SparkSession, tasks: list[Callable], width: int = PARALLE
         return [w.get() for w in waiting]
 
 
-def evaluate(model: PipelineModel, rows: DataFrame, target: str) -> dict[str, float]:
+def evaluate(model, rows: DataFrame, target: str) -> dict[str, float]:
     return overall_metrics(model.transform(rows), target, "prediction")
 
 
-def evaluate_models(models: dict[str, PipelineModel], rows: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """Metrics per horizon; a model whose horizon has no target is an error."""
+def evaluate_models(models: dict, rows: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
+    """Metrics per horizon in one pass; a model whose horizon has no target is an error, and so are no rows."""
     unknown = [h for h in models if h not in targets]
     if unknown:
         raise ValueError(f"no target supplied for horizon: {', '.join(unknown)}")
-    scores = [(h, *evaluate(m, rows, targets[h]).values()) for h, m in models.items()]
-    return rows.sparkSession.createDataFrame(scores, "horizon string, mae double, rmse double, r2 double")
+    entries = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(targets[h]).cast("double").alias("actual"),
+                                 F.col(f"prediction_{h}").alias("prediction")) for h in models])
+    found = regression_metrics(with_predictions(rows, models).select(F.inline(entries)), ["horizon"]).collect()  # one row per horizon
+    if not found:
+        raise ValueError("cannot calculate metrics from empty data")
+    return rows.sparkSession.createDataFrame([tuple(r) for r in found], "horizon string, mae double, rmse double, r2 double")
 
 
-def _fit_and_score(make, features, train, test, target):
-    model = E.pipeline(make(train, target), features).fit(train)
-    return evaluate(model, test, target)
+def fit_and_score(makes: list[tuple[Callable, list[str], str]], train: DataFrame, test: DataFrame) -> list[dict[str, float]]:
+    """Test metrics of (make, features, target): tree models fitted in one job, the others side by side."""
+    made = [(make(train, target), features, target) for make, features, target in makes]
+    trees = [i for i, (e, _, _) in enumerate(made) if isinstance(e, TreeSpec)]
+    models: dict = dict(zip(trees, fit_all(train, [Case(made[i][0], made[i][1]) for i in trees]) if trees else []))
+
+    def one(i: int) -> dict[str, float]:
+        estimator, features, target = made[i]
+        model = models[i] if i in models else E.pipeline(estimator, features).fit(train)
+        return evaluate(model, test, target)
+
+    return in_parallel(train.sparkSession, [lambda i=i: one(i) for i in range(len(made))])
 
 
 def _score_table(spark: SparkSession, rows: list[tuple], key: str) -> DataFrame:
@@ -70,7 +85,7 @@ def classical_models(trees: int = 300, depth: int = 15, rounds: int = 300) -> di
     return {
         "Ridge": lambda df, t: E.ridge(df, t),
         "Random Forest": lambda df, t: E.random_forest(t, trees, depth),
-        "Gradient Boosting": lambda df, t: E.gradient_boosting(t, rounds),
+        "Gradient Boosting": lambda df, t: E.gradient_boosting(t, rounds, loss="huber"),
     }
 
 
@@ -79,9 +94,7 @@ def classical_leaderboard(
 ) -> DataFrame:
     """Every model on every target, best first within a target."""
     cases = [(t, n) for t in TARGETS.values() for n in models]
-    scores = in_parallel(train.sparkSession, [
-        lambda t=t, n=n: _fit_and_score(models[n], features, train, test, t) for t, n in cases
-    ])
+    scores = fit_and_score([(models[n], features, t) for t, n in cases], train, test)
     rows = [(t, n, *s.values()) for (t, n), s in zip(cases, scores)]
     return _score_table(train.sparkSession, rows, "target string, model string")
 
@@ -97,9 +110,7 @@ def feature_count_experiment(
     }
     chosen = {n: MODEL_INPUTS if n >= len(MODEL_INPUTS) else [f for f in ranked[:n] if f in MODEL_INPUTS] for n in counts}
     cases = [(n, m, t) for n in counts for t in TARGETS.values() for m in models]
-    scores = in_parallel(train.sparkSession, [
-        lambda n=n, m=m, t=t: _fit_and_score(models[m], chosen[n], train, test, t) for n, m, t in cases
-    ])
+    scores = fit_and_score([(models[m], chosen[n], t) for n, m, t in cases], train, test)
     rows = [(len(chosen[n]), m, t, *s.values()) for (n, m, t), s in zip(cases, scores)]
     return _score_table(train.sparkSession, rows, "feature_count int, model string, target string")
 
@@ -118,42 +129,39 @@ def tune(
 ) -> DataFrame:
     """Random search by mean absolute error over expanding folds, then test metrics of the best.
 
-    ``train`` carries ``test_fold``; fold f fits on the rows with a smaller number.
+    ``train`` carries ``test_fold``; fold f fits on the rows with a smaller number. All fits of all folds are one job, those of the
+    best parameters another.
     """
-    rows = []
-    for target in targets or list(TARGETS.values()):
-        for name, (make, space) in searched.items():
-            options = draw(space, draws)
-            cases = [(o, f) for o in range(len(options)) for f in range(1, folds + 1)]
-
-            def score(o, f, target=target, make=make, options=options):
-                fitted = E.pipeline(make(target, **options[o]), features).fit(train.filter(F.col("test_fold") < f))
-                return evaluate(fitted, train.filter(F.col("test_fold") == f), target)["mae"]
-
-            errors = in_parallel(train.sparkSession, [lambda o=o, f=f: score(o, f) for o, f in cases])
-            mean = [sum(errors[o * folds:(o + 1) * folds]) / folds for o in range(len(options))]
-            best = min(range(len(options)), key=mean.__getitem__)
-            fitted = E.pipeline(make(target, **options[best]), features).fit(train)
-            rows.append((target, name, str(options[best]), mean[best], *evaluate(fitted, test, target).values()))
+    tried = [(target, name, make, o) for target in targets or list(TARGETS.values()) for name, (make, space) in searched.items() for o in draw(space, draws)]
+    cases = [Case(make(target, **o), features, f) for target, _, make, o in tried for f in range(1, folds + 1)]
+    error = F.avg(F.abs(F.col("actual") - F.col("prediction")))
+    found = dict(predictions(train, cases, "test_fold").groupBy("case").agg(error).collect())  # one row per fit
+    mean = [sum(found[i * folds + f] for f in range(folds)) / folds for i in range(len(tried))]
+    best: dict = {}
+    for i, (target, name, _, _) in enumerate(tried):
+        if (target, name) not in best or mean[i] < mean[best[target, name]]:
+            best[target, name] = i
+    chosen = list(best.values())
+    models = fit_all(train, [Case(tried[i][2](tried[i][0], **tried[i][3]), features) for i in chosen])
+    scores = in_parallel(train.sparkSession, [lambda m=m, i=i: evaluate(m, test, tried[i][0]) for m, i in zip(models, chosen)])
+    rows = [(tried[i][0], tried[i][1], str(tried[i][3]), mean[i], *s.values()) for i, s in zip(chosen, scores)]
     return _score_table(
         train.sparkSession, rows, "target string, model string, best_parameters string, cv_mae double")
 
 
 def train_production(
-    rows: DataFrame, features: list[str] = PRODUCTION_FEATURES, trees: int = 400, depth: int = 20,
-) -> dict[str, PipelineModel]:
-    """One model per horizon, fitted on all rows."""
-    tasks = [
-        lambda t=t: E.pipeline(E.extra_trees(t, trees, depth), features).fit(rows) for t in TARGETS.values()
-    ]
-    return dict(zip(TARGETS, in_parallel(rows.sparkSession, tasks)))
+    rows: DataFrame, features: list[str] = PRODUCTION_FEATURES, trees: int = 400, depth: int = 20, horizons: list[str] | None = None,
+) -> dict[str, TreeModel]:
+    """One model per horizon, fitted on all rows; one job for all of them."""
+    wanted = horizons or list(TARGETS)
+    return dict(zip(wanted, fit_all(rows, [Case(E.extra_trees(TARGETS[h], trees, depth), features) for h in wanted])))
 
 
-def save_models(models: dict[str, PipelineModel], path: str) -> str:
+def save_models(models: dict[str, TreeModel], path: str) -> str:
     for h, m in models.items():
-        m.write().overwrite().save(f"{path}/{h}")
+        m.save(f"{path}/{h}")
     return path
 
 
-def load_models(path: str) -> dict[str, PipelineModel]:
-    return {h: PipelineModel.load(f"{path}/{h}") for h in HORIZONS}
+def load_models(path: str) -> dict[str, TreeModel]:
+    return {h: TreeModel.load(SparkSession.active(), f"{path}/{h}") for h in HORIZONS}

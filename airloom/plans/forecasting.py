@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ IMPORTANCE_SIZE = (500, 15)  # trees and depth of the forest that ranks the inpu
 
 
 def forecast_job(
-    serving: DataFrame, models: dict[str, PipelineModel], features: list[str], city: Column, country: Column,
+    serving: DataFrame, models: dict, features: list[str], city: Column, country: Column,
 ) -> tuple[DataFrame, DataFrame]:
     """Forecast documents of every station, and the alerts they call for."""
     require_rows(serving, "latest features")
@@ -49,7 +48,7 @@ def training_job(
     root = path or shared_path(spark, "training")
     split = written(time_split(require_rows(ml, "training data"), layout), "split")
     train, test = split.filter("is_train"), split.filter("NOT is_train")
-    forest = E.pipeline(E.random_forest(TARGETS["24h"], *importance_size), MODEL_INPUTS).fit(train)
+    forest = E.random_forest(TARGETS["24h"], *importance_size).fit(train, MODEL_INPUTS)
     scores = I.feature_importance(forest, test, MODEL_INPUTS, TARGETS["24h"], repeats)
     importance = read_importance(spark, write_csv(scores, f"{root}/importance"))
     valid = spark.createDataFrame([(f,) for f in MODEL_INPUTS], "feature string")

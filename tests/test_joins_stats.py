@@ -71,6 +71,22 @@ def test_correlations_match_and_constants_have_none(spark):
     np.testing.assert_allclose(got.loc[CORRELATED, CORRELATED].to_numpy(float), want.to_numpy(), atol=1e-9)
 
 
+def test_correlations_read_the_rows_once_and_merge_between_tasks(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": 1e9 + rng.normal(size=400), "b": rng.normal(size=400), "c": 0.1})
+    pdf["b"] += pdf["a"] - 1e9
+    pdf.loc[pdf.index % 3 == 0, "c"] = np.nan
+    df = spark.createDataFrame(pdf).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in pdf.columns]).repartition(7)
+    pairs = [("a", "b"), ("b", "c"), ("a", "a"), ("b", "a")]
+    got = S.correlation_pairs(df, pairs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {(r.column_a, r.column_b): r["corr"] for r in got.collect()}
+    want = pdf["a"].sub(1e9).corr(pdf["b"])
+    assert found["a", "b"] == pytest.approx(want, abs=1e-6) and found["b", "a"] == found["a", "b"]
+    assert found["b", "c"] is None and found["a", "a"] == pytest.approx(1.0)
+    assert [r["corr"] for r in S.correlation_pairs(df.limit(0), pairs).collect()] == [None] * 4
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(10.0, 11.0), (20.0, 19.0), (30.0, 31.0), (40.0, 39.0)], "actual double, prediction double")
     got = M.overall_metrics(df)

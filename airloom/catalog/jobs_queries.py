@@ -22,7 +22,7 @@ from airloom.plans import jobs as K
 from airloom.schemas import (
     FEATURES, HORIZONS, INDEX, MEASURES, OBSERVATION, OBSERVATION_SCHEMA, PRODUCTION_FEATURES, SEQ, STATION, TIME,
 )
-from airloom.session import shared_path
+from airloom.session import shared_path, written
 from airloom.sources import documents as SD
 from airloom.sources import payloads as P
 from airloom.sources import store as S
@@ -383,7 +383,7 @@ _N = len(PRODUCTION_FEATURES)
     OBS, aqi_cte("v1"), TARGETS_CTE, COMPACT_CTE, features_cte("compact"),
     f"ml AS (SELECT * FROM feats WHERE {not_null(FEATURES)})", f"last_rows AS (SELECT * FROM ml {_LATEST})"))
 def validation_report(spark, sf_dir):
-    ml = K.ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir))
+    ml = written(K.ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir)), "ml")
     latest = D.with_persistence(latest_complete_rows(ml, PRODUCTION_FEATURES))
     return D.validation_report(ml, latest, PRODUCTION_FEATURES)
 

@@ -20,6 +20,7 @@ from airloom.operators.series import choose_block
 from airloom.operators.split import time_split
 from airloom.operators.validate import column_report, input_report
 from airloom.plans.jobs import feature_table, ml_dataset
+from airloom.session import written
 from airloom.schemas import (
     CORRELATED, FEATURES, INDEX, MEASURES, OBSERVATION, POLLUTANTS, PRODUCTION_FEATURES,
     STATION, TARGETS, TIME, WEATHER,
@@ -293,7 +294,7 @@ def baseline_leaderboard(spark, sf_dir):
     f"SELECT '{h}' AS horizon, '{m}' AS model, {_metrics_sql(t, c)} FROM ml"
     for h, t in TARGETS.items() for m, c in M.BASELINES.items()), *_ML_CTES))
 def evaluate_models_long(spark, sf_dir):
-    ml = ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir))
+    ml = written(ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir)), "ml")
     paired = J.pair_by_horizon(M.baseline_predictions(ml), M.targets_long(ml))
     return rounded(M.regression_metrics(paired, ["horizon", "model"]), "mae", "rmse", "r2")
 

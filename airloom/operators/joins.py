@@ -34,7 +34,7 @@ def asof_nearest(
     however long its series is (``choose_block`` finds a length for dense ones), and no pairs are
     formed. What a block cannot see, the last right
     row before it and the first one after it, is carried in from a summary that holds one row
-    per station and block.
+    per station and block (``carry_edges``).
     """
     reach = tolerance_seconds * 1_000_000
     moment = F.coalesce(F.col(TIME), F.raise_error(F.lit("nearest-time join: a row has no timestamp")))
@@ -51,12 +51,7 @@ def asof_nearest(
     )
     both = lefts.unionByName(rights, allowMissingColumns=True)
     edges = both.groupBy(STATION, "_block").agg(F.min("_right").alias("_first"), F.max("_right").alias("_last"))
-    blocks = Window.partitionBy(STATION).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        STATION, "_block",
-        F.last("_last", ignorenulls=True).over(blocks.orderBy("_block")).alias("_carry_back"),
-        F.last("_first", ignorenulls=True).over(blocks.orderBy(F.desc("_block"))).alias("_carry_fore"),
-    )
+    carried = carry_edges(edges)
     # The reversed sort gives the following row as a running value; a frame that looks ahead
     # to the end of its group would be quadratic.
     order = ["_at", "_side", "_arrival"]
@@ -79,6 +74,30 @@ def asof_nearest(
     )
 
 
+FAN = 256  # blocks that are scanned together
+
+
+def carry_edges(edges: DataFrame, levels: int = 2) -> DataFrame:
+    """The last right row before every block (``_carry_back``) and the first one after it (``_carry_fore``).
+
+    Blocks are scanned within groups of FAN, the groups within larger groups, and only the largest ones along a station, so
+    no scan holds more than FAN rows but the last, which holds one row for FAN ** levels blocks.
+    """
+    key, fan = [STATION], FAN if levels else None
+    if fan:
+        edges, key = edges.withColumn("_group", F.floor(F.col("_block") / fan)), [STATION, "_group"]
+    before = Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    back = F.last("_last", ignorenulls=True).over(before.orderBy("_block"))
+    fore = F.last("_first", ignorenulls=True).over(before.orderBy(F.desc("_block")))
+    own = edges.select(*key, "_block", back.alias("_carry_back"), fore.alias("_carry_fore"))
+    if not fan:
+        return own
+    groups = edges.groupBy(*key).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).withColumnRenamed("_group", "_block")
+    outer = carry_edges(groups, levels - 1).toDF(STATION, "_group", "_outer_back", "_outer_fore")
+    return own.join(outer, key).select(
+        STATION, "_block", F.coalesce("_carry_back", "_outer_back").alias("_carry_back"), F.coalesce("_carry_fore", "_outer_fore").alias("_carry_fore"))
+
+
 def join_importance(impurity: DataFrame, permutation: DataFrame) -> DataFrame:
     return impurity.join(permutation, "feature", "inner")
 

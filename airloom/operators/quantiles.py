@@ -38,7 +38,9 @@ def with_quartiles(long: DataFrame, measures: dict[str, Column], group: str = "s
     summary = written(first, "summary")
     data = long.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
     found = _quartiles(data, summary.filter("_n > 0"), group)
-    return summary.select(group, *measures).join(found, group, "left")
+    missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("double")
+    return summary.select(group, "_n", *measures).join(found, group, "left").select(
+        group, *measures, *[F.when((F.col("_n") > 0) & F.col(q).isNull(), missed).otherwise(F.col(q)).alias(q) for q in QUARTILES])
 
 
 def _quartiles(data: DataFrame, bounds: DataFrame, group: str) -> DataFrame:
@@ -87,10 +89,11 @@ def _quartiles(data: DataFrame, bounds: DataFrame, group: str) -> DataFrame:
     def at(rank):
         return F.min(F.when(F.col("_end") > rank, F.col("_v")))
 
+    # cell -1 holds what lies below the bracket: a rank found there, or none at all, means that the bracket missed it
     picked = ranked.groupBy(group, "_q").agg(
-        at(low).alias("_a"), at(high).alias("_z"), F.first(F.col("_rank") - low).alias("_part"),
+        at(low).alias("_a"), at(high).alias("_z"), F.first(F.col("_rank") - low).alias("_part"), F.min("_cell").alias("_least"),
     )
-    linear = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")
+    linear = F.when(F.col("_least") >= 0, F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part"))
     return picked.groupBy(group).agg(*[
         F.max(F.when(F.col("_q") == name, linear)).alias(name) for name in QUARTILES
     ])

@@ -9,6 +9,7 @@ from airloom.functions.aqi import HAZARD_THRESHOLD, clamp, forecast_value
 from airloom.functions.display import document_time
 from airloom.operators.validate import input_report
 from airloom.schemas import HORIZONS, INDEX, MODEL_INPUTS, STATION, TIME
+from airloom.session import written
 
 # Document name -> observation column.
 DOCUMENT_POLLUTANTS = {"pm25": "pm2_5", "pm10": "pm10", "no2": "no2", "o3": "o3", "co": "co"}
@@ -92,6 +93,9 @@ def validation_report(df: DataFrame, latest: DataFrame, features: list[str]) ->
     """
     counts = df.agg(F.count(F.lit(1)).alias("rows"))
     absent = [c for c in features if c not in df.columns]
+    # read by two checks, and its predictions are dear
+    needed = [c for c in features if c in latest.columns] + [f"prediction_{h}" for h in HORIZONS]
+    latest = written(latest.select(*dict.fromkeys(needed)), "latest")
     missing = input_report(latest, [c for c in features if c not in absent]).agg(
         F.sum("missing").alias("missing")
     )

@@ -10,10 +10,10 @@ from airloom.functions.aqi import with_aqi
 from airloom.operators import stats as R
 from airloom.operators.dedupe import dedupe_columns, keep_first
 from airloom.operators.features import drop_incomplete, with_features, with_targets
-from airloom.operators.joins import asof_nearest, join_hours
+from airloom.operators.joins import BLOCKS, asof_nearest, join_hours
 from airloom.operators.legacy import legacy_features
 from airloom.operators.select import latest_complete_rows
-from airloom.operators.series import Layout
+from airloom.operators.series import Layout, choose_block
 from airloom.operators.validate import require_columns, validate_store
 from airloom.plans.documents import DOCUMENT_POLLUTANTS
 from airloom.schemas import (
@@ -25,16 +25,31 @@ from airloom.sources import store as S
 
 
 def clean_records(payloads: DataFrame) -> DataFrame:
-    """Record-list payloads: pollution rows with the nearest weather, first row of each time."""
-    merged = asof_nearest(
-        P.pollution_records(payloads), P.weather_records(payloads), list(P.WEATHER_FIELDS), SEQ)
-    return keep_first(merged, [SEQ]).drop(SEQ)
+    """Record-list payloads: pollution rows with the nearest weather, first row of each time.
+
+    First is the earliest document, then the place in it. The join's blocks of time are as long as the densest station allows.
+    """
+    documents = P.with_document(payloads, "collection_timestamp")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("arrival", F.struct("document", SEQ)).drop("document", SEQ)
+
+    pollution, weather = (placed(read(documents, ("document",))) for read in (P.pollution_records, P.weather_records))
+    dense = choose_block(pollution.select(STATION, TIME).unionAll(weather.select(STATION, TIME)), sizes=BLOCKS)
+    merged = asof_nearest(pollution, weather, list(P.WEATHER_FIELDS), "arrival", block_seconds=dense)
+    return keep_first(merged, ["arrival"]).drop("arrival")
 
 
 def clean_history(payloads: DataFrame) -> DataFrame:
-    """Columnar history payloads: hours present in both parts, first row of each hour."""
-    joined = join_hours(P.weather_history(payloads), P.air_history(payloads))
-    return keep_first(joined, [P.WEATHER_POSITION, P.AIR_POSITION]).select(STATION, *OBSERVATION)
+    """Columnar history payloads: hours present in both parts, first row of each hour.
+
+    First is the earliest document on the weather side, its place there, then the same on the air side.
+    """
+    documents = P.with_document(payloads, "metadata.created_at")
+    weather = P.weather_history(documents, ("document",)).withColumnRenamed("document", "weather_document")
+    air = P.air_history(documents, ("document",)).withColumnRenamed("document", "air_document")
+    order = ["weather_document", P.WEATHER_POSITION, "air_document", P.AIR_POSITION]
+    return keep_first(join_hours(weather, air), order).select(STATION, *OBSERVATION)
 
 
 def training_source(spark: SparkSession, path: str, kind: str = "store", arrival: str = SEQ) -> DataFrame:
@@ -43,7 +58,8 @@ def training_source(spark: SparkSession, path: str, kind: str = "store", arrival
         schema = T.StructType(S.OBSERVATION_SCHEMA.fields + [T.StructField(arrival, T.LongType())])
         return validate_store(S.read_csv(spark, path, schema), arrival).select(STATION, *OBSERVATION)
     if kind == "history":
-        return clean_history(P.read_history(spark, P.newest_path(spark, path)))
+        newest = P.newest_path(spark, path)
+        return clean_history(P.read_history(spark, newest, P.is_indented(spark, newest)))
     raise ValueError(f"unknown training source {kind!r}")
 
 

@@ -58,6 +58,21 @@ def read_history(spark: SparkSession, path: str, indented: bool = False) -> Data
     return _documents(spark, path, HISTORY_PAYLOAD, indented)
 
 
+def is_indented(spark: SparkSession, path: str) -> bool:
+    """A document that does not end on its first line goes over several."""
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    return line is not None and not line[0].rstrip().endswith("}")
+
+
+def with_document(payloads: DataFrame, time: str) -> DataFrame:
+    """Add ``document``, by which documents are ordered: their own time, then a digest of what they hold.
+
+    Documents without a readable time come first. The order does not depend on files or partitions.
+    """
+    return payloads.withColumn("document", F.struct(
+        F.try_to_timestamp(F.col(time)).alias("time"), F.xxhash64(F.to_json(F.struct("*"))).alias("digest")))
+
+
 def newest_path(spark: SparkSession, root: str) -> str:
     """The last file in name order, or its folder where Spark has written the document in parts.
 
@@ -71,24 +86,24 @@ def newest_path(spark: SparkSession, root: str) -> str:
     return folder if name.startswith("part-") else newest
 
 
-def weather_records(payloads: DataFrame) -> DataFrame:
+def weather_records(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Flatten the forecast list; unreadable times become NULL."""
-    rows = payloads.select(STATION, F.posexplode("weather_forecast.list").alias(SEQ, "_r"))
+    rows = payloads.select(STATION, *keep, F.posexplode("weather_forecast.list").alias(SEQ, "_r"))
     return rows.select(
-        STATION, F.col(SEQ).cast("long").alias(SEQ), parse_time_or_null(F.col("_r.dt_txt")).alias(TIME),
+        STATION, *keep, F.col(SEQ).cast("long").alias(SEQ), parse_time_or_null(F.col("_r.dt_txt")).alias(TIME),
         *[clean_double(F.col(f"_r.{p}")).alias(n) for n, p in WEATHER_FIELDS.items()],
     )
 
 
-def pollution_records(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select(STATION, F.posexplode("pollution_forecast.list").alias(SEQ, "_r"))
+def pollution_records(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = payloads.select(STATION, *keep, F.posexplode("pollution_forecast.list").alias(SEQ, "_r"))
     return rows.select(
-        STATION, F.col(SEQ).cast("long").alias(SEQ), F.timestamp_seconds("_r.dt").alias(TIME),
+        STATION, *keep, F.col(SEQ).cast("long").alias(SEQ), F.timestamp_seconds("_r.dt").alias(TIME),
         *[clean_double(F.col(f"_r.{p}")).alias(n) for n, p in POLLUTION_FIELDS.items()],
     )
 
 
-def _hourly_rows(payloads: DataFrame, part: str, names: dict[str, str], position: str) -> DataFrame:
+def _hourly_rows(payloads: DataFrame, part: str, names: dict[str, str], position: str, keep: tuple[str, ...]) -> DataFrame:
     arrays = [F.col(f"{part}.hourly.{n}") for n in ("time", *names)]
     same = F.lit(True)
     for a in arrays[1:]:
@@ -97,20 +112,20 @@ def _hourly_rows(payloads: DataFrame, part: str, names: dict[str, str], position
         F.raise_error(F.lit(f"{part}: hourly arrays differ in length"))
     )
     rows = payloads.select(
-        F.col(f"metadata.{STATION}").alias(STATION), F.posexplode(zipped).alias(position, "_r")
+        F.col(f"metadata.{STATION}").alias(STATION), *keep, F.posexplode(zipped).alias(position, "_r")
     )
     return rows.select(
-        STATION, parse_time(F.col("_r.time")).alias(TIME), position,
+        STATION, *keep, parse_time(F.col("_r.time")).alias(TIME), position,
         *[clean_double(F.col(f"_r.{n}")).alias(c) for n, c in names.items()],
     )
 
 
-def weather_history(payloads: DataFrame) -> DataFrame:
-    return _hourly_rows(payloads, "weather", WEATHER_ARRAYS, WEATHER_POSITION)
+def weather_history(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _hourly_rows(payloads, "weather", WEATHER_ARRAYS, WEATHER_POSITION, keep)
 
 
-def air_history(payloads: DataFrame) -> DataFrame:
-    return _hourly_rows(payloads, "air_quality", AIR_ARRAYS, AIR_POSITION)
+def air_history(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _hourly_rows(payloads, "air_quality", AIR_ARRAYS, AIR_POSITION, keep)
 
 
 def build_observation(payloads: DataFrame, now: Column | None = None) -> DataFrame:

@@ -27,8 +27,9 @@ def sides(seed, hot=False):
     return pdf[left].reset_index(drop=True), pdf[~left & (rng.random(n) < 0.3)].reset_index(drop=True)
 
 
-@pytest.mark.parametrize("block", [300, 3600, 6 * 3600])
-def test_nearest_join_matches_merge_asof(spark, block):
+@pytest.mark.parametrize("block, fan", [(300, 256), (300, 3), (3600, 2), (3600, 256), (6 * 3600, 256)])
+def test_nearest_join_matches_merge_asof(spark, block, fan, monkeypatch):
+    monkeypatch.setattr(J, "FAN", fan)
     left, right = sides(block, hot=True)
     schema = f"{STATION} bigint, {TIME} timestamp, seq bigint, v double"
     l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
@@ -49,6 +50,30 @@ def test_nearest_join_rejects_rows_without_time(spark):
         J.asof_nearest(l, l.withColumnRenamed("v", "w"), ["w"], "seq").collect()
 
 
+def test_edges_are_carried_over_gaps_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(J, "FAN", 4)
+    rng = np.random.default_rng(4)
+    blocks = np.sort(rng.choice(400, 90, replace=False)) - 200
+    rows = [(1, int(b), int(b) if rng.random() < 0.4 else None) for b in blocks]
+    df = spark.createDataFrame(rows, f"{STATION} long, _block long, v long").select(
+        STATION, "_block", *[F.when(F.col("v").isNotNull(), F.struct("v")).alias(c) for c in ("_first", "_last")])
+    got = {r._block: (r._carry_back and r._carry_back.v, r._carry_fore and r._carry_fore.v) for r in J.carry_edges(df).collect()}
+    held = [v for _, _, v in rows if v is not None]
+    assert got == {b: (max((v for v in held if v < b), default=None), min((v for v in held if v > b), default=None)) for _, b, _ in rows}
+
+
+def test_a_bracket_that_misses_its_rank_is_an_error(spark, monkeypatch):
+    from airloom.operators import quantiles as Q
+
+    df = spark.range(60_000).select(F.lit("a").alias("series"), F.col("id").cast("double").alias("value"))
+    monkeypatch.setattr(Q, "sketch_edges", lambda: [e + 0.01 for e in (0.2498, 0.2502, 0.4998, 0.5002, 0.7498, 0.7502)])
+    with pytest.raises(Exception, match="outside its bracket"):
+        with_quartiles(df, {"n": F.count("value")}).collect()
+    monkeypatch.setattr(Q, "sketch_edges", lambda: [e - 0.01 for e in (0.2498, 0.2502, 0.4998, 0.5002, 0.7498, 0.7502)])
+    with pytest.raises(Exception, match="outside its bracket"):
+        with_quartiles(df, {"n": F.count("value")}).collect()
+
+
 @pytest.mark.parametrize("n", [4, 5, 1001, 3 * SKETCH_ACCURACY])
 def test_quartiles_are_exact(spark, n):
     rng = np.random.default_rng(n)

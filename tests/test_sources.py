@@ -96,6 +96,32 @@ def test_strict_times_are_an_error(spark, tmp_path):
         P.weather_history(P.read_history(spark, write_json(tmp_path / "s", doc))).collect()
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_the_earliest_document_wins_whatever_the_partitions(spark, tmp_path, order):
+    records, histories = [], []
+    for i, made in enumerate(["2024-01-01T05:00:00Z", "2024-01-01T06:00:00Z", None]):
+        records.append(record_doc(
+            collection_timestamp=made, weather_forecast={"list": [{"dt_txt": "2024-01-01 05:00:00", "main": {"temp": i}}]},
+            pollution_forecast={"list": [{"dt": 1704086100, "components": {"pm10": 10 * i}}, {"dt": 1704086100, "components": {"pm10": 99}}]}))
+        doc = history_doc(["2024-01-01T00:00"], ["2024-01-01T00:00"])
+        doc["metadata"]["created_at"] = made
+        doc["weather"]["hourly"]["temperature_2m"] = doc["air_quality"]["hourly"]["pm10"] = [float(i)]
+        histories.append(doc)
+    for name, docs, read, clean in (("r", records, P.read_records, K.clean_records), ("h", histories, P.read_history, K.clean_history)):
+        for place, i in enumerate(order):
+            write_json(tmp_path / name / f"{place}", docs[i])
+        row, = clean(read(spark, str(tmp_path / name / "*")).repartition(3)).collect()
+        # the document without a time comes first; of weather at one time the nearest-time join takes the last to arrive
+        assert (row.temperature, row.pm10) == ((1.0, 20.0) if name == "r" else (2.0, 2.0))
+
+
+def test_indented_history_is_seen_without_being_told(spark, tmp_path):
+    doc = history_doc(["2024-01-01T00:00", "2024-01-01T01:00"], ["2024-01-01T00:00", "2024-01-01T01:00"])
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "2024.json").write_text(json.dumps(doc, indent=2))
+    assert K.training_source(spark, str(tmp_path / "i"), "history").count() == 2
+
+
 def test_newest_payload_by_name(spark, tmp_path):
     for day in ("2024-01-02", "2024-01-10", "2024-01-09"):
         write_json(tmp_path / "n" / f"period={day}", history_doc([f"{day}T00:00"], [f"{day}T00:00"], day))

@@ -51,7 +51,7 @@ def stream_hourly_latest(spark, sf_dir):
     path = shared_path(spark, "hourly-latest")
     for part in LATE_ORDER:
         land(part)
-    H.run_available(opened(), H.store_upsert(path), path)
+    H.run_available(H.newest_hours(opened()), H.store_rows(path), path)
     return load_store(spark, path, _store_schema(spark, sf_dir), H.ARRIVAL).drop(*H.ARRIVAL)
 
 
@@ -77,7 +77,7 @@ def stream_hourly_stats(spark, sf_dir):
     path = shared_path(spark, "hourly-stats")
     for part in LATE_ORDER:
         land(part)
-    H.run_available(opened(), H.hourly_stats(path), path)
+    H.run_available(H.counted_hours(opened()), H.store_rows(path), path)
     return rounded(H.stats_table(spark, path), "mean_aqi")
 
 

@@ -1,13 +1,18 @@
 """The hourly loop as Structured Streaming queries.
 
+Two of them keep state: statistics and newest readings of the hours of the last STATE_HOURS, by event time. An hour that is
+older than that leaves the state; readings that come for it later go to the store as shares of their own, so no
+reading is lost and the state does not grow with time.
+
 Every sink writes one folder per micro-batch, so a batch that is run again after a failure
 replaces its own output, and readers take the newest version of each hour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +27,7 @@ from airloom.sources.store import BATCH, DAY, append_batch, read_log
 OBSERVED = "observed_at"
 ARRIVAL = [OBSERVED, "reading_id"]
 LOOKBACK_DAYS = 7
+STATE_HOURS = 72
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], store: str) -> None:
@@ -50,17 +56,105 @@ def hourly_stats(path: str) -> Callable[[DataFrame, int], None]:
         hours = with_aqi(batch).groupBy(STATION, F.date_trunc("hour", TIME).alias(TIME)).agg(
             F.count(F.lit(1)).alias("readings"), F.count(INDEX).alias("known"), F.sum(INDEX).alias("total"),
             F.max(INDEX).alias("max_aqi"))
-        append_batch(hours, path, batch_id)
+        append_batch(hours.withColumn("whole", F.lit(False)), path, batch_id)
 
     return sink
 
 
-STATS_SCHEMA = "station_id long, timestamp timestamp, readings long, known long, total double, max_aqi double"
+STATS_SCHEMA = "station_id long, timestamp timestamp, readings long, known long, total double, max_aqi double, whole boolean"
+
+
+def by_hour(stream: DataFrame):
+    """One state per station and hour of the day, so the hours of one busy station spread over tasks."""
+    hour = F.floor(F.unix_seconds(TIME) / 3600)
+    return stream.withColumn("hour", hour).withColumn("clock", F.pmod(F.col("hour"), F.lit(24))).groupBy(STATION, "clock")
+
+
+def settle(held: dict[int, tuple], fresh: dict[int, tuple], merge: Callable[[tuple, tuple], tuple]) -> list[tuple[int, tuple, bool]]:
+    """Merge new hours into the held ones: (hour, value, whether the state knows all of it); hours that are too old leave."""
+    oldest = max([*held, *fresh]) - STATE_HOURS
+    out = []
+    for hour, value in fresh.items():
+        kept = hour in held or hour >= oldest
+        if kept:
+            held[hour] = merge(held[hour], value) if hour in held else value
+        out.append((hour, held[hour] if kept else value, kept))
+    for hour in [h for h in held if h < oldest]:
+        del held[hour]
+    return out
+
+
+def _state_of(state) -> dict[int, tuple]:
+    return {row[0]: tuple(row[1:]) for row in zip(*state.get)} if state.exists else {}
+
+
+def _keep_state(state, held: dict[int, tuple], width: int) -> None:
+    rows = [(h, *v) for h, v in sorted(held.items())]
+    state.update(tuple([list(c) for c in zip(*rows)] if rows else [[] for _ in range(width)]))
+
+
+def _add(a: tuple, b: tuple) -> tuple:
+    tops = [x for x in (a[3], b[3]) if x is not None]
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2], max(tops) if tops else None
+
+
+def count_hours(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Count, sum and maximum of the hours a micro-batch touches."""
+    fresh: dict[int, tuple] = {}
+    for frame in frames:
+        for hour, values in frame.groupby("hour")[INDEX]:
+            known = values.dropna()
+            one = (len(values), len(known), float(known.sum()), float(known.max()) if len(known) else None)
+            fresh[hour] = _add(fresh[hour], one) if hour in fresh else one
+    held = _state_of(state)
+    rows = [(key[0], pd.Timestamp(hour * 3600, unit="s"), *value, whole) for hour, value, whole in settle(held, fresh, _add)]
+    _keep_state(state, held, 5)
+    yield pd.DataFrame(rows, columns=[f.split()[0] for f in STATS_SCHEMA.split(", ")])
+
+
+def counted_hours(readings: DataFrame) -> DataFrame:
+    """A stream of statistics per station and hour: the whole of an hour in the state, a share of an older one."""
+    known = by_hour(with_aqi(readings).select(STATION, TIME, INDEX))
+    held = "hours array<long>, readings array<long>, known array<long>, total array<double>, top array<double>"
+    return known.applyInPandasWithState(count_hours, STATS_SCHEMA, held, "append", "NoTimeout")
+
+
+def newest_readings(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The newest reading of every hour of a micro-batch, where it is newer than what the state knows of that hour."""
+    best: dict[int, tuple] = {}
+    for frame in frames:
+        last = frame.sort_values(ARRIVAL).groupby("hour").tail(1)
+        for row in last.itertuples(index=False):
+            order = (int(row.at), int(row.reading_id))
+            if row.hour not in best or order > best[row.hour][0]:
+                best[row.hour] = (order, row)
+    held = _state_of(state)
+    before = dict(held)
+    settle(held, {h: order for h, (order, _) in best.items()}, max)
+    _keep_state(state, held, 3)
+    newer = [row for h, (order, row) in best.items() if h not in before or order > before[h]]
+    yield pd.DataFrame(newer, columns=list(best[next(iter(best))][1]._fields)).drop(columns=["hour", "clock", "at"])
+
+
+def newest_hours(readings: DataFrame) -> DataFrame:
+    """A stream of the newest reading per station and hour; readers take the last of each hour."""
+    kept = [*ARRIVAL, STATION, TIME, *MEASURES]
+    stamped = readings.withColumn(OBSERVED, F.col(TIME)).withColumn(TIME, F.date_trunc("hour", TIME)).select(*kept)
+    schema = stamped.schema
+    return by_hour(stamped.withColumn("at", F.unix_micros(OBSERVED))).applyInPandasWithState(
+        newest_readings, schema, "hours array<long>, at array<long>, id array<long>", "append", "NoTimeout")
+
+
+def store_rows(path: str) -> Callable[[DataFrame, int], None]:
+    return lambda batch, batch_id: append_batch(batch, path, batch_id)
 
 
 def stats_table(spark: SparkSession, path: str) -> DataFrame:
     """Count, mean and maximum index per station and hour; a reading counts however late it came."""
-    shares = read_log(spark, path, T.StructType.fromDDL(STATS_SCHEMA))
+    log = read_log(spark, path, T.StructType.fromDDL(STATS_SCHEMA))
+    values = ["readings", "known", "total", "max_aqi"]
+    newest = log.filter("whole").groupBy(STATION, TIME).agg(F.max_by(F.struct(*values), BATCH).alias("v")).select(STATION, TIME, "v.*")
+    shares = newest.unionByName(log.filter("NOT whole").select(STATION, TIME, *values))
     return shares.groupBy(STATION, TIME).agg(
         F.sum("readings").alias("readings"), F.try_divide(F.sum("total"), F.sum("known")).alias("mean_aqi"),
         F.max("max_aqi").alias("max_aqi"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,58 @@ def test_late_rows_are_kept(spark, readings, tmp_path):
         F.count(F.lit(1)).alias("readings"), F.max(INDEX).alias("max_aqi"))
     got = H.stats_table(spark, path).select(STATION, TIME, "readings", "max_aqi")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+class Kept:
+    """A state as a task sees it."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def batches_of_hours(count, late_every):
+    """(hour, index) of readings: one hour after the other, and now and then one far back."""
+    for i in range(count):
+        yield [(24 * i, float(i)), (24 * i, None)] + ([(24 * (i // 2), 500.0)] if i % late_every == 0 else [])
+
+
+def test_state_is_bounded_and_loses_no_reading():
+    state, found, want = Kept(), {}, {}
+    for number, batch in enumerate(batches_of_hours(60, 5)):
+        frame = pd.DataFrame(batch, columns=["hour", INDEX])
+        for hour, value in batch:
+            n, total = want.get(hour, (0, 0.0))
+            want[hour] = (n + 1, total + (value or 0.0))
+        for r in pd.concat(H.count_hours((1, 0), iter([frame.iloc[:1], frame.iloc[1:]]), state)).itertuples():
+            whole, shares = found.setdefault(r.timestamp.value // 3_600_000_000_000, [(0, 0.0), (0, 0.0)])
+            pair = found[r.timestamp.value // 3_600_000_000_000]
+            if r.whole:
+                pair[0] = (r.readings, r.total)
+            else:
+                pair[1] = (shares[0] + r.readings, shares[1] + r.total)
+        assert len(state.get[0]) <= H.STATE_HOURS // 24 + 1
+    assert {h: (a[0] + b[0], a[1] + b[1]) for h, (a, b) in found.items()} == want
+
+
+@pytest.mark.parametrize("hours", [3, 24, 24 * 40])
+def test_stateful_streams_equal_the_batch_job_in_any_order(spark, readings, tmp_path, monkeypatch, hours):
+    monkeypatch.setattr(H, "STATE_HOURS", hours)
+    landed = str(tmp_path / "landed")
+    days = ["day(timestamp) > 20 AND day(timestamp) <> 25", "day(timestamp) <= 5 OR day(timestamp) = 25", "day(timestamp) BETWEEN 6 AND 20 AND day(timestamp) <> 25"]
+    plain = spark.read.schema(readings.schema)
+    for p in days:
+        readings.filter(p).coalesce(1).write.mode("append").parquet(landed)
+    stream = lambda: spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    assert plain.parquet(landed).count() == readings.count()
+    stats, store = str(tmp_path / "stats"), str(tmp_path / "store")
+    H.run_available(H.counted_hours(stream()), H.store_rows(stats), stats)
+    H.run_available(H.newest_hours(stream()), H.store_rows(store), store)
+    want = with_aqi(readings).groupBy(STATION, F.date_trunc("hour", TIME).alias(TIME)).agg(
+        F.count(F.lit(1)).alias("readings"), F.round(F.avg(INDEX), 9).alias("mean_aqi"), F.max(INDEX).alias("max_aqi"))
+    got = H.stats_table(spark, stats).withColumn("mean_aqi", F.round("mean_aqi", 9))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    newest = V.hourly(readings).select(STATION, TIME, *MEASURES)
+    kept = load_store(spark, store, H.hourly_batch(readings).schema, H.ARRIVAL).select(STATION, TIME, *MEASURES)
+    assert kept.exceptAll(newest).count() == 0 and newest.exceptAll(kept).count() == 0

@@ -176,47 +176,87 @@ def store_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, batch_id: append_batch(hourly_batch(batch), path, batch_id)
 
 
-def affected_rows(stored: DataFrame, since: DataFrame) -> DataFrame:
-    """Stored hours from ``since`` on, per touched station, and the rows their frames reach back to.
+def affected_rows(stored: DataFrame, late: DataFrame) -> DataFrame:
+    """Stored hours that late rows change, and those their frames reach back to.
 
-    Recent days are read first; older days only for stations that lack enough rows there.
+    ``late`` has a station's earliest and latest new hour (since, until). A frame reaches REACH_BACK rows back, so no more
+    than that many rows behind ``until`` change. The days around are read first; others only for stations that lack
+    enough rows there.
     """
-    first = since.agg(F.min("since")).first()[0]
-    if first is None:
-        return stored.limit(0).withColumn("since", F.lit(None).cast("timestamp"))
-    edge = F.date_sub(F.to_date(F.lit(first)), LOOKBACK_DAYS)
+    span = late.agg(F.min("since"), F.max("until")).first()
+    if span[0] is None:
+        return stored.limit(0).withColumn("since", F.lit(None).cast("timestamp")).drop(BATCH, DAY)
+    first, last = F.date_sub(F.to_date(F.lit(span[0])), LOOKBACK_DAYS), F.date_add(F.to_date(F.lit(span[1])), LOOKBACK_DAYS)
 
     def versions(rows: DataFrame) -> DataFrame:
         return keep_last(rows, ARRIVAL).drop(BATCH, DAY)
 
-    recent = versions(stored.filter(F.col(DAY) >= edge)).join(since, STATION)
-    found = recent.filter(F.col(TIME) < F.col("since")).groupBy(STATION).agg(F.count(F.lit(1)).alias("_n"))
-    short = since.join(found, STATION, "left").filter(F.coalesce("_n", F.lit(0)) < REACH_BACK).select(STATION, "since")
-    rows = recent
-    if not short.isEmpty():
-        rows = rows.unionByName(versions(stored.filter(F.col(DAY) < edge)).join(short, STATION))
-    back = Window.partitionBy(STATION, "_past").orderBy(F.desc(TIME))
-    past = F.col(TIME) < F.col("since")
-    # A row limit per station is applied by every task before the shuffle.
-    earlier = rows.filter(past).withColumn("_past", F.lit(True)).withColumn(
-        "_rank", F.row_number().over(back)).filter(F.col("_rank") <= REACH_BACK).drop("_rank", "_past")
-    return rows.filter(~past).unionByName(earlier)
+    rows = versions(stored.filter(F.col(DAY).between(first, last))).join(late, STATION)
+    sides = {"before": F.col(TIME) < F.col("since"), "after": F.col(TIME) > F.col("until")}
+    found = late.join(rows.groupBy(STATION).agg(*[F.count_if(c).alias(n) for n, c in sides.items()]), STATION, "left")
+    for side, beyond in (("before", F.col(DAY) < first), ("after", F.col(DAY) > last)):
+        short = found.filter(F.coalesce(side, F.lit(0)) < REACH_BACK).select(*late.columns)
+        if not short.isEmpty():
+            rows = rows.unionByName(versions(stored.filter(beyond)).join(short, STATION))
+    # A row limit per station and side is applied by every task before the shuffle.
+    place = F.when(sides["before"], F.lit("before")).when(sides["after"], F.lit("after")).otherwise(F.lit("within"))
+    nearest = F.when(sides["before"], F.col("since").cast("long") - F.col(TIME).cast("long")).otherwise(F.col(TIME).cast("long") - F.col("until").cast("long"))
+    placed = rows.withColumns({"_place": place, "_gap": nearest})
+    near = Window.partitionBy(STATION, "_place").orderBy("_gap")
+    reached = placed.filter("_place <> 'within'").withColumn("_rank", F.row_number().over(near)).filter(F.col("_rank") <= REACH_BACK).drop("_rank")
+    return placed.filter("_place = 'within'").unionByName(reached).drop("_place", "_gap", "until")
+
+
+TAIL = REACH_BACK + 1  # the last hour may be read anew, and what it reaches back to must still be there
+SNAPSHOT = 24  # so many batches after one another keep only their own stations' tails
+
+
+def read_tails(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The last TAIL hours of every station before a batch; at most SNAPSHOT folders are read."""
+    log = read_log(spark, path, schema).filter(F.col(BATCH).between((batch_id - 1) // SNAPSHOT * SNAPSHOT, batch_id - 1))
+    newest = log.groupBy(STATION).agg(F.max(BATCH).alias("_newest"))
+    return log.join(newest, STATION).filter(F.col(BATCH) == F.col("_newest")).drop("_newest", BATCH, DAY)
+
+
+def write_tails(tails: DataFrame, fresh: DataFrame, path: str, batch_id: int) -> None:
+    """Tails of the batch's stations, and every SNAPSHOT batches those of all stations."""
+    touched = fresh.select(STATION).distinct()
+    ranked = Window.partitionBy(STATION).orderBy(F.desc(TIME))
+    moved = keep_last(tails.join(touched, STATION, "left_semi").unionByName(fresh), ARRIVAL)
+    moved = moved.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= TAIL).drop("_rank")
+    if batch_id % SNAPSHOT == 0:
+        moved = moved.unionByName(tails.join(touched, STATION, "left_anti"))
+    append_batch(moved, path, batch_id)
 
 
 def update_features(
     store_path: str, feature_path: str, columns: list[str], layout: Layout = Layout(),
 ) -> Callable[[DataFrame, int], None]:
-    """Store the batch, then recompute the features it can change and nothing else."""
+    """Store the batch, then recompute the features it can change and nothing else.
+
+    The last hours of every station are kept as a small table beside the store. A station whose new hours do not precede the last one, and a new
+    station, need nothing else; only stations with late hours are looked up in the store.
+    """
+    tail_path = f"{store_path.rstrip('/')}-tails"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = hourly_batch(batch)
-        append_batch(fresh, store_path, batch_id)
-        stored = read_log(spark, store_path, fresh.schema)
-        written = stored.filter(F.col(BATCH) == batch_id)
-        since = written.groupBy(STATION).agg(F.min(TIME).alias("since"))
-        rows = affected_rows(stored, since)
+        schema = hourly_batch(batch).schema
+        append_batch(hourly_batch(batch), store_path, batch_id)
+        stored = read_log(spark, store_path, schema)
+        fresh = stored.filter(F.col(BATCH) == batch_id).drop(BATCH, DAY)
+        tails = read_tails(spark, tail_path, schema, batch_id)
+        ends = tails.groupBy(STATION).agg(F.max(TIME).alias("end"))
+        spans = fresh.groupBy(STATION).agg(F.min(TIME).alias("since"), F.max(TIME).alias("until")).join(ends, STATION, "left")
+        spans = spans.withColumn("late", F.coalesce(F.col("since") < F.col("end"), F.lit(False))).cache()
+        late = spans.filter("late").select(STATION, "since", "until")
+        near = spans.filter("NOT late").select(STATION, "since")
+        rows = keep_last(tails.unionByName(fresh), ARRIVAL).join(near, STATION)
+        if not late.isEmpty():
+            rows = rows.unionByName(affected_rows(stored, late))
         table = with_features(with_aqi(rows), layout).filter(F.col(TIME) >= F.col("since"))
         append_batch(table.select(STATION, TIME, *columns), feature_path, batch_id)
+        write_tails(tails, fresh, tail_path, batch_id)
+        spans.unpersist()
 
     return sink

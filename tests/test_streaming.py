@@ -130,3 +130,44 @@ def test_stateful_streams_equal_the_batch_job_in_any_order(spark, readings, tmp_
     newest = V.hourly(readings).select(STATION, TIME, *MEASURES)
     kept = load_store(spark, store, H.hourly_batch(readings).schema, H.ARRIVAL).select(STATION, TIME, *MEASURES)
     assert kept.exceptAll(newest).count() == 0 and newest.exceptAll(kept).count() == 0
+
+
+def hours_of(spark, rows, first=0):
+    """Readings (station, hour, value), their ids counted from ``first``."""
+    df = spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], f"reading_id long, {STATION} long, h long, v double")
+    return df.select("reading_id", STATION, F.timestamp_seconds(F.col("h") * 3600 + 60).alias(TIME), *[F.col("v").alias(m) for m in MEASURES])
+
+
+def test_on_time_batches_and_new_stations_do_not_read_the_store(spark, tmp_path, monkeypatch):
+    store, table = str(tmp_path / "s"), str(tmp_path / "f")
+    sink = H.update_features(store, table, COLUMNS)
+
+    def refuse(*a):
+        raise AssertionError("the store is read")
+
+    monkeypatch.setattr(H, "affected_rows", refuse)
+    monkeypatch.setattr(H, "SNAPSHOT", 2)
+    parts = [[(1, h, float(h % 50)) for h in range(0, 60)], [(1, h, float(h % 50)) for h in range(60, 70)],
+             [(2, h, 9.0) for h in range(5, 15)], [(1, 70, 3.0), (2, 40, 4.0)], [(1, 70, 5.0), (1, 71, 3.0)], [(2, 41, 3.0)]]
+    for i, part in enumerate(parts):
+        sink(hours_of(spark, part, sum(map(len, parts[:i]))), i)
+    everything = hours_of(spark, [r for p in parts for r in p])
+    want = batch_table(everything)
+    got = stream_table(spark, table, want.schema)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert read_log(spark, f"{store}-tails", H.hourly_batch(everything).schema).groupBy("batch_id", STATION).count().filter("count > 49").count() == 0
+
+
+@pytest.mark.parametrize("days", [1, 40])
+def test_a_late_row_recomputes_the_rows_its_frames_touch(spark, tmp_path, monkeypatch, days):
+    monkeypatch.setattr(H, "LOOKBACK_DAYS", days)
+    store, table = str(tmp_path / "s"), str(tmp_path / "f")
+    sink = H.update_features(store, table, COLUMNS)
+    parts = [[(1, h, float(h % 50)) for h in range(0, 400, 2)], [(1, 101, 7.0), (1, 105, 8.0)]]
+    for i, part in enumerate(parts):
+        sink(hours_of(spark, part), i)
+    want = batch_table(hours_of(spark, [r for p in parts for r in p]))
+    got = stream_table(spark, table, want.schema)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    again = read_log(spark, table, want.schema).filter("batch_id = 1")
+    assert again.count() == 2 + 2 + 48  # the late rows, what lies between them, and one frame behind

@@ -30,6 +30,7 @@ from airloom.session import written
 LABELLED_ROWS = 50_000
 ROWS_PER_PACK = 4_000
 TREES_PER_UNIT = 20
+ROWS_TOGETHER = 2_000  # small trees grow side by side, up to so many rows
 NODES_PER_BROADCAST = 2_000_000
 GROUPS_PER_CORE = 3
 
@@ -182,11 +183,16 @@ def _work(unit: dict, rows: Rows, keep: bool) -> list[dict]:
         G.boost(x, y, key, unit["last"], s["depth"], s["leaf"], s["rate"], s["sample"], s["loss"], s["seed"], seen)
     else:
         rank = None if s["kind"] == "extra" else rows.ranks(x, f"train {fold}", features)
-        for number in range(unit["first"], unit["last"]):
-            weight = np.ones(len(x)) if s["kind"] == "extra" else G.resample(s["seed"], number, key)
-            if not weight.any():
-                weight = np.ones(len(x))
-            seen(number, 0.0, G.grow(x, y, weight, key, s["kind"], unit["depth"], s["leaf"], unit["split"], s["share"], s["seed"], number, rank))
+        together = max(1, ROWS_TOGETHER // len(x))
+        for first in range(unit["first"], unit["last"], together):
+            numbers = range(first, min(first + together, unit["last"]))
+            weights = np.ones((len(numbers), len(x)), np.int64)
+            if s["kind"] == "forest":
+                for i, number in enumerate(numbers):
+                    drawn = G.resample(s["seed"], number, key)
+                    weights[i] = drawn if drawn.any() else 1
+            for number, tree in zip(numbers, G.grow(x, y, weights, s["kind"], unit["depth"], s["leaf"], unit["split"], s["share"], s["seed"], numbers, rank)):
+                seen(number, 0.0, tree)
     if keep:
         return out
     actual, tested_key = rows.y[s["target"]][test], rows.key[test]

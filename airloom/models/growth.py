@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+CACHED = 12_000  # values of a few features that are worked on at a time
 PLACE = 22  # bits of a row's place and of a value's rank in a sort key
 
 
@@ -52,7 +53,7 @@ def offered(share: float, varies: np.ndarray, seed: int, tree: int, node: np.nda
     most = max(1, int(share * varies.shape[1]))
     if most >= varies.shape[1]:
         return varies
-    drawn = np.where(varies, uniform(seed, tree, node[:, None], np.arange(varies.shape[1]), 3), 2.0)
+    drawn = np.where(varies, uniform(seed, tree[:, None], node[:, None], np.arange(varies.shape[1]), 3), 2.0)
     return varies & (drawn <= np.partition(drawn, most - 1, axis=1)[:, most - 1, None])
 
 
@@ -69,7 +70,7 @@ def random_cuts(x, w, gap, count, node, leaf, share, seed, tree):
     """
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
     low, high = np.minimum.reduceat(x, begin, axis=0), np.maximum.reduceat(x, begin, axis=0)
-    cut = low + uniform(seed, tree, node[:, None], np.arange(x.shape[1]), 5) * (high - low)
+    cut = low + uniform(seed, tree[:, None], node[:, None], np.arange(x.shape[1]), 5) * (high - low)
     goes = (x <= np.repeat(cut, count, axis=0)).astype(float)
     left = np.add.reduceat(goes, begin, axis=0)
     goes *= gap[:, None]
@@ -82,50 +83,62 @@ def random_cuts(x, w, gap, count, node, leaf, share, seed, tree):
 
 
 def best_cuts(x, key, w, gap, count, node, leaf, share, seed, tree):
-    """The best of all cuts of the features offered; a cut lies halfway between neighbouring values of the node. Rows come by node."""
-    n = len(x)
+    """The best of all cuts of the features offered; a cut lies halfway between neighbouring values of the node. Rows come by node.
+
+    A few features are searched at a time, so that what is worked on stays in the processor's cache.
+    """
+    n, f = x.shape
     begin = np.concatenate([[0], np.cumsum(count)[:-1]])
     of = np.repeat(np.arange(len(count)), count)
-    key += (of << 2 * PLACE) + np.arange(n)
-    key.sort(axis=1)
-    place = key & ((1 << PLACE) - 1)
-    key >>= PLACE
     inside = np.arange(1, n + 1) - begin[of]
     at = np.flatnonzero((inside >= leaf) & (count[of] - inside >= leaf))  # where a node may be parted
-    run = gap[place]
-    sums = np.cumsum(run, axis=1, out=run).take(at, axis=1)  # a node's gaps add up to nothing
-    if (w == 1.0).all():
-        left, whole = inside[at].astype(float), count[of[at]].astype(float)
-    else:
-        total = np.add.reduceat(w, begin)
-        run = w[place]
-        run[:, begin[1:]] -= total[:-1]
-        left, whole = np.cumsum(run, axis=1, out=run).take(at, axis=1), total[of[at]]
-    sums *= sums
-    sums /= left * (whole - left)
-    sums *= key.take(at, axis=1) != key.take(at + 1, axis=1)
     parted = of[at]
     starts = np.flatnonzero(np.diff(parted, prepend=-1))
-    tops = np.zeros((len(key), len(count)))
-    tops[:, parted[starts]] = np.maximum.reduceat(sums, starts, axis=1)
-    varies = (key[:, begin + count - 1] != key[:, begin]).T
-    tops *= offered(share, varies, seed, tree, node).T
+    total, plain = np.add.reduceat(w, begin), bool((w == 1.0).all())
+    left, whole, base = inside[at].astype(float), total[parted], (of << 2 * PLACE) + np.arange(n)
+    falls, places = np.empty((f, len(at))), np.empty((f, n), np.int32)
+    tops, varies = np.zeros((f, len(count))), np.empty((f, len(count)), bool)
+    step = max(1, CACHED // n)
+    for c in range(0, f, step):
+        some = slice(c, min(c + step, f))
+        part = key[some] + base
+        part.sort(axis=1)
+        place = part & ((1 << PLACE) - 1)
+        part >>= PLACE
+        run = gap[place]
+        sums = np.cumsum(run, axis=1, out=run).take(at, axis=1)  # a node's gaps add up to nothing
+        if not plain:
+            run = w[place]
+            run[:, begin[1:]] -= total[:-1]
+            left = np.cumsum(run, axis=1, out=run).take(at, axis=1)
+        sums *= sums
+        sums /= left * (whole - left)
+        sums *= part.take(at, axis=1) != part.take(at + 1, axis=1)
+        tops[some, parted[starts]] = np.maximum.reduceat(sums, starts, axis=1)
+        varies[some] = part[:, begin + count - 1] != part[:, begin]
+        falls[some], places[some] = sums, place
+    tops *= offered(share, varies.T, seed, tree, node).T
     top = tops.max(axis=0)
     best = (tops >= nearly(top)).argmax(axis=0)
-    hit = np.flatnonzero(sums[best[parted], np.arange(len(at))] >= nearly(top)[parted])
+    hit = np.flatnonzero(falls[best[parted], np.arange(len(at))] >= nearly(top)[parted])
     first = at[hit[np.minimum(np.searchsorted(parted[hit], np.arange(len(count))), len(hit) - 1)]]
-    here, after = x[place[best, first], best], x[place[best, np.minimum(first + 1, n - 1)], best]
+    here, after = x[places[best, first], best], x[places[best, np.minimum(first + 1, n - 1)], best]
     middle = here + (after - here) / 2
     return np.where(top > 0, best, -1), np.where(middle < after, middle, here)
 
 
-def grow(x, y, weight, keys, kind, depth, leaf, split, share, seed, tree, rank=None) -> Tree:
-    """One tree on the rows of positive weight. ``kind`` "extra" draws cuts, any other kind searches for the best ones."""
-    rows = np.flatnonzero(weight > 0)
-    w, wy = weight[rows].astype(float), weight[rows] * y[rows]
-    at = np.zeros(len(rows), np.int64)  # place of each open row's node among the open nodes
-    node = np.ones(1, np.int64)  # path of each open node: 1, then doubled, plus 1 to the right
-    parts, made = [], 1
+def grow(x, y, weights, kind, depth, leaf, split, share, seed, numbers, rank=None) -> list[Tree]:
+    """Trees on the rows of positive weight, one per row of ``weights`` and numbered by ``numbers``, level by level side by side.
+
+    ``kind`` "extra" draws cuts, any other kind searches for the best ones. A tree does not depend on its neighbours.
+    """
+    own, rows = np.nonzero(np.asarray(weights) > 0)
+    w = np.asarray(weights)[own, rows].astype(float)
+    wy = w * y[rows]
+    of, numbers = np.arange(len(weights)), np.asarray(numbers)  # the tree of each open node
+    at = own  # place of each open row's node among the open nodes
+    node = np.ones(len(weights), np.int64)  # path of each open node: 1, then doubled, plus 1 to the right
+    parts, made = [], len(weights)
     for level in range(depth + 1):
         order = np.argsort(at, kind="stable")
         rows, at, w, wy = rows[order], at[order], w[order], wy[order]
@@ -139,14 +152,14 @@ def grow(x, y, weight, keys, kind, depth, leaf, split, share, seed, tree, rank=N
         if may.any():
             keep = may[at]
             gap = (wy - w * (spread / total)[at])[keep]
-            some = (w[keep], gap, count[may], node[may], leaf, share, seed, tree)
+            some = (w[keep], gap, count[may], node[may], leaf, share, seed, numbers[of[may]])
             if kind == "extra":
                 feature[may], cut[may] = random_cuts(x[rows[keep]], *some)
             else:
                 feature[may], cut[may] = best_cuts(x[rows[keep]], rank.take(rows[keep], axis=1), *some)
         splits = feature >= 0
         left = np.where(splits, made + 2 * (np.cumsum(splits) - 1), -1)
-        parts.append((feature, cut, left, spread / total, total, count))
+        parts.append((of, feature, cut, left, spread / total, total, count))
         made += 2 * int(splits.sum())
         if not splits.any():
             break
@@ -155,7 +168,15 @@ def grow(x, y, weight, keys, kind, depth, leaf, split, share, seed, tree, rank=N
         right = x[rows, feature[at]] > cut[at]
         at = 2 * (np.cumsum(splits) - 1)[at] + right
         node = np.stack([2 * node[splits], 2 * node[splits] + 1], axis=1).ravel()
-    return Tree(*(np.concatenate(p) for p in zip(*parts)))
+        of = np.repeat(of[splits], 2)
+    of, *columns = (np.concatenate(p) for p in zip(*parts))
+    place, out = np.zeros(len(of), np.int64), []
+    for i in range(len(weights)):
+        mine = np.flatnonzero(of == i)
+        place[mine] = np.arange(len(mine))
+        feature, cut, left, value, cover, size = (c[mine] for c in columns)
+        out.append(Tree(feature, cut, np.where(left < 0, -1, place[left]), value, cover, size))
+    return out
 
 
 def walk(tree: Tree, x: np.ndarray, depth: int = 64, split: int = 0) -> np.ndarray:
@@ -201,7 +222,7 @@ def boost(x, y, keys, rounds, depth, leaf, rate, sample, loss, seed, each=None,
         drawn = (uniform(seed, r, keys, 11) < sample).astype(float)
         if not drawn.any():
             drawn[:] = 1.0
-        tree = grow(x, np.clip(gap, -delta, delta), drawn, keys, "best", depth, leaf, 2, 1.0, seed, r, rank)
+        tree, = grow(x, np.clip(gap, -delta, delta), drawn[None], "best", depth, leaf, 2, 1.0, seed, [r], rank)
         end = walk(tree, x)
         if loss == "huber":
             used = drawn > 0

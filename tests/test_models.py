@@ -54,7 +54,8 @@ def test_fits_repeat_for_any_grouping(rows, monkeypatch):
         return [r[0] for r in model.transform(rows).select("prediction").collect()]
 
     first = fit()
-    monkeypatch.setattr(N, "TREES_PER_UNIT", 1)
+    monkeypatch.setattr(N, "TREES_PER_UNIT", 3)
+    monkeypatch.setattr(N, "ROWS_TOGETHER", 1)
     monkeypatch.setattr(N, "ROWS_PER_PACK", 37)
     assert fit() == first
 
@@ -142,17 +143,17 @@ def test_trees_equal_a_direct_grower(spark, rows, kind, depth, leaf, split, shar
 def test_neighbouring_numbers_can_be_parted():
     x = np.array([[1.0], [np.nextafter(1.0, 2)], [np.nextafter(np.nextafter(1.0, 2), 2)]] * 4)
     y = np.array([0.0, 1.0, 2.0] * 4)
-    tree = G.grow(x, y, np.ones(12), None, "forest", 9, 1, 2, 1.0, 1, 0, G.ranks(x))
+    tree = G.grow(x, y, np.ones((1, 12)), "forest", 9, 1, 2, 1.0, 1, [0], G.ranks(x))[0]
     np.testing.assert_array_equal(tree.value[G.walk(tree, x)], y)
 
 
 def test_cut_back_trees_are_the_trees_of_less_depth(rows):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(200, 3)), rng.normal(size=200)
-    rank, one = G.ranks(x), np.ones(200)
-    deep = G.grow(x, y, one, None, "forest", 30, 2, 2, 0.7, 1, 0, rank)
+    rank, one = G.ranks(x), np.ones((1, 200))
+    deep, = G.grow(x, y, one, "forest", 30, 2, 2, 0.7, 1, [0], rank)
     for depth, split in ((3, 2), (30, 12), (5, 30)):
-        small = G.grow(x, y, one, None, "forest", depth, 2, split, 0.7, 1, 0, rank)
+        small, = G.grow(x, y, one, "forest", depth, 2, split, 0.7, 1, [0], rank)
         np.testing.assert_array_equal(deep.value[G.walk(deep, x, depth, split)], small.value[G.walk(small, x)])
 
 

@@ -30,7 +30,7 @@ from airloom.session import written
 LABELLED_ROWS = 50_000
 ROWS_PER_PACK = 4_000
 TREES_PER_UNIT = 20
-ROWS_TOGETHER = 2_000  # small trees grow side by side, up to so many rows
+ROWS_TOGETHER = 6_000  # small trees grow side by side, up to so many rows
 NODES_PER_BROADCAST = 2_000_000
 GROUPS_PER_CORE = 3
 

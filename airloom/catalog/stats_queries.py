@@ -295,7 +295,7 @@ def baseline_leaderboard(spark, sf_dir):
     for h, t in TARGETS.items() for m, c in M.BASELINES.items()), *_ML_CTES))
 def evaluate_models_long(spark, sf_dir):
     ml = written(ml_dataset(V.obs(spark, sf_dir), V.layout(spark, sf_dir)), "ml")
-    paired = J.pair_by_horizon(M.baseline_predictions(ml), M.targets_long(ml))
+    paired = J.pair_by_horizon(M.baseline_predictions(ml), M.targets_long(ml), list(TARGETS))
     return rounded(M.regression_metrics(paired, ["horizon", "model"]), "mae", "rmse", "r2")
 
 

@@ -102,11 +102,19 @@ def join_importance(impurity: DataFrame, permutation: DataFrame) -> DataFrame:
     return impurity.join(permutation, "feature", "inner")
 
 
-def pair_by_horizon(predictions: DataFrame, targets: DataFrame) -> DataFrame:
-    """Predictions with their observed values; a horizon without targets is an error."""
+def pair_by_horizon(predictions: DataFrame, targets: DataFrame, horizons: list[str] | None = None) -> DataFrame:
+    """Predictions with their observed values; a horizon without targets is an error.
+
+    With ``horizons`` stated, a prediction for another one fails where it is met; else both tables are looked through first.
+    """
+    error = "no target supplied for horizon: "
+    if horizons is not None:
+        other = F.raise_error(F.concat(F.lit(error), F.coalesce("horizon", F.lit("missing"))))
+        sure = F.when(F.col("horizon").isin(horizons), F.col("horizon")).otherwise(other)
+        return predictions.withColumn("horizon", sure).join(targets, [STATION, TIME, "horizon"], "inner")
     known = targets.select("horizon").distinct()
     unknown = predictions.select("horizon").distinct().join(known, "horizon", "left_anti")
-    missing = sorted(r[0] for r in unknown.collect())
+    missing = sorted(r[0] for r in unknown.collect())  # one row per horizon
     if missing:
-        raise ValueError(f"no target supplied for horizon: {', '.join(missing)}")
+        raise ValueError(error + ", ".join(missing))
     return predictions.join(targets, [STATION, TIME, "horizon"], "inner")

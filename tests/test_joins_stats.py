@@ -128,6 +128,9 @@ def test_unknown_horizon_is_an_error(spark):
     t = spark.sql("SELECT 1L AS station_id, timestamp'2024-01-01' AS timestamp, '24h' AS horizon, 1D AS actual")
     with pytest.raises(ValueError, match="96h"):
         J.pair_by_horizon(p, t)
+    with pytest.raises(Exception, match="no target supplied for horizon: 96h"):
+        J.pair_by_horizon(p, t, ["24h"]).collect()
+    assert J.pair_by_horizon(p.withColumn("horizon", F.lit("24h")), t, ["24h"]).count() == 1
 
 
 def test_top_features_takes_the_best_then_drops_invalid(spark):

@@ -9,8 +9,8 @@ darts, whatever the signature length. Two documents agree in a coordinate with t
 similarity; bands of ``ROWS`` coordinates become join keys.
 
 Members of a band are compared with two of them only, drawn anew by each band and round. The links found are closed to
-components, and what still stays apart within a band is compared across components, so no link is lost and a large
-group of copies costs a linear number of comparisons. Every link is verified on the whole shingle sets (hashed to 32 bits) at
+components. What still stays apart within a band is compared across components where rare elements near the beginning
+of both sets allow a link, so no link is lost, and neither a large group of copies nor one of half-alike texts costs all its pairs. Every link is verified on the whole shingle sets (hashed to 32 bits) at
 ``SIMILARITY``. Equal texts are one node from the start.
 
 A text of one to four words is a single shingle. Texts without words (missing, empty) are alike to nothing. Repeated
@@ -189,6 +189,35 @@ def _ordered(one, other) -> list:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _alike(n, m):
+    """Sizes of two sets that can reach SIMILARITY."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def _apart(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, among the nodes of bands that hold several, that can still be alike.
+
+    Elements are ordered from the rarest on. If two sets share ``need`` elements, the first of these has at least
+    ``need - 1`` others behind it in both, so it lies near the beginning of both. Only such elements are join keys, and only nodes outside
+    the largest component of a band seek partners. No pair that reaches SIMILARITY is lost.
+    """
+    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    nodes = open_.join(mixed, "key").groupBy("node", "root").agg(F.bool_or(F.col("root") != F.col("main")).alias("stray"))
+    each = written(sets.join(nodes, "node").select("node", "root", "stray", F.size("e").alias("n"), F.explode("e").alias("x")), "minhash-apart")
+    held = each.groupBy("x").agg(F.count("*").alias("held"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    order = Window.partitionBy("node").orderBy("held", F.xxhash64("x"), "x")
+    slack = 1e-6
+    first = each.join(held, "x").withColumn("i", F.row_number().over(order)).where(
+        (F.col("i") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack) + 1) & F.expr("r1 < r2"))
+    first = written(first.select("x", "node", "root", "stray", "n", "i"), "minhash-first")
+    one, other = (first.select("x", *[F.col(c).alias(f"{c}{k}") for c in ("node", "root", "stray", "n", "i")]) for k in (1, 2))
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("n1") + F.col("n2")) - slack)
+    able = (F.col("i1") <= F.col("n1") - need + 1) & (F.col("i2") <= F.col("n2") - need + 1)
+    met = one.where("stray1").join(other, "x").where((F.col("root1") != F.col("root2")) & _alike(F.col("n1"), F.col("n2")) & able)
+    return met.select(*_ordered(F.col("node1"), F.col("node2"))).distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d (id), t (text hash), root (null for a text without words) of every row."""
     base = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
@@ -210,11 +239,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     for turn in range(STARS):
         mask = F.xxhash64(F.lit(turn), "key")
         place = F.col("node").bitwiseXOR(mask)
+        end = F.struct(place.alias("place"), "root", "n")
         ends = open_.groupBy("key").agg(
-            F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+            F.min(end).alias("lo"), F.max(end).alias("hi"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
         met = open_.join(ends.select("key", "lo", "hi"), "key").select(
-            "node", F.explode(F.array(F.col("lo").bitwiseXOR(mask), F.col("hi").bitwiseXOR(mask))).alias("end"))
-        new = written(_verified(met.where("node != end").select(*_ordered(F.col("node"), F.col("end"))).distinct(), sets), "minhash-links")
+            "node", "root", "n", F.explode(F.array("lo", "hi")).alias("end"), mask.alias("mask"))
+        # a link within a component, or between sizes too far apart, could not add anything
+        met = met.where((F.col("root") != F.col("end.root")) & _alike(F.col("n"), F.col("end.n")))
+        met = met.select(*_ordered(F.col("node"), F.col("end.place").bitwiseXOR(F.col("mask")))).distinct()
+        new = written(_verified(met, sets), "minhash-links")
         if links is not None and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new).distinct()
@@ -222,14 +255,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         open_ = written(open_.drop("root").join(roots, "node", "left").select(
             "key", "node", "n", F.coalesce("root", "node").alias("root")), "minhash-open")
 
-    # what is still apart in a band: everything outside its largest component meets all of other components
-    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    rest = open_.join(mixed, "key")
-    stray = rest.where("root != main").select("key", F.col("node").alias("s"), F.col("root").alias("sr"), F.col("n").alias("sn"))
-    alike = F.least("sn", "n") >= SIMILARITY * F.greatest("sn", "n")
-    across = stray.join(rest, "key").where((F.col("root") != F.col("sr")) & alike).select(*_ordered(F.col("s"), F.col("node"))).distinct()
-    more = written(_verified(across, sets), "minhash-links")
+    more = written(_verified(_apart(open_, sets), sets), "minhash-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return signed.select("d", "t", "node", "n").join(roots, "node", "left").select(

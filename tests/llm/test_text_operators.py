@@ -61,6 +61,29 @@ def test_near_duplicate_classes(spark, texts):
     assert got == brute.near_classes(texts)
 
 
+def test_half_alike_texts_do_not_cost_all_their_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(5, 195, 5), 5):
+            words[k] = f"x{i}-{k}"
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(words[:-1])))
+    compared, verified = [], minhash._verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute.near_classes(rows)
+    assert compared[-1] < len(rows)
+
+
 def test_one_document_of_each_class_stays(spark, texts):
     docs = frame(spark, texts, extra=1, _n=2)
     kept = minhash.keep_one(docs)

@@ -5,12 +5,14 @@ document with a smaller id, or earlier in the same one. Windows are judged on th
 
 Every window has an anchor, the least hash among its ``GRAM``-word grams, so equal windows have equal anchors and
 neighbours mostly share one. Runs of windows with one anchor form a segment. Segments whose anchor occurs once in all
-texts cannot repeat. The others are collected by anchor into index shards: equal segments become one text with its earliest place,
-and each shard gets a compressed full-text index (``fm_index``) through which every window of the shard is searched;
+texts cannot repeat. The others are kept as places with a hash of their words; equal segments have one earliest place, and later
+ones repeat as a whole. Where an anchor has one content only, and that holds its anchor once, nothing else can repeat.
+The words of the remaining contents are fetched, once each from their earliest place, and collected by anchor into index shards:
+each shard gets a compressed full-text index (``fm_index``) through which every window of the shard is searched;
 its earliest occurrence tells whether it repeats. An anchor with very many different segments, as of a common phrase,
 is dealt out window by window. Equal windows are merged to their earliest place before they are shuffled, and the place
 goes back to the segment that has it, so neither a shard nor a join follows a hot passage. Words are compared by 32-bit
-hashes, twenty of them in a window.
+hashes, twenty of them in a window, whole segments by their 48-bit anchor and a 64-bit hash of their words.
 
 Missing texts have no words. A missing id comes before all others. Rows that share an id count as one document: equal
 rows do not remove words from each other. An empty table gives an empty result. The result has the id, ``n_words``,
@@ -91,37 +93,45 @@ def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield b, pa.array([zlib.decompress(z).decode() for z in b.column("z").to_pylist()], pa.string())
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "x"):
-        words, starts = split_batch(b.column("x"))
-        doc, _, _, anchor, held = segments(word_hashes(words), starts)
-        doc, anchor = np.repeat(doc, np.minimum(held, 2)), np.repeat(anchor, np.minimum(held, 2))
-        yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(doc)), pa.array(anchor.view(np.int64))], ["d", "a"])
+def content_hashes(hashes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the words begin to begin + size, equal wherever the same words stand."""
+    n = len(hashes)
+    up, down = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    up[1:], down[1:] = PRIME, np.uint64(pow(int(PRIME), -1, 1 << 64))
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    till = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[:n], dtype=np.uint64)])
+    return mix((till[begin + sizes] - till[begin]) * down[begin])
 
 
-def _pair(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return mix(anchor ^ mix((doc.astype(np.uint64) + np.uint64(1)) * PRIME))
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every segment: first word, windows, anchor, hash of its words, and how often (once or more) it holds its anchor."""
+    for b in pieces(batches, "x"):
+        words, starts = split_batch(b.column("x"))
+        h = word_hashes(words)
+        doc, begin, count, anchor, held = segments(h, starts)
+        content = content_hashes(h, begin, count + WINDOW - 1)
+        row = pa.array(doc)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("d").take(row), b.column("t").take(row), pa.array((begin - starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32)),
+             pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(np.minimum(held, 2).astype(np.int32))],
+            ["d", "t", "s", "m", "a", "ch", "n"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of documents that have one of the document's repeated anchors, with their words as bytes."""
+    """The segments (s, m, a, ch) asked of each document, with their words as bytes."""
     for b, texts in _inflated(batches):
         words, starts = split_batch(texts)
         h = word_hashes(words)
-        doc, begin, count, anchor, _ = segments(h, starts)
-        lists = b.column("anchors")
-        wanted = _pair(np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten()).view(np.uint64))
-        keep = np.isin(_pair(doc, anchor), wanted)
-        doc, begin, count, anchor = doc[keep], begin[keep], count[keep], anchor[keep]
-        sizes = count + WINDOW - 1
+        asked = b.column("asked")
+        doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(asked)))
+        flat = asked.flatten()
+        sizes = np.asarray(flat.field("m")).astype(np.int64) + WINDOW - 1
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(begin, sizes)
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(np.asarray(flat.field("s")).astype(np.int64) + starts[doc], sizes)
         data = (h >> np.uint64(32)).astype(np.uint32)[at]
-        content = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(data)])
-        row = pa.array(doc)
+        content = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(data)])
         yield pa.RecordBatch.from_arrays(
-            [b.column("d").take(row), b.column("t").take(row), pa.array(anchor.view(np.int64)), content,
-             pa.array((begin - starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["d", "t", "a", "c", "s", "m"])
+            [flat.field("a"), flat.field("ch"), content, b.column("d").take(pa.array(doc)), flat.field("s")], ["a", "ch", "c", "d", "s"])
 
 
 def _search_shard(group: pa.Table) -> pa.Table:
@@ -161,7 +171,7 @@ def _search_shard(group: pa.Table) -> pa.Table:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, texts in _inflated(batches):
         words, starts = split_batch(texts)
-        marks = b.column("marks")
+        marks = b.column("asked")
         doc = np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(marks), 0)))
         flat = marks.flatten()
         first = np.asarray(flat.field("s")).astype(np.int64) + starts[doc]
@@ -182,51 +192,68 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and the kept text of every document."""
     kind = dict(docs.dtypes)[doc_id]
-    base = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    places = base.mapInArrow(_anchors, f"d {kind}, a long")
-    often = places.groupBy("a").count().where("count > 1").select("a")
-    wanted = written(places.join(often, "a").groupBy(F.col("d").alias("wd")).agg(F.collect_set("a").alias("anchors")), "passage-anchors")
-
+    base = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("x")).select("d", F.xxhash64("x").alias("t"), "x")
+    places = base.mapInArrow(_places, f"d {kind}, t long, s int, m int, a long, ch long, n int")
+    often = places.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    found = written(places.join(often, "a"), "passage-places")
+
+    # contents: without a search (later copies go), to be searched whole, or dealt out by window
+    distinct = found.groupBy("a", "ch").agg(F.min(F.struct("d", "s", "t")).alias("f"), F.max("m").alias("m"), F.max("n").alias("n"))
+    per_anchor = distinct.groupBy("a").agg(F.count("*").alias("contents"))
+    firsts = written(
+        distinct.join(per_anchor, "a").select(
+            "a", "ch", "f.d", "f.s", "f.t", "m",
+            F.when(F.col("contents") > MANY, "many").when((F.col("contents") > 1) | (F.col("n") > 1), "whole").otherwise("copies").alias("way")),
+        "passage-firsts")
+    rows = firsts.agg(F.sum(F.expr("CASE way WHEN 'many' THEN m WHEN 'whole' THEN 1 ELSE 0 END"))).first()[0] or 0
+    return _finish(base, found, firsts, kind, rows // SHARD_ROWS + 1).withColumnRenamed("d", doc_id)
+
+
+def _finish(base: DataFrame, found: DataFrame, firsts: DataFrame, kind: str, shards: int) -> DataFrame:
     # one plan from here on: the texts are shuffled by id once for both searches and the result
-    shards = max(1, (wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0) // SHARD_ROWS + 1)
-    shipped = base.select("d", F.xxhash64("x").alias("t"), "x").mapInArrow(_deflated, f"d {kind}, t long, z binary")
-    found = shipped.join(wanted, F.col("d").eqNullSafe(F.col("wd"))).select("d", "t", "z", "anchors").mapInArrow(
-        _contents, f"d {kind}, t long, a long, c binary, s int, m int").withColumn("ch", F.xxhash64("c"))
-    distinct = found.groupBy("a", "c").agg(F.min(F.struct("d", "s")).alias("f")).select("a", "c", F.xxhash64("c").alias("ch"), "f.d", "f.s")
-    return _finish(shipped, found, distinct, kind, shards).withColumnRenamed("d", doc_id)
+    shipped = base.mapInArrow(_deflated, f"d {kind}, t long, z binary")
+
+    def own(rows: DataFrame, *columns: str, how: str) -> DataFrame:
+        """Documents with what rows (d, t, columns) hold for them.
+
+        By id alone, so that the shuffle is shared; rows of other texts under the id fall away by their hash.
+        """
+        of_text = rows.groupBy(F.col("d").alias("md"), F.col("t").alias("mt")).agg(F.collect_set(F.struct(*columns)).alias("rows"))
+        of_id = of_text.groupBy("md").agg(F.collect_list(F.struct("mt", "rows")).alias("of"))
+        mine = F.flatten(F.transform(F.filter("of", lambda m: m["mt"] == F.col("t")), lambda m: m["rows"]))
+        return shipped.join(of_id, F.col("d").eqNullSafe(F.col("md")), how).select("d", "z", mine.alias("asked"))
 
+    def contents(way: str) -> DataFrame:
+        asked = own(firsts.where(F.col("way") == way), "s", "m", "a", "ch", how="inner").where(F.size("asked") > 0)
+        return asked.mapInArrow(_contents, f"a long, ch long, c binary, d {kind}, s int")
 
-def _finish(shipped: DataFrame, found: DataFrame, distinct: DataFrame, kind: str, shards: int) -> DataFrame:
-    many = distinct.groupBy("a").count().where(F.col("count") > MANY).select("a", F.lit(True).alias("many"))
-    sorted_ = distinct.join(many, "a", "left")
+    shard_of = lambda key: F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")
+
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("shard").applyInArrow(lambda group: _search_shard(group), f"a long, ch long, fd {kind}, fs int, mask long")
+
+    # equal rows under one id give their contents twice
+    whole = contents("whole").select(shard_of("a"), "*").repartition("shard").dropDuplicates(["shard", "a", "ch"])
+    many = contents("many").repartition("a", "ch").dropDuplicates(["a", "ch"])
     windows = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("c") / 4).cast("int") - WINDOW))
-    single = sorted_.where("many").select("a", "ch", "c", "d", "s", windows.alias("o")).select(
+    single = many.select("a", "ch", "c", "d", "s", windows.alias("o")).select(
         "a", "ch", "d", "s", "o", F.substring("c", F.col("o") * 4 + 1, F.lit(4 * WINDOW)).alias("w"), (F.col("s") + F.col("o")).alias("p"))
     once = single.groupBy("a", "w").agg(F.min(F.struct("d", "p")).alias("f")).select(
-        "a", F.xxhash64("w").alias("ch"), F.col("w").alias("c"), "f.d", F.col("f.p").alias("s"))
-    whole = sorted_.where("many IS NULL").select("a", "ch", "c", "d", "s")
-
-    def searched(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")).applyInArrow(
-            lambda group: _search_shard(group), f"a long, ch long, fd {kind}, fs int, mask long")
+        shard_of("w"), "a", F.xxhash64("w").alias("ch"), F.col("w").alias("c"), "f.d", F.col("f.p").alias("s"))
 
     # a window of a segment repeats unless it is at the earliest place of its words
-    first = searched(once, "c").where("mask = 0").select(F.col("ch").alias("wh"), "fd", "fs", F.lit(True).alias("first"))
+    first = searched(once).where("mask = 0").select(F.col("ch").alias("wh"), "fd", "fs", F.lit(True).alias("first"))
     here = (F.col("h") == F.col("wh")) & F.col("d").eqNullSafe(F.col("fd")) & (F.col("p") == F.col("fs"))
     by_window = single.select("a", "ch", "d", "s", "o", "p", F.xxhash64("w").alias("h")).join(first, here, "left").groupBy("a", "ch", "d", "s").agg(
         F.expr("bit_or(CASE WHEN first THEN 0L ELSE shiftleft(1L, o) END)").alias("mask")).withColumnsRenamed({"d": "fd", "s": "fs"})
-    masks = searched(whole, "a").unionByName(by_window)
+    copies = firsts.where("way = 'copies'").select("a", "ch", F.col("d").alias("fd"), F.col("s").alias("fs"), F.lit(0).cast("long").alias("mask"))
+    masks = searched(whole).unionByName(by_window).unionByName(copies)
 
     every = F.expr(f"shiftrightunsigned(-1L, {LONGEST} - m)")
     earliest = F.col("d").eqNullSafe(F.col("fd")) & (F.col("s") == F.col("fs"))
     marked = found.select("d", "t", "a", "ch", "s", "m").join(masks, ["a", "ch"]).withColumn(
         "mask", F.when(earliest, F.col("mask")).otherwise(every)).where("mask != 0")
-    marks = marked.groupBy(F.col("d").alias("md"), F.col("t").alias("mt")).agg(F.collect_set(F.struct("s", "mask")).alias("marks"))
-    # by id alone, as before, so that the shuffle is shared; rows of other texts under the id fall away by their hash
-    of_id = marks.groupBy("md").agg(F.collect_list(F.struct("mt", "marks")).alias("of"))
-    joined = shipped.join(of_id, F.col("d").eqNullSafe(F.col("md")), "left")
-    own = F.flatten(F.transform(F.filter("of", lambda m: m["mt"] == F.col("t")), lambda m: m["marks"]))
-    return joined.select("d", "z", own.alias("marks")).mapInArrow(_kept, f"d {kind}, n_words long, n_removed long, kept string")
+    return own(marked, "s", "mask", how="left").mapInArrow(_kept, f"d {kind}, n_words long, n_removed long, kept string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

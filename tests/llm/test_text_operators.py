@@ -161,6 +161,31 @@ def test_rows_under_one_id_do_not_remove_common_windows_from_each_other(spark, m
     assert got == [(-1, 0), (-1, 0), (1, 30), (1, 30), (2, 30), (3, 30)]
 
 
+def test_words_of_mere_copies_are_not_fetched(spark, monkeypatch, tmp_path):
+    real, seen = passages._search_shard, tmp_path / "rows"
+
+    def spy(group):
+        with open(seen, "a") as f:
+            f.write(f"{group.num_rows}\n")
+        return real(group)
+
+    monkeypatch.setattr(passages, "_search_shard", spy)
+    rng = random.Random(12)
+    text = " ".join(f"{prose(rng, 1)}{k}" for k in range(300))
+    got = {r.doc_id: r.n_removed for r in passages.drop_passages(frame(spark, [(i, text) for i in range(20)])).collect()}
+    assert got == {i: 300 * (i > 0) for i in range(20)} and not seen.exists()
+    again = {r.doc_id: r.n_removed for r in passages.drop_passages(frame(spark, [(1, text), (2, text + " x y z" * 20)])).collect()}
+    assert again == {1: 0, 2: 300 + 57} and seen.exists()
+
+
+def test_segments_of_equal_words_have_equal_hashes():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**63, 40).astype(np.uint64)
+    h = np.concatenate([a, rng.integers(0, 2**63, 7).astype(np.uint64), a, a[::-1]])
+    got = passages.content_hashes(h, np.array([0, 47, 87, 0]), np.array([40, 40, 40, 39]))
+    assert got[0] == got[1] and len(set(got.tolist())) == 3
+
+
 def test_language_model(spark, texts):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     got = {r.doc_id: r for r in ppm.score_texts(frame(spark, texts), held).collect()}

@@ -7,8 +7,9 @@ different bytes, method C) hands over to the next shorter one, where the bytes t
 the empty context all bytes not yet seen are equally likely. The chances of all possible texts add up to at most one.
 
 All counts cover all training texts and are kept in tables that grow with the corpus. A block of documents (what one
-task holds at a time) brings along its distinct words and pairs of context and byte; their costs are joined to it by keys, so
-neither the model nor the corpus is ever gathered in one place. Texts are read once.
+task holds at a time) brings along its distinct words and pairs of context and byte, dealt into ``PARTS`` parts, each a
+packed row. The rows of one part meet over all blocks, where counts are added and the costs of its pairs looked up, and
+every block gets back a packed row a part. So neither the model nor the corpus is ever gathered in one place. Texts are read once.
 
 Missing texts count as empty: one token, the end. Repeated rows are scored each. Without training texts every byte has
 the same chance. An empty table gives an empty result.
@@ -28,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from airloom.llm.arrow_words import split_batch
+from airloom.llm.arrow_words import split_batch, word_hashes
 from airloom.llm.text import crc_bucket, table
 from airloom.session import written
 
 ORDER = 5
 BLOCK_TOKENS = 4_000_000
 CHUNK_WORDS = 200_000
-TEXT, WORD, PAIR = 0, 1, 2
-COUNT_BITS = 40
+PARTS = 251
+TEXT, WORD, COUNT, PAIR = 0, 1, 2, 3
 
 
 def token_bytes(words: pa.Array, starts: np.ndarray) -> pa.Array:
@@ -85,21 +86,59 @@ def _added(k1, n1, k2, n2) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(place, np.concatenate([n1, n2]), len(keys)).astype(np.int64)
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Word numbers in planes of their low, middle and high byte, deflated."""
-    return zlib.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers in planes of their lowest byte, the next one and so on, deflated."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+def _unpacked(raw: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _packed_costs(costs: np.ndarray) -> bytes:
+    """Few costs differ: the different ones, and the place of each among them."""
+    values, place = np.unique(costs, return_inverse=True)
+    return len(values).to_bytes(8, "little") + values.astype("<f8").tobytes() + _packed(place)
+
+
+def _unpacked_costs(raw: bytes) -> np.ndarray:
+    n = 8 + 8 * int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw[8:n], "<f8")[_unpacked(raw[n:])]
+
+
+def _packed_words(words: pa.Array, cuts: np.ndarray) -> list[bytes]:
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words.cast(pa.string())), "\n")
+    return [zlib.compress(x.as_buffer(), 1) for x in joined]
+
+
+def _unpacked_words(raws: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of packed rows one after another, and how many each row has."""
+    lists = pc.split_pattern(pa.array([zlib.decompress(x) for x in raws], pa.binary()).cast(pa.string()), "\n")
+    return lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *arrays])
+
+
+def _filled(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _parts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that occur in an ascending list of them, and where each begins (one more at the end)."""
+    begins = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return part[begins], np.append(begins, len(part))
 
 
 def _blocks(schema: pa.Schema):
-    """Turns batches of documents (d, held, x) into rows of blocks: documents, their words, their pairs."""
+    """Turns batches of documents (d, held, x) into rows of blocks: documents, their words, their pairs.
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    Texts have their words as numbers, the block's most frequent first, then by place in its word rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
@@ -109,31 +148,81 @@ def _blocks(schema: pa.Schema):
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK_TOKENS, side="right")) - 1)
                 to = min(to, b.num_rows)
-                coded = words.slice(starts[at], starts[to] - starts[at]).dictionary_encode()
+                own = lambda n: pa.array(np.full(n, block))  # noqa: E731, B023
+                part_of_text = words.slice(starts[at], starts[to] - starts[at])
+                coded = part_of_text.dictionary_encode()
                 codes = np.asarray(coded.indices).astype(np.int32)
                 held = np.asarray(b.column("held").slice(at, to - at).to_numpy(zero_copy_only=False)).astype(bool)
                 sizes = np.diff(starts[at : to + 1])
-                count = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(coded.dictionary))
+                n = len(coded.dictionary)
+                part = (word_hashes(coded.dictionary) % np.uint64(PARTS)).astype(np.int32)
+                order = np.asarray(pc.sort_indices(pa.table({"p": part, "w": coded.dictionary}), [("p", "ascending"), ("w", "ascending")])).astype(np.int64)
+                every = np.bincount(codes, minlength=n)[order]
+                taught = np.bincount(codes[np.repeat(~held, sizes)], minlength=n)[order]
+                number = np.empty(n, np.int64)
+                number[order[by_frequency(every)]] = np.arange(n)
+                codes = number[codes]
                 cuts = starts[at : to + 1] - starts[at]
-                yield rows(
-                    to - at, block=pa.array(np.full(to - at, block)), d=b.column("d").slice(at, to - at), held=pa.array(held),
+                yield _filled(
+                    schema, to - at, block=own(to - at), d=b.column("d").slice(at, to - at), held=pa.array(held),
                     tokens=pa.array([_packed(codes[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()))
-                n = len(coded.dictionary)
-                yield rows(n, block=pa.array(np.full(n, block)), idx=pa.array(np.arange(n, dtype=np.int32)),
-                           word=coded.dictionary.cast(pa.string()), c=pa.array(count.astype(np.int64)))
-                part = words.slice(starts[at], starts[to] - starts[at])
+                found, begins = _parts(part[order])
+                between = list(zip(begins[:-1], begins[1:]))
+                yield _filled(
+                    schema, len(found), block=own(len(found)), part=pa.array(found), words=pa.array(_packed_words(coded.dictionary.take(pa.array(order)), begins), pa.binary()),
+                    every=pa.array([_packed(every[i:j]) for i, j in between], pa.binary()), c=pa.array([_packed(taught[i:j]) for i, j in between], pa.binary()))
                 sides = []
                 for side in (held, ~held):
-                    own = part.filter(pa.array(np.repeat(side, sizes)))
-                    sides.append(_counted(own, np.concatenate([[0], np.cumsum(sizes[side])])))
+                    mine = part_of_text.filter(pa.array(np.repeat(side, sizes)))
+                    sides.append(_counted(mine, np.concatenate([[0], np.cumsum(sizes[side])])))
                 keys, count = _added(sides[0][0], sides[0][1] * 0, *sides[1])
-                yield rows(len(keys), block=pa.array(np.full(len(keys), block)), key=pa.array(keys), c=pa.array(count))
+                part = (keys % PARTS).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keys, count = keys[order], count[order]
+                found, begins = _parts(part[order])
+                between = list(zip(begins[:-1], begins[1:]))
+                yield _filled(
+                    schema, len(found), block=own(len(found)), part=pa.array(found), keys=pa.array([_packed(keys[i:j], ORDER + 1) for i, j in between], pa.binary()),
+                    c=pa.array([_packed(count[i:j]) for i, j in between], pa.binary()))
                 block += 1
                 at = to
 
     return run
 
 
+def by_frequency(every: np.ndarray) -> np.ndarray:
+    return np.argsort(-every, kind="stable")
+
+
+def _count_words(group: pa.Table) -> pa.Table:
+    """The training counts of one part's words for every block; with the first row their sum and how many there are."""
+    words, sizes = _unpacked_words(group["words"].to_pylist())
+    coded = words.dictionary_encode()
+    place = np.asarray(coded.indices).astype(np.int64)
+    total = np.bincount(place, _joined([_unpacked(x) for x in group["c"].to_pylist()]), len(coded.dictionary)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    counts = [_packed(total[place[i:j]], 8) for i, j in zip(ends - sizes, ends)]
+    n, v = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    n[0], v[0] = total.sum(), (total > 0).sum()
+    return pa.table({"block": group["block"], "part": group["part"], "counts": pa.array(counts, pa.binary()), "n": n, "v": v})
+
+
+def _count_pairs(group: pa.Table) -> pa.Table:
+    keys = _joined([_unpacked(x, ORDER + 1) for x in group["keys"].to_pylist()])
+    keys, place = np.unique(keys, return_inverse=True)
+    count = np.bincount(place, _joined([_unpacked(x) for x in group["c"].to_pylist()]), len(keys)).astype(np.int64)
+    return pa.table({"key": keys, "c": count})
+
+
+def _price_pairs(asked: pa.Table, costs: pa.Table) -> pa.Table:
+    """For every block the costs of its pairs of one part, in their order."""
+    keys, lp = costs["key"].to_numpy(), costs["lp"].to_numpy()
+    order = np.argsort(keys)
+    keys, lp = keys[order], lp[order]
+    out = [_packed_costs(lp[np.searchsorted(keys, _unpacked(x, ORDER + 1))]) for x in asked["keys"].to_pylist()]
+    return pa.table({"block": asked["block"], "part": asked["part"], "keys": asked["keys"], "costs": pa.array(out, pa.binary())})
+
+
 def _context(key, k: int):
     """The last k bytes of the context of a pair."""
     return F.shiftright(key, 8).bitwiseAND(F.lit((1 << (8 * k)) - 1))
@@ -185,18 +274,28 @@ def pair_costs(pairs: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
+def _looked_up(key: np.ndarray, keys: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    """The cost of every key; each different one is searched once."""
+    order = np.argsort(key)
+    ascending = key[order]
+    new = np.append(True, ascending[1:] != ascending[:-1])[: len(key)]
+    out = np.empty(len(key))
+    out[order] = costs[np.searchsorted(keys, ascending[new])][np.cumsum(new) - 1]
+    return out
+
+
 def _score_block(tokens: int, types: int, texts: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         kind = group["kind"].to_numpy()
-        pair, words, docs = (group.filter(pa.array(kind == k)) for k in (PAIR, WORD, TEXT))
-        keys, lp = pair["number"].to_numpy(), pair["value"].to_numpy().astype(float)
+        docs, words, counts, pairs = (group.filter(pa.array(kind == k)).sort_by("part") for k in (TEXT, WORD, COUNT, PAIR))
+        keys = _joined([_unpacked(x, ORDER + 1) for x in pairs["data"].to_pylist()])
+        lp = np.concatenate([np.zeros(0), *[_unpacked_costs(x) for x in pairs["more"].to_pylist()]])
         order = np.argsort(keys)
         keys, lp = keys[order], lp[order]
-        idx, count = words["number"].to_numpy() >> COUNT_BITS, words["number"].to_numpy() & ((1 << COUNT_BITS) - 1)
-        c, spelled = np.zeros(len(idx), np.int64), words["data"].combine_chunks().cast(pa.string())
-        c[idx] = count
-        spelled = spelled.take(pa.array(np.argsort(idx)))
+        order = by_frequency(_joined([_unpacked(x) for x in words["more"].to_pylist()]))
+        spelled = _unpacked_words(words["data"].to_pylist())[0].take(pa.array(order))
+        c = _joined([_unpacked(x, 8) for x in counts["data"].to_pylist()])[order]
         base = np.log10((c + 1) / (tokens + types + 1))
         end = math.log10((texts + 1) / (tokens + types + 1))
         codes = [_unpacked(raw) for raw in docs["data"].to_pylist()]
@@ -207,12 +306,12 @@ def _score_block(tokens: int, types: int, texts: int):
             to = min(len(codes), max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK_WORDS, side="right")) - 1))
             chosen = spelled.take(pa.array(np.concatenate(codes[at:to])))
             owner, key = byte_keys(token_bytes(chosen, starts[at : to + 1] - starts[at]))
-            score[at:to] = np.bincount(owner, lp[np.searchsorted(keys, key)], to - at)
+            score[at:to] = np.bincount(owner, _looked_up(key, keys, lp), to - at)
             at = to
         out = [(len(t) + 1, int((c[t] > 0).sum()) + (texts > 0), end + base[t].sum(), v) for t, v in zip(codes, score)]
         n, k, b, s = (list(x) for x in zip(*out))
         return pa.Table.from_arrays(
-            [docs["d"], pa.array(docs["number"].to_numpy() == 1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([tokens] * len(n), pa.int64()),
+            [docs["d"], docs["held"], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([tokens] * len(n), pa.int64()),
              pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=["d", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -222,33 +321,32 @@ def score_texts(docs: DataFrame, held, doc_id: str = "doc_id", text: str = "text
     """Scores of all texts by a model of those for which ``held`` is false."""
     base = docs.select(F.col(doc_id).alias("d"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("x"))
     kind = dict(docs.dtypes)[doc_id]
-    fields = f"block long, d {kind}, held boolean, tokens binary, idx int, word string, c long, key long"
+    fields = f"block long, d {kind}, held boolean, tokens binary, part int, words binary, every binary, keys binary, c binary"
     empty = docs.sparkSession.createDataFrame([], fields)
     blocks = written(base.mapInArrow(_blocks(to_arrow_schema(empty.schema)), fields), "ppm-blocks")
-    used = blocks.where(F.col("word").isNotNull()).select("block", "idx", "word", "c")
+    used = blocks.where(F.col("words").isNotNull())
     texts = blocks.where(F.col("tokens").isNotNull()).select("block", "d", "held", "tokens")
-    words = written(used.groupBy("word").agg(F.sum("c").alias("c")), "ppm-words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    counts = written(
+        used.select("block", "part", "words", "c").groupBy("part").applyInArrow(_count_words, "block long, part int, counts binary, n long, v long"), "ppm-words")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v")]).first()
     taught = texts.where(~F.col("held")).count()
     tokens, types = sums.n + taught, sums.v + (taught > 0)
 
-    coded = blocks.where(F.col("key").isNotNull()).select("block", "key", "c")
-    pairs = written(coded.groupBy("key").agg(F.sum("c").alias("c")), "ppm-pairs")
-    costs = written(pair_costs(pairs), "ppm-costs")
-
-    # what a block needs, in few columns: a text's words, a word's place and count in one number, a pair's cost
-    nothing = F.lit(None)
-    asked = coded.drop("c").join(costs, "key").select(
-        "block", F.lit(PAIR).alias("kind"), nothing.cast(kind).alias("d"), F.col("key").alias("number"), F.col("lp").alias("value"),
-        nothing.cast("binary").alias("data"))
-    priced = used.drop("c").join(words, "word").select(
-        "block", F.lit(WORD).alias("kind"), nothing.cast(kind).alias("d"),
-        (F.shiftleft(F.col("idx").cast("long"), COUNT_BITS) + F.col("c")).alias("number"), nothing.cast("double").alias("value"),
-        F.col("word").cast("binary").alias("data"))
-    plain = texts.select(
-        "block", F.lit(TEXT).alias("kind"), "d", F.col("held").cast("long").alias("number"), nothing.cast("double").alias("value"),
-        F.col("tokens").alias("data"))
-    parts = plain.unionAll(priced).unionAll(asked)
+    coded = blocks.where(F.col("keys").isNotNull()).select("block", "part", "keys", "c")
+    pairs = written(coded.select("part", "keys", "c").groupBy("part").applyInArrow(_count_pairs, "key long, c long"), "ppm-pairs")
+    costs = pair_costs(pairs).withColumn("part", (F.col("key") % PARTS).cast("int"))
+    priced = coded.drop("c").groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(
+        _price_pairs, "block long, part int, keys binary, costs binary")
+
+    # what a block needs, in few columns: its texts, and a row a part of its words, their counts and the costs of its pairs
+    def rows(of: DataFrame, which: int, data: str, more: str | None = None) -> DataFrame:
+        d, held, part = (F.col(c) if c in of.columns else F.lit(None).cast(t) for c, t in (("d", kind), ("held", "boolean"), ("part", "int")))
+        return of.select(
+            "block", F.lit(which).alias("kind"), part.alias("part"), d.alias("d"), held.alias("held"), F.col(data).alias("data"),
+            (F.col(more) if more else F.lit(None).cast("binary")).alias("more"))
+
+    parts = rows(texts, TEXT, "tokens").unionAll(rows(used.select("block", "part", "words", "every"), WORD, "words", "every")).unionAll(
+        rows(counts, COUNT, "counts")).unionAll(rows(priced, PAIR, "keys", "costs"))
     result = f"d {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = parts.groupBy("block").applyInArrow(_score_block(tokens, types, taught), result)
     return scored.withColumnsRenamed({"d": doc_id, "held": "held_out"})

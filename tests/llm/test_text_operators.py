@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from airloom.llm import lines, minhash, mixing, passages, ppm, quality, queries, sentence_pieces, shards, topk, toxicity
+from airloom.session import written
 
 ODD = [None, "", " \t\n", "one", "one", "one two three", "\n\n", "a\x0bb\x0cc\rd"]
 
@@ -204,6 +206,35 @@ def test_scores_of_short_texts_have_double_precision(spark):
     assert got == {i: pytest.approx(model.score(x), rel=1e-13) for i, x in rows}
 
 
+def test_pairs_and_words_of_a_block_travel_in_few_rows(spark, texts, monkeypatch):
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = written(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(ppm, "written", keep)
+    rows = [(i, x) for i, x in texts] + [(1000, None), (1001, "É naïve Ωmega")]
+    got = ppm.score_texts(frame(spark, rows).coalesce(2), F.col("doc_id") % 3 == 0).collect()
+    assert len(got) == len(rows)
+    assert kept["ppm-blocks"].count() < kept["ppm-pairs"].count()
+    model = brute.Ppm([x for i, x in rows if i % 3], ppm.ORDER)
+    counts = collections.Counter(w for i, x in rows if i % 3 for w in brute.words(re.sub("[A-Z]", lambda m: m[0].lower(), x or "")))
+    ends = sum(1 for i, _ in rows if i % 3)
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    by_id = dict(rows)
+    for r in got:
+        own = brute.words(re.sub("[A-Z]", lambda m: m[0].lower(), by_id[r.doc_id] or ""))
+        assert r.score == pytest.approx(model.score(by_id[r.doc_id]), rel=1e-9) and r.train_tokens == n
+        assert r.n_known == 1 + sum(counts[w] > 0 for w in own)
+        assert r.base_score == pytest.approx(sum(np.log10((c + 1) / (n + v + 1)) for c in [ends] + [counts[w] for w in own]), rel=1e-12)
+
+
+def test_texts_without_words(spark):
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in ppm.score_texts(frame(spark, [(1, None), (2, " "), (3, "")]), F.col("doc_id") == 3).collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 1, 2), 3: (1, 1, 2)}
+
+
 def test_language_model_without_training_texts(spark):
     row = ppm.score_texts(frame(spark, [(1, "ab")]), F.lit(True)).first()
     assert row.score == pytest.approx(-4 * np.log10(256)) and row.train_tokens == 0 and row.base_score == 0

@@ -51,15 +51,14 @@ def token_bytes(words: pa.Array, starts: np.ndarray) -> pa.Array:
 def byte_keys(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text number, context and byte as one number) of every byte of coded texts."""
     ends = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1].astype(np.int64)
-    data = np.frombuffer(coded.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    data = np.frombuffer(coded.buffers()[2], np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    key = data[ORDER:].copy()
+    key = data[ORDER:].astype(np.int64)
     for k in range(1, ORDER + 1):
-        key |= data[ORDER - k : len(data) - k] << (8 * k)
-    sizes = np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
-    scored = place[ORDER:] >= ORDER
-    return np.repeat(np.arange(len(sizes)), sizes)[ORDER:][scored], key[scored]
+        key |= data[ORDER - k : len(data) - k].astype(np.int64) << (8 * k)
+    scored = np.ones(len(data), bool)
+    scored[(ends[:-1, None] + np.arange(ORDER)).ravel()] = False  # every text begins with so many spaces
+    return np.repeat(np.arange(len(ends) - 1), np.diff(ends) - ORDER), key[scored[ORDER:]]
 
 
 def _chunks(words: pa.Array, starts: np.ndarray) -> Iterator[tuple[int, pa.Array]]:
